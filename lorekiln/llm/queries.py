@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lorekiln.llm import p1_queries, p2_queries, p3_queries
+from lorekiln.llm import p1_queries, p2_queries, p3_queries, p5_queries
 
-_MODULES = (p1_queries, p2_queries, p3_queries)
+_MODULES = (p1_queries, p2_queries, p3_queries, p5_queries)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
