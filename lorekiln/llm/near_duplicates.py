@@ -5,13 +5,15 @@ sketches are compared in the Hamming space of positions: a pair of Jaccard simil
 so at most ``budget`` positions (mean plus 3.3 standard deviations at the threshold).
 
 1. Records with equal shingle and tag sets form a class; only its representative (smallest id) is compared, so a group of
-   copies costs nothing however large. 2. Representatives that agree in a whole segment are candidates: one row per
-   segment, joined by key; the engine splits keys that are hot. 3. Pigeonring: if the differences around the ring sum to at
+   copies costs nothing however large. 2. Representatives that agree in a whole segment are
+candidates: one row per segment, joined by key; the engine splits keys that are hot. Each row also carries one bit of 64
+positions; a candidate whose bits differ in more places than a similar pair's ever would is dropped in the join. 3. Pigeonring: if the differences around the ring sum to at
    most the budget, then from some segment on every chain of consecutive segments stays within its proportional share.
    Candidates without such a start, tested by chains of growing length, are dropped. 4. The full Hamming distance must
    keep the budget. 5. The pair is verified on its exact shingle and tag sets, made from the whole texts.
 
-A pair at the threshold (0.6) has no equal segment with a chance of (1-0.6^3)^32 = 0.04 %; more similar pairs far less.
+A pair at the threshold (0.6) has no equal segment with a chance of (1-0.6^3)^28 = 0.11 % and too many
+different bits with one of 0.02 %; more similar pairs far less.
 
 Cases: null, blank or too short texts and, where tags are asked for, unreadable or empty tags put a record in no pair;
 repeated ids count once (one of their rows, chosen by hash); texts of any length are used whole; an empty table gives none.
@@ -31,13 +33,13 @@ from pyspark.sql import functions as F
 
 from lorekiln.plans.stages import Stage, write_stage
 
-SEGMENTS, WIDTH = 32, 3
+SEGMENTS, WIDTH = 28, 3
+BROADCAST_IDS = 200_000
 WORD = re.compile(r"[^\W_]+")
 _rng = np.random.default_rng(11)
 _MUL = (_rng.integers(1, 2**63, SEGMENTS * WIDTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _rng.integers(0, 2**63, SEGMENTS * WIDTH, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_SALT = np.arange(1, SEGMENTS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -77,18 +79,18 @@ def tag_set(tags: str | None) -> frozenset[str] | None:
     return frozenset((t if isinstance(t, str) else json.dumps(t)).strip().lower() for t in got)
 
 
-def _class(sh: np.ndarray, tags: frozenset) -> tuple[bytes, int]:
-    """A hash of both sets, and its first half as a number."""
+def _class(sh: np.ndarray, tags: frozenset) -> bytes:
+    """A hash of both sets."""
     whole = xxhash.xxh3_128(sh.tobytes())
     whole.update("\0".join(sorted(tags)).encode("utf-8", "surrogatepass"))
-    return whole.digest(), int.from_bytes(whole.digest()[:8], "little", signed=True)
+    return whole.digest()
 
 
 def _sketch(sh: np.ndarray) -> np.ndarray:
     low = np.full(len(_MUL), np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(sh), 4096):  # long texts in bounded memory
         np.minimum(low, (sh[at : at + 4096, None] * _MUL + _ADD).min(axis=0), out=low)
-    return low >> np.uint64(16)
+    return (low >> np.uint64(16)).astype("<u2")  # of a minimum only the lower bits are evenly spread
 
 
 def _records(df: DataFrame, id_col: str, text: str, tags: str | None) -> DataFrame:
@@ -96,7 +98,7 @@ def _records(df: DataFrame, id_col: str, text: str, tags: str | None) -> DataFra
 
 
 def _sketches(rows: DataFrame, shingle: int, least_words: int, with_tags: bool) -> DataFrame:
-    """id, class, u, n, keys, sketch of every record that can be in a pair."""
+    """id, class, bits, sketch of every record that can be in a pair."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(shingle, least_words)
@@ -107,17 +109,15 @@ def _sketches(rows: DataFrame, shingle: int, least_words: int, with_tags: bool)
                 if t is None or (sh := shingler(text)) is None:
                     continue
                 low = _sketch(sh)
-                seg = low.reshape(SEGMENTS, WIDTH)
-                key = _mix(((seg[:, 0] * _STEP + seg[:, 1]) * _STEP + seg[:, 2]) ^ _SALT) if WIDTH == 3 else _mix((seg * _STEP).sum(axis=1) ^ _SALT)
-                whole, u = _class(sh, t)
-                out.append((i, whole, u, len(sh), key.view(np.int64), low.astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["id", "class", "u", "n", "keys", "sketch"])
+                bits = int.from_bytes(np.packbits((low[:64] & 1).astype(np.uint8)).tobytes(), "little", signed=True)
+                out.append((i, _class(sh, t), bits, low.tobytes()))
+            yield pd.DataFrame(out, columns=["id", "class", "bits", "sketch"])
 
-    return rows.mapInPandas(run, "id string, class binary, u bigint, n int, keys array<bigint>, sketch binary")
+    return rows.mapInPandas(run, "id string, class binary, bits bigint, sketch binary")
 
 
 def ring_filter(a: np.ndarray, b: np.ndarray, budget: int) -> np.ndarray:
-    """Which rows of two arrays of sketches (n x SEGMENTS*WIDTH bytes) pass the chains and then the full distance."""
+    """Which rows of two arrays of sketches (n x SEGMENTS*WIDTH numbers) pass the chains and then the full distance."""
     boxes = (a != b).reshape(len(a), SEGMENTS, WIDTH).sum(axis=2, dtype=np.int16)
     rows, share = np.arange(len(a)), budget / SEGMENTS
     start, chain = np.ones(boxes.shape, dtype=bool), np.zeros(boxes.shape, dtype=np.int16)
@@ -136,9 +136,9 @@ def _sets(rows: DataFrame, shingle: int, least_words: int, with_tags: bool) -> D
         shingler = Shingler(shingle, least_words)
         for b in batches:
             out = []
-            for u, text, tags in zip(b["u"], b["text"], b["tags"]):
+            for u, c, text, tags in zip(b["u"], b["class"], b["text"], b["tags"]):
                 sh, t = shingler(text), tag_set(tags) if with_tags else frozenset()
-                if sh is not None and t is not None and _class(sh, t)[1] == u:  # not another row of the same id
+                if sh is not None and t is not None and _class(sh, t) == bytes(c):  # not another row of the same id
                     out.append((u, sh.tobytes(), sorted(t)))
             yield pd.DataFrame(out, columns=["u", "sh", "tags"])
 
@@ -179,27 +179,32 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, tags: str | None = No
     rows, with_tags = _records(df, id_col, text, tags), tags is not None
     positions = SEGMENTS * WIDTH
     budget = int(np.ceil(positions * (1 - similarity) + 3.3 * np.sqrt(positions * similarity * (1 - similarity))))
-    made = _sketches(rows, shingle, least_words, with_tags)
-    one = made.groupBy("id").agg(F.min(F.struct("class", "u", "n", "keys", "sketch")).alias("m")).select("id", "m.*")  # exact repeats of a row
-    sketches = write_stage(one)
-    rep = sketches.df.groupBy("class").agg(F.min("id").alias("rep"))
-    members = write_stage(sketches.df.select("id", "class").join(rep, "class"))
-    reps = sketches.df.join(members.df.filter(F.col("id") == F.col("rep")).select("id"), "id", "left_semi")
-    keys = reps.select(F.explode("keys").alias("key"), "u", "n")
-    other = keys.select("key", F.col("u").alias("u2"), F.col("n").alias("n2"))
-    # the sizes of two sets bound their similarity
-    cand = keys.join(other, "key").filter((F.col("u") < F.col("u2")) & (F.col("n") >= similarity * F.col("n2")) & (F.col("n2") >= similarity * F.col("n"))).select("u", "u2").distinct()
+    most_bits = int(np.ceil(64 * (1 - similarity) / 2 + 3.6 * np.sqrt(64 * (1 - similarity) / 2 * (1 + similarity) / 2)))
+    made = write_stage(_sketches(rows, shingle, least_words, with_tags))
+    # of repeated rows of an id, and of rows of a class, one each; the maximum and minimum are taken before the shuffle
+    own = made.df.groupBy("id").agg(F.min("class").alias("class"))
+    rep = own.groupBy("class").agg(F.min("id").alias("rep"))
+    members = write_stage(own.join(rep, "class"))
+    heads = members.df.filter(F.col("id") == F.col("rep")).select("id", "class")
+    sketches = write_stage(made.df.join(heads, ["id", "class"], "left_semi").dropDuplicates(["id", "class"]).withColumn("u", F.xxhash64("class")))
+    made.release()
+    reps, step = sketches.df, 2 * WIDTH
+    keys = reps.select(F.explode(F.array(*[F.xxhash64(F.substring("sketch", i * step + 1, step), F.lit(i)) for i in range(SEGMENTS)])).alias("key"), "u", "bits")
+    other = keys.select("key", F.col("u").alias("u2"), F.col("bits").alias("bits2"))
+    cand = keys.join(other, "key").filter((F.col("u") < F.col("u2")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= most_bits)).select("u", "u2").distinct()
     left, right = reps.select("u", F.col("id").alias("id_a"), F.col("sketch").alias("s1")), reps.select(F.col("u").alias("u2"), F.col("id").alias("id_b"), F.col("sketch").alias("s2"))
 
     def ring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x, y = (np.frombuffer(b"".join(b[c]), dtype=np.uint8).reshape(len(b), -1) for c in ("s1", "s2"))
+                x, y = (np.frombuffer(b"".join(b[c]), dtype="<u2").reshape(len(b), -1) for c in ("s1", "s2"))
                 yield b.iloc[ring_filter(x, y, budget)][["u", "u2", "id_a", "id_b"]]
 
     close = write_stage(cand.join(left, "u").join(right, "u2").mapInPandas(ring, "u bigint, u2 bigint, id_a string, id_b string"))
-    wanted = close.df.select(F.col("u"), F.col("id_a").alias("id")).unionByName(close.df.select(F.col("u2").alias("u"), F.col("id_b").alias("id"))).distinct()
-    sets = write_stage(_sets(rows.join(wanted, "id").select("u", "text", "tags"), shingle, least_words, with_tags).dropDuplicates(["u"]))
+    wanted = close.df.select(F.col("u"), F.col("id_a").alias("id")).unionByName(close.df.select(F.col("u2").alias("u"), F.col("id_b").alias("id"))).distinct().join(reps.select("u", "id", "class"), ["u", "id"])
+    if close.df.count() <= BROADCAST_IDS // 2:  # so few ids go to the texts; more ids meet them by a shuffle
+        wanted = F.broadcast(wanted)
+    sets = write_stage(_sets(rows.join(wanted, "id").select("u", "class", "text", "tags"), shingle, least_words, with_tags).dropDuplicates(["u"]))
     a, b = sets.df.withColumnsRenamed({"sh": "sh1", "tags": "t1"}), sets.df.withColumnsRenamed({"u": "u2", "sh": "sh2", "tags": "t2"})
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
