@@ -8,12 +8,26 @@ from pyspark.sql import functions as F
 from lorekiln.functions.hashing import CHUNK_LIMIT, bundle_id, chunk_count, commit_id, idempotency_key, sha256
 
 
-def dedupe_key(records: DataFrame, group: str, compress: str = "none", encrypted: bool = False) -> DataFrame:
-    """group, records, dedupe_key, bundle_id, commit_id: a key of the contents alone, from the hashes in canonical order."""
+MOST_RECORDS = 50_000
+
+
+def in_parts(records: DataFrame, group: str, most: int = MOST_RECORDS) -> DataFrame:
+    """Adds ``part``: a group of more than ``most`` records is spread over parts of about that size, by a hash of the id.
+
+    What is put into one document is thus bounded however large a group is.
+    """
+    n = records.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / most).cast("long").alias("parts")).withColumnRenamed(group, "g")
+    rows = records.join(n, F.col(group).eqNullSafe(F.col("g"))).drop("g")
+    return rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+
+
+def dedupe_key(records: DataFrame, group: str, compress: str = "none", encrypted: bool = False, most: int = MOST_RECORDS) -> DataFrame:
+    """group, part, records, dedupe_key, bundle_id, commit_id: a key of the contents alone, from the hashes in canonical order."""
+    rows = records if "part" in records.columns else in_parts(records, group, most)
     ordered = F.array_sort(F.collect_list(F.struct("ts", "id", "hash")))
     key = sha256(F.concat_ws(":", F.concat_ws(":", F.transform(ordered, lambda x: x["hash"])), F.lit(compress), F.lit(str(encrypted).lower())))
-    keys = records.groupBy(group).agg(F.count(F.lit(1)).alias("records"), key.alias("dedupe_key"))
-    return keys.select(group, "records", "dedupe_key", bundle_id(F.col("dedupe_key")).alias("bundle_id"), commit_id(F.col("dedupe_key")).alias("commit_id"))
+    keys = rows.groupBy(group, "part").agg(F.count(F.lit(1)).alias("records"), key.alias("dedupe_key"))
+    return keys.select(group, "part", "records", "dedupe_key", bundle_id(F.col("dedupe_key")).alias("bundle_id"), commit_id(F.col("dedupe_key")).alias("commit_id"))
 
 
 def chunk(payloads: DataFrame, key: str, payload: Column, size: int = CHUNK_LIMIT) -> DataFrame:
