@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK_LIMIT = 1_000_000
 
@@ -33,13 +34,13 @@ def chunk_count(length: Column, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(length / F.lit(size))).cast("int")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gzip_bytes(b: pd.Series) -> pd.Series:
     """gzip without a time stamp, so equal input gives equal output."""
     return b.map(lambda x: None if x is None else gzip.compress(bytes(x), 6, mtime=0))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gunzip_bytes(b: pd.Series) -> pd.Series:
     """Unpacks gzip, told by its first two bytes; other data pass through; damaged gzip gives null."""
 
@@ -54,7 +55,7 @@ def gunzip_bytes(b: pd.Series) -> pd.Series:
     return b.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """Compact JSON with sorted keys at every level; null if unreadable."""
 

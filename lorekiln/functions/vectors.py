@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _fold(a: Column, b: Column, term) -> Column:
@@ -34,13 +35,13 @@ def is_usable(v: Column, dim: int) -> Column:
     return v.isNotNull() & (F.size(v) == dim) & F.forall(v, finite)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_f32(v: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats."""
     return v.map(lambda x: None if x is None else np.asarray(x, dtype="<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_f32(b: pd.Series) -> pd.Series:
     """The floats of ``encode_f32``; null if the length is no multiple of four."""
     return b.map(lambda x: None if x is None or len(x) % 4 else np.frombuffer(x, dtype="<f4"))
@@ -49,7 +50,7 @@ def decode_f32(b: pd.Series) -> pd.Series:
 def sine_embedder(dim: int):
     """A deterministic stand-in for a text embedding model: unit vector of sin(h + i) / 2 with h the sum of UTF-16 units."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         i = np.arange(dim, dtype=np.float64)
         for texts in batches:
