@@ -100,3 +100,14 @@ def test_collisions_find_nearly_all():
     want = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.92))}
     got = set(zip(q.tolist(), b.tolist()))
     assert got <= want | {(i, i) for i in range(800)} and len(got & want) >= 0.99 * len(want)
+
+
+def test_copies_inside_a_cluster_are_members_not_a_cluster(spark):
+    rows = blobs(sizes=(80, 60), noise=0)
+    r = np.random.default_rng(9)
+    kin = [(f"k0-kin{i:02}", rows[0][1] + 0.02 * r.standard_normal(16), None) for i in range(12)]
+    lone = r.standard_normal(16)
+    far = [(f"lone{i}", lone + 0.02 * r.standard_normal(16), None) for i in range(9)]
+    got = similarity_clusters(table(spark, rows + kin + far), "id", "embedding", 16, similar=0.4, same=0.85, member=0.6, copies=0.85)
+    by = {x.id: x.cluster for x in got.collect()}
+    assert len(set(by.values())) == 2 and not any(i.startswith("lone") for i in by) and {by[i] for i, _, _ in kin if i in by} <= {by["k0-001"]}
