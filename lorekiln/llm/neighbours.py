@@ -74,8 +74,27 @@ def _search(base: np.ndarray, query: np.ndarray, k: int, least: float) -> tuple[
     return tuple(np.concatenate(p) for p in zip(*out)) if out else (np.array([], int),) * 3
 
 
+def _best(side: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray:
+    """Which rows are among the k of largest cosine of their side's vector, ties with the k-th included."""
+    order = np.lexsort((-cos, side))
+    first = np.concatenate([[True], side[order][1:] != side[order][:-1]]) if len(order) else np.array([], dtype=bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    rank = np.arange(len(order)) - start
+    kth = np.full(len(order), -2.0)
+    at_k = np.minimum(start + k - 1, len(order) - 1)
+    same = side[order][at_k] == side[order] if len(order) else first
+    kth[same] = cos[order][at_k][same]
+    keep = np.zeros(len(order), dtype=bool)
+    keep[order] = (rank < k) | (cos[order] >= kth - 1e-6)
+    return keep
+
+
 def similar_pairs(vectors: DataFrame, dim: int, k: int, least: float, probes: int = 4) -> DataFrame:
-    """a, b, cos, a < b: pairs of different vectors (rows u, v with unique u) of cosine ``least`` or more, for lists of k."""
+    """a, b, cos, a < b: pairs of different vectors (rows u, v with unique u) of cosine ``least`` or more, for lists of k.
+
+    A pair that is in neither vector's k best of a block cannot be in a list of k, so a block gives at most k rows (and
+    ties) a vector, however dense it is.
+    """
     n = vectors.count()
     cells = int(max(1, min(SAMPLE // 8, round(2 * n**0.5))))
     sample = vectors.select("h", "v").orderBy("h").limit(min(SAMPLE, 24 * cells)).collect()
@@ -110,7 +129,9 @@ def similar_pairs(vectors: DataFrame, dim: int, k: int, least: float, probes: in
             qi, bi, cos = _search(x[at : at + 16_384], unpack(q["v"], dim), k, least)
             found.append((uq[qi], ub[at + bi], cos))
         qa, ba, cos = (np.concatenate(p) for p in zip(*found))
-        keep = qa != ba
+        other = qa != ba
+        qa, ba, cos = qa[other], ba[other], cos[other]
+        keep = _best(qa, cos, k) | _best(ba, cos, k)
         lo, hi = np.minimum(qa, ba)[keep], np.maximum(qa, ba)[keep]
         return pd.DataFrame({"a": lo, "b": hi, "cos": cos[keep].astype("float64")}).drop_duplicates(["a", "b"])
 

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lorekiln.llm.clustering import describe_clusters, similarity_clusters
-from lorekiln.llm.neighbours import _search, neighbour_lists
+from lorekiln.llm.neighbours import _best, _search, neighbour_lists
 from lorekiln.llm.vectors import usable_vectors
 
 SCHEMA = "id string, embedding array<float>, namespace string, c int, v string, h string, u string"
@@ -111,3 +111,11 @@ def test_copies_inside_a_cluster_are_members_not_a_cluster(spark):
     got = similarity_clusters(table(spark, rows + kin + far), "id", "embedding", 16, similar=0.4, same=0.85, member=0.6, copies=0.85)
     by = {x.id: x.cluster for x in got.collect()}
     assert len(set(by.values())) == 2 and not any(i.startswith("lone") for i in by) and {by[i] for i, _, _ in kin if i in by} <= {by["k0-001"]}
+
+
+def test_best_of_each_side():
+    side = np.array([5, 5, 5, 5, 2, 2, 9])
+    cos = np.array([0.91, 0.95, 0.93, 0.93, 0.99, 0.92, 0.97])
+    assert _best(side, cos, 2).tolist() == [False, True, True, True, True, True, True]
+    assert _best(side, cos, 1).tolist() == [False, True, False, False, True, False, True]
+    assert _best(side[:0], cos[:0], 3).tolist() == []
