@@ -11,7 +11,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekiln.functions.vectors import cosine
 from lorekiln.operators import bundle, catalog, convert, extract, mutate, search, store
+from lorekiln.sources import records
 
 CONCEPTS = "id string, namespace string, version int, created_at bigint, updated_at bigint, tag_list array<string>, markdown string, thoughtform string, embedding array<float>"
 INDEX = "id string, embedding array<float>"
@@ -101,6 +103,43 @@ class Memory:
     def restore(self, **options) -> tuple[DataFrame, DataFrame]:
         return bundle.restore(self._read("chunks", CHUNKS), self._read("commits", COMMITS), **options)
 
+    def embed_missing(self, now_ms: int, dim: int = 64, model=None) -> None:
+        """Gives a vector to every concept that has markdown and none."""
+        wanted = self.concepts.filter(F.col("embedding").isNull())
+        self.save(convert.convert(wanted, "markdown", "vector", dim=dim, model=model), now_ms)
+
+    def similarity(self, a: str, b: str, dim: int = 64, model=None) -> DataFrame:
+        """The cosine of two texts' vectors."""
+        pair = self.spark.createDataFrame([(a, b)], "a string, b string")
+        vec = lambda c: convert.text_to_vector(F.col(c), dim, model)
+        return pair.select(cosine(vec("a"), vec("b")).alias("similarity"))
+
+    def import_snapshot(self, documents: DataFrame, column: str, now_ms: int) -> DataFrame:
+        """Saves the concepts of snapshot documents; what was inserted and updated is counted."""
+        new = records.parse_snapshot(documents, column)
+        before = self.concepts.select("id", F.lit(True).alias("old"))
+        report = new.select("id").distinct().join(before, "id", "left").agg(F.count_if(F.col("old").isNull()).alias("inserted"), F.count("old").alias("updated"))
+        done = report.first()
+        self.save(new.dropDuplicates(["id"]), now_ms)
+        return self.spark.createDataFrame([done], "inserted bigint, updated bigint")
+
+    def push(self) -> DataFrame:
+        """Entries for a key/value repository."""
+        return records.to_entries(self.concepts)
+
+    def pull(self, entries: DataFrame, now_ms: int, ts: str | None = None) -> None:
+        """Takes over markdown entries that are newer than the concept, and those without a time."""
+        times = entries.select(F.get(F.split("key", "/"), F.lit(1)).alias("id"), F.col(ts).alias("ts")) if ts else None
+        new = records.from_entries(entries)
+        new = new.join(times.groupBy("id").agg(F.max("ts").alias("ts")), "id", "left") if ts else new.withColumn("ts", F.lit(None).cast("long"))
+        old = self.concepts.select("id", F.col("updated_at").alias("ms"))
+        take = new.join(old, "id", "left").filter(mutate.decide(F.col("ms"), F.col("ts"), "pull") != "skipped")
+        self.save(take.select("id", "markdown"), now_ms)
+
+    def archive(self, required: tuple[str, ...] = ()) -> DataFrame:
+        """Content and tags of what an archive takes."""
+        return records.to_archive(self.concepts, required)
+
     def health(self) -> dict[str, bool]:
         """Whether the tables can be read and the index answers a probe."""
         try:

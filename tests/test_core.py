@@ -243,6 +243,15 @@ def test_memory(spark, tmp_path):
     m.backup(4)
     assert m._read("commits", "commit_id string").count() == 1
     assert {r.id for r in m.restore()[0].collect()} == {"x", "y"}
+    snap = spark.createDataFrame([('{"concepts":[{"id":"x","markdown":"again"},{"id":"q","markdown":"third"}]}',)], "doc string")
+    assert m.import_snapshot(snap, "doc", 5).first()[:] == (1, 1)
+    assert {r.id: r.markdown for r in m.concepts.collect()} == {"x": "again", "y": "two", "q": "third"}
+    m.embed_missing(6, dim=2)
+    assert m.index.count() == 3 and abs(m.similarity("ab", "ab").first().similarity - 1) < 1e-6
+    m.pull(spark.createDataFrame([("concepts/y/markdown", "pulled", 9), ("concepts/x/markdown", "old", 1), ("other", "z", 9)], "key string, content string, at bigint"), 7, "at")
+    assert {r.id: r.markdown for r in m.concepts.collect()} == {"x": "again", "y": "pulled", "q": "third"}
+    assert m.push().count() == 3 and m.archive(("t",)).count() == 1
+    m.delete(spark.createDataFrame([("q",)], "id string"))
     m.delete(spark.createDataFrame([("x",)], "id string"))
     assert m.index.count() == 1 and m.health()["ok"]
     with pytest.raises(KeyError):
