@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekiln.llm.vectors import unpack
+from lorekiln.llm.vectors import hash_cut, unpack
 from lorekiln.plans.stages import write_stage
 
 SAMPLE, BLOCK, ARRAYS, ENOUGH, RATIO, SEED = 16_384, 2048, 32, 18, 1.28, 7
@@ -90,14 +90,14 @@ def _best(side: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray:
 
 
 def similar_pairs(vectors: DataFrame, dim: int, k: int, least: float, probes: int = 4) -> DataFrame:
-    """a, b, cos, a < b: pairs of different vectors (rows u, v with unique u) of cosine ``least`` or more, for lists of k.
+    """a, b, cos, a < b: pairs of different vectors (rows u, v; u a hash of v) of cosine ``least`` or more, for lists of k.
 
     A pair that is in neither vector's k best of a block cannot be in a list of k, so a block gives at most k rows (and
     ties) a vector, however dense it is.
     """
     n = vectors.count()
     cells = int(max(1, min(SAMPLE // 8, round(2 * n**0.5))))
-    sample = vectors.select("h", "v").orderBy("h").limit(min(SAMPLE, 24 * cells)).collect()
+    sample = sorted(vectors.filter(F.col("u") <= hash_cut(n, min(SAMPLE, 24 * cells))).select("u", "v").collect())
     if not sample:
         return vectors.sparkSession.createDataFrame([], "a bigint, b bigint, cos double")
     centres = _fit_cells(np.array([np.frombuffer(r.v, dtype="<f4") for r in sample]), min(cells, len(sample)))
@@ -148,7 +148,7 @@ def neighbour_lists(usable: DataFrame, dim: int, k: int, least: float, probes: i
     few = F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1)
     sliced = rows.df.groupBy("u", F.pmod(F.xxhash64("id"), F.lit(1024)).alias("slice")).agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"), F.first("v").alias("v"))
     reps = write_stage(sliced.groupBy("u").agg(few.alias("ids"), F.first("v").alias("v")))
-    pairs = similar_pairs(reps.df.select("u", "v", F.col("u").alias("h")), dim, k, least, probes)
+    pairs = similar_pairs(reps.df.select("u", "v"), dim, k, least, probes)
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("w"), "cos").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("w"), "cos"))
     other = both.join(reps.df.select(F.col("u").alias("w"), "ids"), "w").select("u", "cos", F.explode("ids").alias("other"))
     equal = reps.df.select("u", F.lit(1.0).alias("cos"), F.explode("ids").alias("other"))

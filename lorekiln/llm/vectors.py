@@ -40,6 +40,14 @@ def usable_vectors(df: DataFrame, id_col: str, vector: str, dim: int, carry: str
     return one.select("id", F.xxhash64("id").alias("h"), F.col("m.note").alias("note"), F.col("m.v").alias("v"))
 
 
+def hash_cut(n: int, want: int, after: int = -(2**63)) -> int:
+    """The hash up to which about ``want`` of n rows lie whose 64-bit hashes are spread evenly above ``after``.
+
+    A filter by it takes the rows that come first in hash order without any task sending that many to the driver.
+    """
+    return 2**63 - 1 if n <= want else after + max(1, (2**63 - 1 - after) * want // n)
+
+
 def nearest_centre(centres: np.ndarray, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], dim: int, columns: list[str]):
     """A function for mapInPandas: adds ``c``, the centre of largest cosine, and ``cos`` to the rows for which keep(c, cos) holds."""
 
