@@ -74,6 +74,8 @@ class Memory:
         return catalog.represent(self.concepts.join(ids.select("id"), "id", "left_semi"), representations)
 
     def list(self, **options) -> DataFrame:
+        if not 1 <= options.get("limit", 50) <= 100 or options.get("offset", 0) < 0:
+            raise ValueError("limit must be 1..100 and offset 0 or more")
         return catalog.list_page(self.concepts, **options)
 
     def stats(self, by_namespace: bool = False) -> DataFrame:

@@ -46,8 +46,11 @@ def backup(records: DataFrame, known: DataFrame, group: str, created_at_ms: int,
     return parts, commits
 
 
-def restore(chunks: DataFrame, commits: DataFrame, key: bytes | None = None, since_ms: int = 0) -> tuple[DataFrame, DataFrame]:
-    """((id, ts, hash, source, raw_text), (commit_id, error)): the last writer of each id over all commits later than a time."""
+def restore(chunks: DataFrame, commits: DataFrame, key: bytes | None = None, since_ms: int = 0, id_prefix: str = "", updated_since_ms: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """((id, ts, hash, source, raw_text), (commit_id, error)): the last writer of each id over all commits later than a time.
+
+    ``id_prefix`` and ``updated_since_ms`` keep only such records.
+    """
     wanted = commits.filter(F.col("created_at_ms") > since_ms).select("commit_id", "manifest_hash", F.col("created_at_ms").alias("at"))
     whole, bad = reassemble(chunks.join(wanted.select("commit_id"), "commit_id", "left_semi"), "commit_id")
     plain = F.col("payload") if key is None else decrypt(F.col("payload"), key)
@@ -55,6 +58,9 @@ def restore(chunks: DataFrame, commits: DataFrame, key: bytes | None = None, sin
     got = got.withColumn("error", F.when(F.col("plain").isNull(), "cannot be decrypted or unpacked").when(sha256(F.col("plain")) != F.col("manifest_hash"), "payload hash mismatch"))
     parsed = F.from_json(F.col("plain").cast("string"), f"struct<thoughtforms:array<{RECORD}>>")
     rows = got.filter(F.col("error").isNull()).select("at", "commit_id", F.posexplode(parsed["thoughtforms"]).alias("n", "r")).select("at", "commit_id", "n", "r.*")
+    rows = rows.filter(F.col("id").startswith(id_prefix))
+    if updated_since_ms is not None:
+        rows = rows.filter(F.col("ts") > updated_since_ms)
     rows = rows.withColumn("seq", F.struct("at", "commit_id", "n"))  # of full ties the first in replay order is kept
     best = rows.groupBy("id", "ts", "hash").agg(F.min_by(F.struct("source", "raw_text"), "seq").alias("m"))
     best = best.groupBy("id").agg(F.max_by(F.struct("ts", "hash", "m"), F.struct("ts", "hash")).alias("b"))

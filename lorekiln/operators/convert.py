@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekiln.functions.text import title_of
+from lorekiln.functions.timing import iso_to_ms
 from lorekiln.functions.vectors import sine_embedder
+from lorekiln.operators.catalog import filter_concepts
 from lorekiln.operators.extract import extract
 from lorekiln.operators.search import search
 
@@ -20,6 +22,7 @@ SYNC_FORM = (
     "relationships:array<struct<id:string,type:string,from:string,to:string,weight:double>>,"
     "metadata:struct<createdAtMs:bigint,updatedAtMs:bigint,source:string,sourceDeviceId:string,authorPrincipal:string,contentHash:string,redaction:struct<rawTextOmitted:boolean>,tombstone:boolean>>"
 )
+#: The texts of the reconstruction template.
 NO_NEIGHBOURS = "# Reconstructed Concept\n\nNo neighboring concepts available for reconstruction."
 HEAD = "# Reconstructed Concept\n\n*Reconstructed from nearest-neighbor context.*\n\n"
 
@@ -39,6 +42,13 @@ def live_from_sync(f: Column) -> Column:
     return F.struct(f["id"].alias("id"), f["rawText"].alias("rawText"), ents.alias("entities"), rels.alias("relationships"))
 
 
+def read_forms(concepts: DataFrame, namespace: str | None = None, tags: tuple[str, ...] = (), since_ms: int | None = None) -> DataFrame:
+    """id, shape, ts, live, sync of the readable forms in a namespace, with all the tags, changed after a time (the form's own)."""
+    rows = filter_concepts(concepts, namespace, tags).filter(F.col("thoughtform").isNotNull()).select("id", parse_form(F.col("thoughtform")).alias("f"))
+    rows = rows.filter(F.col("f.shape") != "unreadable").select("id", "f.shape", F.coalesce("f.sync.metadata.updatedAtMs", iso_to_ms(F.col("f.live.metadata.updatedAt"))).alias("ts"), "f.live", "f.sync")
+    return rows if since_ms is None else rows.filter(F.col("ts") > since_ms)
+
+
 def form_to_markdown(f: Column) -> Column:
     """Title, text, and lists of entities and relations, each section only if it has entries; null without raw text.
     An entity without a confidence, which the sync shape allows, is listed without one."""

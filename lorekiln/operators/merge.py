@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.functions.timing import SKEW_MS, skew_bound
 
+#: Names of policies; the outcomes and reasons in ``resolve`` are fixed values too.
 POLICIES = ("updatedAt", "preferLocal", "preferRemote")
 
 

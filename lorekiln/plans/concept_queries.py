@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekiln.functions.text import union_tags
+from lorekiln.functions.text import tag_like, union_tags
 from lorekiln.functions.vectors import cosine, is_usable, l2, sine_embedder
 from lorekiln.operators import catalog
 from lorekiln.operators.search import coarse_knn, index_from, knn, rebuild_index, search
@@ -14,12 +14,15 @@ from lorekiln.plans.session import table
 DIM, SINCE = 64, 1_710_000_000_000
 
 
-def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.load_concepts(table(spark, sf_dir, "concepts"))
+def concepts(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    """The concept table; a filter goes to the scan, before repeated rows are dropped, which are equal in every column."""
+    raw = table(spark, sf_dir, "concepts")
+    return catalog.load_concepts(raw if where is None else raw.filter(where))
 
 
-def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return concepts(spark, sf_dir).filter(is_usable(F.col("embedding"), DIM))
+def searchable(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    usable = is_usable(F.col("embedding"), DIM)
+    return concepts(spark, sf_dir, usable if where is None else usable & where)
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,12 +31,12 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def point_lookup(spark, sf_dir):
-    c = concepts(spark, sf_dir)
-    return catalog.lookup(c, table(spark, sf_dir, "concepts").agg(F.min("id").alias("id")))
+    raw = table(spark, sf_dir, "concepts")
+    return catalog.lookup(raw, raw.agg(F.min("id").alias("id"))).distinct()
 
 
 def multi_lookup(spark, sf_dir):
-    return catalog.lookup(concepts(spark, sf_dir), table(spark, sf_dir, "cluster_probes").select(F.col("id_a").alias("id")))
+    return catalog.lookup(table(spark, sf_dir, "concepts"), table(spark, sf_dir, "cluster_probes").select(F.col("id_a").alias("id"))).distinct()
 
 
 def read_representations(spark, sf_dir):
@@ -42,7 +45,7 @@ def read_representations(spark, sf_dir):
 
 
 def list_page(spark, sf_dir):
-    return catalog.list_page(concepts(spark, sf_dir))
+    return catalog.list_page(concepts(spark, sf_dir, F.col("namespace") == "default"))
 
 
 def list_page_two(spark, sf_dir):
@@ -50,11 +53,11 @@ def list_page_two(spark, sf_dir):
 
 
 def list_tags_like(spark, sf_dir):
-    return catalog.filter_concepts(concepts(spark, sf_dir), None, ("Adapter",), "like").select("id", "namespace", "tags")
+    return catalog.filter_concepts(concepts(spark, sf_dir, tag_like(F.col("tags"), "Adapter")), None, ("Adapter",), "like").select("id", "namespace", "tags")
 
 
 def list_tags_exact(spark, sf_dir):
-    return catalog.filter_concepts(concepts(spark, sf_dir), None, ("adapter",)).select("id", "namespace", F.array_join("tag_list", "|").alias("tag_list"))
+    return catalog.filter_concepts(concepts(spark, sf_dir, F.col("tags").contains("adapter")), None, ("adapter",)).select("id", "namespace", F.array_join("tag_list", "|").alias("tag_list"))
 
 
 def list_flags(spark, sf_dir):
@@ -74,12 +77,12 @@ def stats_by_namespace(spark, sf_dir):
 
 
 def vector_semi_count(spark, sf_dir):
-    own = concepts(spark, sf_dir).filter(F.col("namespace") == "default").select(F.col("id").alias("concept_id"))
+    own = table(spark, sf_dir, "concepts").filter(F.col("namespace") == "default").select(F.col("id").alias("concept_id"))
     return table(spark, sf_dir, "concept_vectors").join(own, "concept_id", "left_semi").agg(F.count(F.lit(1)).alias("vectors"))
 
 
 def delta_since(spark, sf_dir):
-    return catalog.delta_since(concepts(spark, sf_dir), SINCE).select("id", "namespace", "version", "updated_at")
+    return catalog.delta_since(concepts(spark, sf_dir, (F.col("updated_at") > SINCE) & F.col("thoughtform").isNotNull()), SINCE).select("id", "namespace", "version", "updated_at")
 
 
 def kv_latest(spark, sf_dir):
@@ -95,11 +98,11 @@ def search_ns_postfilter(spark, sf_dir):
 
 
 def search_ns_prefilter(spark, sf_dir):
-    return search(searchable(spark, sf_dir), probes(spark, sf_dir), prefilter=True).select("query", "id", "distance", "rank")
+    return search(searchable(spark, sf_dir, F.col("namespace") == "default"), probes(spark, sf_dir), prefilter=True).select("query", "id", "distance", "rank")
 
 
 def search_tags(spark, sf_dir):
-    return search(searchable(spark, sf_dir), probes(spark, sf_dir), namespace=None, tags=("adapter",), prefilter=True).select("query", "id", "distance", "rank")
+    return search(searchable(spark, sf_dir, F.col("tags").contains("adapter")), probes(spark, sf_dir), namespace=None, tags=("adapter",), prefilter=True).select("query", "id", "distance", "rank")
 
 
 def _vectors(spark, sf_dir):
@@ -166,7 +169,7 @@ def mock_embed_search(spark, sf_dir):
 
 def missing_embeddings(spark, sf_dir):
     """Concepts that an automatic embedding run would take: markdown but no vector."""
-    c = concepts(spark, sf_dir).filter((F.trim("markdown") != "") & F.col("embedding").isNull())
+    c = concepts(spark, sf_dir, (F.trim("markdown") != "") & F.col("embedding").isNull())
     return c.select("id", F.length("markdown").alias("characters"))
 
 

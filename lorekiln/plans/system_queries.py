@@ -13,6 +13,7 @@ from lorekiln.operators.convert import parse_form
 from lorekiln.plans.concept_queries import C, concepts
 from lorekiln.plans.record_queries import R, records
 from lorekiln.plans.session import table
+from lorekiln.plans.stages import write_stage
 from lorekiln.sources import records as IO
 from lorekiln.streaming import changes as P
 
@@ -106,9 +107,18 @@ def aes_roundtrip(spark, sf_dir):
     return d.select("doc_id", F.sha2(decrypt(sealed, KEY), 256).alias("hash"), (F.octet_length(sealed) - F.octet_length("text")).alias("overhead"), decrypt(sealed, KEY[::-1]).isNull().alias("wrong_key_fails"))
 
 
+def bundle_sizes(spark, sf_dir):
+    """Plain and packed bytes of each namespace's bundle; gzip bytes are this engine's, so rows only."""
+    r = records(spark, sf_dir)
+    plain = B.pack(r, "namespace", compress=False).select(F.col("namespace").alias("ns"), F.octet_length("payload").alias("plain"))
+    small = B.pack(r, "namespace").select("namespace", F.octet_length("payload").alias("packed"))
+    return small.join(plain, F.col("namespace").eqNullSafe(F.col("ns"))).select("namespace", "plain", "packed", F.round(F.col("packed") / F.col("plain"), 3).alias("ratio"))
+
+
 def _store(spark, sf_dir):
     none = spark.createDataFrame([], "dedupe_key string")
-    return B.backup(records(spark, sf_dir), none, "namespace", 1_700_000_000_000, chunk_size=4096, key=KEY)
+    parts, commits = B.backup(records(spark, sf_dir), none, "namespace", 1_700_000_000_000, chunk_size=4096, key=KEY)
+    return write_stage(parts).df, write_stage(commits).df  # a store is written, not worked out again by each reader
 
 
 def bundle_roundtrip(spark, sf_dir):
@@ -153,7 +163,7 @@ def index_sync_final_state(spark, sf_dir):
 
 
 _NAMES = """validate_records validate_chunks validate_commits validate_forms redact_fields classify_failure memory_entries pull_ids archive_tags snapshot_sizes snapshot_present export_bundle
-parse_bundles canonical_json gzip_roundtrip aes_roundtrip bundle_roundtrip bundle_commits backup_again change_events save_counter_triggers save_counter_per_id debounce_sessions index_sync_final_state""".split()
+parse_bundles canonical_json gzip_roundtrip aes_roundtrip bundle_roundtrip bundle_commits bundle_sizes backup_again change_events save_counter_triggers save_counter_per_id debounce_sessions index_sync_final_state""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _L = "l AS (SELECT event_id, ts, user_id AS id, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'updated' END AS type, value FROM events WHERE event_type IN ('signup', 'purchase', 'click', 'view', 'error'))"

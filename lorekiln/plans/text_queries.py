@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekiln.functions.text import text_or_entities
-from lorekiln.functions.vectors import is_usable
 from lorekiln.operators import convert as V
 from lorekiln.operators import extract as E
-from lorekiln.plans.concept_queries import DIM, S, C, concepts
+from lorekiln.plans.concept_queries import C, S, concepts, searchable
 from lorekiln.plans.session import table
 
 
@@ -80,28 +79,34 @@ def form_shapes(spark, sf_dir):
     return c.select("id", "f.shape", F.coalesce("f.live.rawText", "f.sync.rawText").alias("raw_text"))
 
 
+def forms_since(spark, sf_dir):
+    """Readable structured forms of a namespace with a tag that changed after a time."""
+    got = V.read_forms(concepts(spark, sf_dir, F.col("tags").contains("adapter")), None, ("adapter",), 1_705_000_000_000)
+    return got.select("id", "shape", "ts")
+
+
 def tf_to_markdown(spark, sf_dir):
-    return V.convert(concepts(spark, sf_dir), "thoughtform", "markdown")
+    return V.convert(concepts(spark, sf_dir, F.col("thoughtform").isNotNull()), "thoughtform", "markdown")
 
 
 def tf_to_vector(spark, sf_dir):
-    return V.convert(concepts(spark, sf_dir), "thoughtform", "vector").select("id", F.size("embedding").alias("dimension"), F.round(F.element_at("embedding", 1).cast("double"), 4).alias("first"))
+    return V.convert(concepts(spark, sf_dir, F.col("thoughtform").isNotNull()), "thoughtform", "vector").select("id", F.size("embedding").alias("dimension"), F.round(F.element_at("embedding", 1).cast("double"), 4).alias("first"))
 
 
 def vector_to_markdown(spark, sf_dir):
     """Concepts that have only a vector get a text made of their neighbours' texts."""
-    c = concepts(spark, sf_dir).filter(is_usable(F.col("embedding"), DIM))
+    c = searchable(spark, sf_dir)
     wanted = c.filter(F.col("markdown").isNull() & F.col("thoughtform").isNull()).select("id", "embedding")
     return V.neighbour_texts(c, wanted).select("id", F.size("texts").alias("neighbours"), F.sha2(V.reconstruct(F.col("texts")), 256).alias("markdown_hash"))
 
 
 def embedding_text(spark, sf_dir):
-    c = concepts(spark, sf_dir).filter(F.col("thoughtform").isNotNull()).select("id", V.parse_form(F.col("thoughtform")).alias("f"))
+    c = concepts(spark, sf_dir, F.col("thoughtform").isNotNull()).select("id", V.parse_form(F.col("thoughtform")).alias("f"))
     values = F.coalesce(F.col("f.live.entities.text"), F.col("f.sync.entities.value"))
     return c.select("id", text_or_entities(F.coalesce("f.live.rawText", "f.sync.rawText"), values, F.col("id")).alias("text"))
 
 
-_NAMES = "entities_multicap entities_quoted entities_singlecap entity_types entity_ids entity_filter entity_offsets sentence_pairs relation_predicates context_graph extract_full form_shapes tf_to_markdown tf_to_vector vector_to_markdown embedding_text".split()
+_NAMES = "entities_multicap entities_quoted entities_singlecap entity_types entity_ids entity_filter entity_offsets sentence_pairs relation_predicates context_graph extract_full form_shapes forms_since tf_to_markdown tf_to_vector vector_to_markdown embedding_text".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _ORG, _LOC = (", ".join(f"'{w}'" for w in ws) for ws in (E.ORGANIZATION_WORDS, E.LOCATION_WORDS))
@@ -141,6 +146,8 @@ ORACLES = {
     "relation_predicates": _ent("1, 2", "").rstrip() + ", " + _REL + " SELECT * FROM rl",
     "context_graph": _ent("1, 2", "").rstrip() + ", " + _REL + ", bo AS (SELECT doc_id, subject_id AS node, object_id AS o FROM rl UNION SELECT doc_id, object_id, subject_id FROM rl) SELECT doc_id, node, string_agg(o, ',' ORDER BY o) AS neighbours FROM bo GROUP BY 1, 2",
     "form_shapes": f"WITH {_FORM} SELECT id, shape, CASE WHEN shape <> 'unreadable' THEN j->>'$.rawText' END AS raw_text FROM g",
+    "forms_since": f"""WITH {_FORM}, t AS (SELECT g.id, shape, CASE WHEN shape = 'sync' THEN (j->>'$.metadata.updatedAtMs')::BIGINT ELSE epoch_ms(TRY_CAST(j->>'$.metadata.updatedAt' AS TIMESTAMP)) END AS ts
+FROM g JOIN c USING (id) WHERE shape IN ('live', 'sync') AND list_contains(tag_list, 'adapter')) SELECT id, shape, ts FROM t WHERE ts > 1705000000000""",
     "tf_to_markdown": f"""WITH {_FORM}, {_MD} SELECT id, '# ' || substr(raw, 1, 80) || chr(10) || chr(10) || raw
 || CASE WHEN len(es) > 0 THEN chr(10) || chr(10) || '## Entities' || chr(10) || chr(10) || array_to_string(list_transform(es, lambda e: '- **' || e.t || '** (' || e.k || coalesce(', confidence: ' || printf('%.2f', e.c), '') || ')'), chr(10)) ELSE '' END
 || CASE WHEN len(rs) > 0 THEN chr(10) || chr(10) || '## Relationships' || chr(10) || chr(10) || array_to_string(list_transform(rs, lambda r: '- ' || coalesce(list_filter(es, lambda e: e.i = r.s)[1].t, r.s) || ' **' || r.p || '** ' || coalesce(list_filter(es, lambda e: e.i = r.o)[1].t, r.o)), chr(10)) ELSE '' END AS markdown
