@@ -18,6 +18,7 @@ length are split whole; an empty table gives none.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,11 +46,16 @@ class _Item:
             width = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
             width[(c >= 0xDC80) & (c <= 0xDCFF)] = 1  # an undecodable byte
             self.off = np.concatenate([[0], np.cumsum(width)])
-        self.fences = [m.span() for m in _FENCE.finditer(text)]
+        self.fences = [m.span() for m in _FENCE.finditer(text) if self.size(*m.span()) <= self.room]  # those that can stay whole
+        self.fence_starts = [s for s, _ in self.fences]
 
     def size(self, a: int, b: int) -> int:
         return b - a if self.off is None else int(self.off[b] - self.off[a])
 
+    def in_fence(self, x: int) -> bool:
+        i = bisect_left(self.fence_starts, x) - 1
+        return i >= 0 and x < self.fences[i][1]
+
     def reach(self, a: int, room: int) -> int:
         """The furthest position at most ``room`` after a, at least one character."""
         if self.off is None:
@@ -64,8 +70,7 @@ class _Item:
             else:
                 cuts = [m.end() for m in _LEVELS[level - 6].finditer(self.text, a, b) if m.end() < b]
                 if level == 6:
-                    inside = lambda x: any(s < x < e for s, e in self.fences if self.size(s, e) <= self.room)
-                    cuts = [x for x in cuts if not inside(x)]
+                    cuts = [x for x in cuts if not self.in_fence(x)]
             level += 1
             if cuts:
                 edges = [a, *cuts, b]
