@@ -15,13 +15,26 @@ def load_concepts(raw: DataFrame) -> DataFrame:
     return raw.dropDuplicates(["id"]).withColumn("tag_list", parse_tags(F.col("tags")))
 
 
-def flags() -> list:
-    return [F.col(c).isNotNull().cast("int").alias(n) for n, c in (("has_md", "markdown"), ("has_tf", "thoughtform"), ("has_vec", "embedding"))]
+PRESENCE = {"has_md": "markdown", "has_tf": "thoughtform", "has_vec": "embedding"}
+
+
+def flags(df: DataFrame) -> list:
+    """The presence flags, worked out unless the table has them."""
+    return [F.col(n) if n in df.columns else F.col(c).isNotNull().cast("int").alias(n) for n, c in PRESENCE.items()]
+
+
+def headers(raw: DataFrame) -> DataFrame:
+    """One row per id with presence flags instead of representations: what listing and counting need.
+
+    Dropping repeats then moves a few small columns, not texts and vectors.
+    """
+    rows = raw.select("id", "namespace", "version", "created_at", "updated_at", "tags", *flags(raw)).dropDuplicates(["id"])
+    return rows.withColumn("tag_list", parse_tags(F.col("tags")))
 
 
 def lookup(concepts: DataFrame, ids: DataFrame) -> DataFrame:
     """id, namespace and presence flags of the wanted ids; no ids, no rows."""
-    return concepts.join(ids.select("id").distinct(), "id", "left_semi").select("id", "namespace", "version", *flags())
+    return concepts.join(ids.select("id").distinct(), "id", "left_semi").select("id", "namespace", "version", *flags(concepts))
 
 
 def represent(concepts: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
@@ -45,13 +58,14 @@ def list_page(concepts: DataFrame, namespace: str | None = "default", tags: tupl
     """A page by time of change, latest first, ids breaking ties, each row with the number of all rows that match."""
     rows = filter_concepts(concepts, namespace, tags, tag_mode)
     total = rows.agg(F.count(F.lit(1)).alias("total"))  # one row
-    page = rows.select("id", "namespace", "version", "updated_at", *flags()).orderBy(F.desc("updated_at"), "id").offset(offset).limit(limit)
+    page = rows.select("id", "namespace", "version", "updated_at", *flags(rows)).orderBy(F.desc("updated_at"), "id").offset(offset).limit(limit)
     return page.join(F.broadcast(total))
 
 
 def stats(concepts: DataFrame, index: DataFrame, by_namespace: bool = False) -> DataFrame:
     """Concepts, index rows and representations, counted in one pass over each table."""
-    counts = [F.count(F.lit(1)).alias("concepts"), F.count("markdown").alias("markdown"), F.count("thoughtform").alias("thoughtform"), F.count("embedding").alias("embedding")]
+    concepts = concepts.select("id", "namespace", *flags(concepts))
+    counts = [F.count(F.lit(1)).alias("concepts"), *[F.coalesce(F.sum(n), F.lit(0)).alias(c) for n, c in PRESENCE.items()]]
     if not by_namespace:
         return concepts.agg(*counts).join(F.broadcast(index.agg(F.count(F.lit(1)).alias("vectors"))))
     per = index.select(F.col("concept_id").alias("id")).join(concepts.select("id", "namespace"), "id").groupBy("namespace").agg(F.count(F.lit(1)).alias("vectors"))

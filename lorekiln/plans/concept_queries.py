@@ -20,6 +20,11 @@ def concepts(spark: SparkSession, sf_dir: str, where: Column | None = None) -> D
     return catalog.load_concepts(raw if where is None else raw.filter(where))
 
 
+def headers(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
+    raw = table(spark, sf_dir, "concepts")
+    return catalog.headers(raw if where is None else raw.filter(where))
+
+
 def searchable(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
     usable = is_usable(F.col("embedding"), DIM)
     return concepts(spark, sf_dir, usable if where is None else usable & where)
@@ -45,11 +50,11 @@ def read_representations(spark, sf_dir):
 
 
 def list_page(spark, sf_dir):
-    return catalog.list_page(concepts(spark, sf_dir, F.col("namespace") == "default"))
+    return catalog.list_page(headers(spark, sf_dir, F.col("namespace") == "default"))
 
 
 def list_page_two(spark, sf_dir):
-    return catalog.list_page(concepts(spark, sf_dir), namespace=None, limit=20, offset=20)
+    return catalog.list_page(headers(spark, sf_dir), namespace=None, limit=20, offset=20)
 
 
 def list_tags_like(spark, sf_dir):
@@ -61,19 +66,19 @@ def list_tags_exact(spark, sf_dir):
 
 
 def list_flags(spark, sf_dir):
-    return concepts(spark, sf_dir).select("id", *catalog.flags())
+    return headers(spark, sf_dir).select("id", *catalog.PRESENCE)
 
 
 def list_total(spark, sf_dir):
-    return concepts(spark, sf_dir).groupBy("namespace").agg(F.count(F.lit(1)).alias("total"))
+    return headers(spark, sf_dir).groupBy("namespace").agg(F.count(F.lit(1)).alias("total"))
 
 
 def stats_all(spark, sf_dir):
-    return catalog.stats(concepts(spark, sf_dir), table(spark, sf_dir, "concept_vectors"))
+    return catalog.stats(headers(spark, sf_dir), table(spark, sf_dir, "concept_vectors"))
 
 
 def stats_by_namespace(spark, sf_dir):
-    return catalog.stats(concepts(spark, sf_dir), table(spark, sf_dir, "concept_vectors"), True)
+    return catalog.stats(headers(spark, sf_dir), table(spark, sf_dir, "concept_vectors"), True)
 
 
 def vector_semi_count(spark, sf_dir):
