@@ -24,4 +24,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found}
-ORACLES: dict[str, str] = {}
+#: All pairs: for small tables only.
+ORACLES = {
+    "p3_found": """WITH c AS (SELECT DISTINCT ON (id) id, embedding::DOUBLE[] AS e FROM concepts WHERE len(embedding) = 64 AND id IN (SELECT concept_id FROM concept_vectors)),
+u AS (SELECT * FROM c WHERE len(list_filter(e, lambda x: isfinite(x))) = 64 AND list_inner_product(e, e) > 0),
+p AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS cos FROM u a, u b WHERE a.id <> b.id),
+r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) AS n FROM p WHERE cos >= 0.92)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE n <= 10"""
+}
