@@ -87,8 +87,9 @@ def predicate(sentence: Column, subject: Column, object_: Column) -> Column:
     gap = F.when((s > 0) & (o > 0) & (start < end), F.regexp_replace(F.substring(sentence, start, end - start), r"^\s+|\s+$", ""))
 
     def verb(g: Column) -> Column:
-        found = [F.nullif(F.regexp_extract(g, p, 1), F.lit("")) for p in VERB_PATTERNS]
-        return F.when(g.rlike(IS_A), F.lit("is_a")).otherwise(F.coalesce(*[F.when(~v.isin(*NOT_VERBS), v) for v in found]))
+        found = F.array(*[F.regexp_extract(g, p, 1) for p in VERB_PATTERNS])  # each pattern is tried once
+        first = F.get(F.filter(found, lambda v: (v != "") & ~v.isin(*NOT_VERBS)), F.lit(0))
+        return F.when(g.rlike(IS_A), F.lit("is_a")).otherwise(first)
 
     return F.get(F.transform(F.array(gap), verb), F.lit(0))  # the gap is worked out once
 
