@@ -5,7 +5,7 @@ Records have the columns id, ts (epoch milliseconds), hash, source and, where or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekiln.functions.timing import SKEW_MS, skew_bound
@@ -105,3 +105,14 @@ def canonical_order(records: DataFrame, collation: str | None = None) -> DataFra
     """By ts, id, hash; binary order, or a collation such as UNICODE."""
     cmp = (lambda c: F.collate(F.col(c), collation)) if collation else F.col
     return records.orderBy("ts", cmp("id"), cmp("hash"))
+
+
+def canonical_position(records: DataFrame, span_ms: int = 3_600_000) -> DataFrame:
+    """Adds ``position``, from 1, in canonical order. Found in two steps, records of each span of time and records within
+    it, so the whole is never sorted in one task."""
+    rows = records.withColumn("span", F.floor(F.col("ts") / span_ms))
+    per = rows.groupBy("span").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("span", before.alias("before"))  # one row per span
+    inside = F.row_number().over(Window.partitionBy("span").orderBy("ts", "id", "hash"))
+    return rows.withColumn("inside", inside).join(per, "span").withColumn("position", F.col("before") + F.col("inside")).drop("span", "inside", "before")

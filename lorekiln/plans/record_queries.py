@@ -48,8 +48,7 @@ def lww_dedupe(spark, sf_dir):
 
 
 def canonical_sort(spark, sf_dir):
-    """The first 100 records in canonical order."""
-    return M.canonical_order(records(spark, sf_dir).select("ts", "id", "hash")).limit(100)
+    return M.canonical_position(records(spark, sf_dir).select("ts", "id", "hash"))
 
 
 def rebase_delta(spark, sf_dir):
@@ -175,7 +174,7 @@ ORACLES = {
     "merge_policy_remote": _merge_sql("WHEN true THEN 'remote|policy-preferRemote'") + _ALL,
     "merge_counts": _merge_sql() + "SELECT count(*) FILTER (outcome = 'local-only') AS local_only, count(*) FILTER (outcome = 'remote-only') AS remote_only, count(*) FILTER (outcome IN ('local', 'remote')) AS conflicts, count(*) AS merged FROM a",
     "lww_dedupe": f"WITH {R} SELECT DISTINCT ON (id) id, ts, hash, seq FROM r ORDER BY id, ts DESC, hash DESC, seq",
-    "canonical_sort": f"WITH {R} SELECT ts, id, hash FROM r ORDER BY ts, id, hash LIMIT 100",
+    "canonical_sort": f"WITH {R} SELECT ts, id, hash, row_number() OVER (ORDER BY ts, id, hash NULLS FIRST) AS position FROM r",
     "rebase_delta": f"WITH {R} SELECT id, ts, hash, seq FROM r WHERE source IS DISTINCT FROM 'user_input' {_DELTA}",
     "rebase_merged": _merge_sql(delta=_DELTA) + "SELECT id, ts, hash, source FROM a",
     "rebase_conflicts": _merge_sql(_SKEW.format(o="remote", p="onchain"), _DELTA) + "SELECT id, outcome, reason FROM a WHERE outcome IN ('local', 'remote', 'no-conflict')",
