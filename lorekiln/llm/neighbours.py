@@ -1,9 +1,11 @@
 """Nearest neighbours of every vector by collision-counting hashing, query-aware, inside coarse cells.
 
-Coarse cells: a vector's home cell is its nearest of K centres (K about twice the root of the number of vectors; centres
-are fitted on a bounded sample of ``SAMPLE`` vectors). A query visits its ``probes`` nearest cells. A cell is cut into
-blocks of at most ``BLOCK`` vectors, each met by chunks of at most ``BLOCK`` queries, so a cell that holds a third of all
-rows becomes many tasks, none of which holds more than two blocks.
+Coarse cells: a vector's home cell is its nearest of K centres, one per ``CELL`` vectors, fitted on a bounded sample of
+about ``SAMPLE`` vectors. Where more cells are wanted than the sample can fit (``MOST``), each is divided again by the direction from
+its centre to the vector, with directions fitted on the same sample, so cells stay small up to ``MOST`` squared of them. A
+query visits its ``probes`` nearest cells, and of divided ones the parts in its ``probes`` nearest directions. A cell is cut
+into blocks of at most ``BLOCK`` vectors, each met by chunks of at most ``BLOCK`` queries, so a cell that holds a third of
+all rows becomes many tasks, none of which holds more than two blocks.
 
 In a block: M single random projections, each a sorted array of the block's projected values. A query opens a window
 centred on its own projected value in each array; a vector inside the window collides. Windows start narrow and widen
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from lorekiln.llm.vectors import hash_cut, unpack
 from lorekiln.plans.stages import write_stage
 
-SAMPLE, BLOCK, ARRAYS, ENOUGH, RATIO, SEED = 16_384, 2048, 32, 18, 1.28, 7
+SAMPLE, MOST, CELL, BLOCK, ARRAYS, ENOUGH, RATIO, SEED = 16_384, 2048, 256, 2048, 32, 18, 1.28, 7
 
 
 def _fit_cells(x: np.ndarray, cells: int, rounds: int = 3) -> np.ndarray:
@@ -89,34 +91,52 @@ def _best(side: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray:
     return keep
 
 
-def similar_pairs(vectors: DataFrame, dim: int, k: int, least: float, probes: int = 4) -> DataFrame:
+def _directions(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """From a centre to a vector, as unit vectors; a vector on its centre has none."""
+    d = x - c
+    return d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-9)
+
+
+def similar_pairs(vectors: DataFrame, dim: int, k: int, least: float, probes: int = 4, most: int = MOST) -> DataFrame:
     """a, b, cos, a < b: pairs of different vectors (rows u, v; u a hash of v) of cosine ``least`` or more, for lists of k.
 
     A pair that is in neither vector's k best of a block cannot be in a list of k, so a block gives at most k rows (and
     ties) a vector, however dense it is.
     """
     n = vectors.count()
-    cells = int(max(1, min(SAMPLE // 8, round(2 * n**0.5))))
+    wanted = max(1, -(-n // CELL))
+    cells = min(most, wanted)
+    parts = min(most, -(-wanted // cells))
     sample = sorted(vectors.filter(F.col("u") <= hash_cut(n, min(SAMPLE, 24 * cells))).select("u", "v").collect())
     if not sample:
         return vectors.sparkSession.createDataFrame([], "a bigint, b bigint, cos double")
-    centres = _fit_cells(np.array([np.frombuffer(r.v, dtype="<f4") for r in sample]), min(cells, len(sample)))
-    probes = min(probes, len(centres))
+    x = np.array([np.frombuffer(r.v, dtype="<f4") for r in sample])
+    centres = _fit_cells(x, min(cells, len(x)))
+    inner = _fit_cells(_directions(x, centres[(x @ centres.T).argmax(axis=1)]), min(parts, len(x))) if parts > 1 else centres[:1]
+    probes, parts = min(probes, len(centres)), len(inner)
+    inner_probes = min(probes, parts)
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                s = unpack(b["v"], dim) @ centres.T
-                top = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
-                home = s.argmax(axis=1)
-                yield b.assign(home=home.astype("int32"), cell=[list(map(int, t)) for t in top])
-
-    seen = write_stage(vectors.select("u", "v").mapInPandas(visit, "u bigint, v binary, home int, cell array<int>"))
+            if not len(b):
+                continue
+            v = unpack(b["v"], dim)
+            s = v @ centres.T
+            top = np.argpartition(-s, probes - 1, axis=1)[:, :probes]
+            home = s.argmax(axis=1).astype("int64")
+            if parts > 1:
+                home = home * parts + (_directions(v, centres[home]) @ inner.T).argmax(axis=1)
+                near = [np.argpartition(-(_directions(v, centres[top[:, j]]) @ inner.T), inner_probes - 1, axis=1)[:, :inner_probes] for j in range(probes)]
+                top = np.concatenate([top[:, j : j + 1].astype("int64") * parts + near[j] for j in range(probes)], axis=1)
+            yield b.assign(home=home, cell=[list(map(int, t)) for t in top])
+
+    seen = write_stage(vectors.select("u", "v").mapInPandas(visit, "u bigint, v binary, home bigint, cell array<bigint>"))
     slice_ = lambda col, n_: F.pmod(F.xxhash64(F.col(col), F.lit(1)), F.col(n_)).cast("int")
     homes = seen.df.groupBy(F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("nb"))
     visits = seen.df.select(F.explode("cell").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("nq"))
     need = homes.join(visits, "cell").select("cell", F.ceil(F.col("nb") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("nq") / BLOCK).cast("int").alias("chunks"))
-    need = F.broadcast(need)  # one row per cell, at most SAMPLE / 8
+    if wanted <= MOST:
+        need = F.broadcast(need)  # one row per cell
     base = seen.df.select("u", "v", F.col("home").alias("cell")).join(need, "cell").select("cell", slice_("u", "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "u", "v", F.lit(True).alias("own"))
     query = seen.df.select("u", "v", F.explode("cell").alias("cell")).join(need, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), slice_("u", "chunks").alias("chunk"), "u", "v", F.lit(False).alias("own"))
 

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lorekiln.llm.clustering import describe_clusters, similarity_clusters
-from lorekiln.llm.neighbours import _best, _search, neighbour_lists
+from lorekiln.llm.neighbours import _best, _search, neighbour_lists, similar_pairs
 from lorekiln.llm.vectors import usable_vectors
 
 SCHEMA = "id string, embedding array<float>, namespace string, c int, v string, h string, u string"
@@ -119,3 +119,15 @@ def test_best_of_each_side():
     assert _best(side, cos, 2).tolist() == [False, True, True, True, True, True, True]
     assert _best(side, cos, 1).tolist() == [False, True, False, False, True, False, True]
     assert _best(side[:0], cos[:0], 3).tolist() == []
+
+
+def test_divided_cells_find_nearly_all(spark):
+    r = np.random.default_rng(2)
+    x = r.standard_normal((9000, 32))
+    x = np.concatenate([x, x[:3000] + 0.22 * r.standard_normal((3000, 32))]).astype("f4")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, e.tobytes()) for i, e in enumerate(x)], "i bigint, v binary").selectExpr("xxhash64(v) AS u", "v", "i")
+    ids = {r.u: r.i for r in df.collect()}
+    got = {tuple(sorted((ids[r.a], ids[r.b]))) for r in similar_pairs(df.select("u", "v"), 32, 10, 0.92, most=8).collect()}
+    want = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.92)) if i < j}
+    assert len(want) > 2000 and got <= want and len(got) >= 0.95 * len(want)
