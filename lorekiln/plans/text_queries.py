@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lorekiln.functions.text import text_or_entities
 from lorekiln.operators import convert as V
 from lorekiln.operators import extract as E
-from lorekiln.plans.concept_queries import C, S, concepts, searchable
+from lorekiln.plans.concept_queries import DIM, C, S, concepts, searchable
 from lorekiln.plans.session import table
 
 
@@ -152,6 +152,8 @@ FROM g JOIN c USING (id) WHERE shape IN ('live', 'sync') AND list_contains(tag_l
 || CASE WHEN len(es) > 0 THEN chr(10) || chr(10) || '## Entities' || chr(10) || chr(10) || array_to_string(list_transform(es, lambda e: '- **' || e.t || '** (' || e.k || coalesce(', confidence: ' || printf('%.2f', e.c), '') || ')'), chr(10)) ELSE '' END
 || CASE WHEN len(rs) > 0 THEN chr(10) || chr(10) || '## Relationships' || chr(10) || chr(10) || array_to_string(list_transform(rs, lambda r: '- ' || coalesce(list_filter(es, lambda e: e.i = r.s)[1].t, r.s) || ' **' || r.p || '** ' || coalesce(list_filter(es, lambda e: e.i = r.o)[1].t, r.o)), chr(10)) ELSE '' END AS markdown
 FROM q2 WHERE raw IS NOT NULL""",
+    "tf_to_vector": f"""WITH {_FORM}, r AS (SELECT id, list_sum(list_transform(string_split(j->>'$.rawText', ''), lambda x: unicode(x)))::DOUBLE AS h FROM g WHERE shape IN ('live', 'sync') AND j->>'$.rawText' <> '')
+SELECT id, {DIM} AS dimension, round((sin(h) / sqrt(list_sum(list_transform(range({DIM}), lambda i: sin(h + i) * sin(h + i)))))::FLOAT::DOUBLE, 4) AS first FROM r""",
     "vector_to_markdown": f"""WITH {S}, w AS (SELECT id AS query, embedding AS qv FROM s WHERE markdown IS NULL AND thoughtform IS NULL),
 d AS (SELECT query, s.id, s.namespace, round(list_distance(s.embedding::DOUBLE[], qv::DOUBLE[]), 6) AS distance, coalesce(markdown, TRY_CAST(thoughtform AS JSON)->>'$.rawText') AS text FROM s, w),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS r FROM d) WHERE r <= 15),
