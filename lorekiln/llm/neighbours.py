@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lorekiln.llm.vectors import hash_cut, unpack
 from lorekiln.plans.stages import write_stage
 
-SAMPLE, MOST, CELL, BLOCK, ARRAYS, ENOUGH, RATIO, SEED = 16_384, 2048, 256, 2048, 32, 18, 1.28, 7
+SAMPLE, MOST, CELL, BLOCK, PROBES, ARRAYS, ENOUGH, RATIO, SEED = 16_384, 2048, 256, 2048, 8, 32, 18, 1.28, 7
 
 
 def _fit_cells(x: np.ndarray, cells: int, rounds: int = 3) -> np.ndarray:
@@ -97,7 +97,7 @@ def _directions(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-9)
 
 
-def similar_pairs(vectors: DataFrame, dim: int, k: int, least: float, probes: int = 4, most: int = MOST) -> DataFrame:
+def similar_pairs(vectors: DataFrame, dim: int, k: int, least: float, probes: int = PROBES, most: int = MOST) -> DataFrame:
     """a, b, cos, a < b: pairs of different vectors (rows u, v; u a hash of v) of cosine ``least`` or more, for lists of k.
 
     A pair that is in neither vector's k best of a block cannot be in a list of k, so a block gives at most k rows (and
@@ -137,11 +137,14 @@ def similar_pairs(vectors: DataFrame, dim: int, k: int, least: float, probes: in
     need = homes.join(visits, "cell").select("cell", F.ceil(F.col("nb") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("nq") / BLOCK).cast("int").alias("chunks"))
     if wanted <= MOST:
         need = F.broadcast(need)  # one row per cell
-    base = seen.df.select("u", "v", F.col("home").alias("cell")).join(need, "cell").select("cell", slice_("u", "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "u", "v", F.lit(True).alias("own"))
-    query = seen.df.select("u", "v", F.explode("cell").alias("cell")).join(need, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), slice_("u", "chunks").alias("chunk"), "u", "v", F.lit(False).alias("own"))
+    # in a cell of one block and one chunk a vector at home is sent once, as both
+    both = (F.col("blocks") == 1) & (F.col("chunks") == 1)
+    base = seen.df.select("u", "v", F.col("home").alias("cell")).join(need, "cell").select("cell", slice_("u", "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "u", "v", F.lit(True).alias("own"), both.alias("asks"))
+    query = seen.df.select("u", "v", "home", F.explode("cell").alias("cell")).join(need, "cell").filter(~(both & (F.col("cell") == F.col("home"))))
+    query = query.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), slice_("u", "chunks").alias("chunk"), "u", "v", F.lit(False).alias("own"), F.lit(True).alias("asks"))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        b, q = pdf[pdf["own"]], pdf[~pdf["own"]]
+        b, q = pdf[pdf["own"]], pdf[pdf["asks"]]
         if not len(b) or not len(q):
             return pd.DataFrame({"a": [], "b": [], "cos": []})
         x, ub, uq, found = unpack(b["v"], dim), b["u"].to_numpy(), q["u"].to_numpy(), []
@@ -159,7 +162,7 @@ def similar_pairs(vectors: DataFrame, dim: int, k: int, least: float, probes: in
     return met.groupBy("a", "b").agg(F.max("cos").alias("cos"))
 
 
-def neighbour_lists(usable: DataFrame, dim: int, k: int, least: float, probes: int = 4) -> DataFrame:
+def neighbour_lists(usable: DataFrame, dim: int, k: int, least: float, probes: int = PROBES) -> DataFrame:
     """id, other, cos, rank: of every id the up to k most similar other ids with a cosine of ``least`` or more.
 
     ``usable`` as made by ``usable_vectors``. Ranks go by cosine descending, then id.
