@@ -31,7 +31,7 @@ def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving record of every id, also of ids with one record, with text and language from one record and the source its author implies."""
     rows = table(spark, sf_dir, "thoughtform_deltas")
     trust = 1 + F.least(F.coalesce(F.col("version"), F.lit(0)), F.lit(1000)) / 1000
-    got = choose_bundles(rows, uuid_key(F.col("id")), F.col("record_no"), _ORDER(), BUNDLED, [(("author",), ("source",))], trust, least=1)
+    got = choose_bundles(rows, uuid_key(F.col("id")), F.col("record_no"), _ORDER(), BUNDLED, [(("author",), ("source",))], trust, least=1, open_bundles=True)
     return build_survivors(rows, got, "record_no", BUNDLED)
 
 
