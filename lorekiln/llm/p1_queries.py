@@ -18,7 +18,8 @@ def instant_ns(col: Column) -> Column:
 _ORDER = lambda: [F.col("version"), instant_ns(F.col("updated_at"))]
 SINGLE = {"record": (), "raw_text": ("raw_text",), "author": ("author",), "lang": ("lang",)}
 #: A text and its language belong together, and so do an author and where the record came from; an author determines the source.
-BUNDLED = {"text": ("raw_text", "lang"), "author": ("author",), "source": ("source",)}
+#: The best record itself is always there, so every id has a row.
+BUNDLED = {"record": (), "text": ("raw_text", "lang"), "author": ("author",), "source": ("source",)}
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Best representative of each duplicate group: whole bundles of fields, chosen by branch and bound.
 
 A *bundle* is a set of fields that depend on each other (the parts of an address) and are therefore always taken from one
-record. For each group and bundle the candidates are the records in which none of the bundle's fields is missing. Among
+record. For each group and bundle the candidates are the records in which none of the bundle's fields is missing or, where
+the group has no such record, those with the most of them, of as many those with the fields named first; a missing value takes part in no dependency. Among
 the ways to give every bundle a candidate, the one of most total trust is wanted that keeps the functional dependencies:
 ``(lhs, rhs)`` says that, within a group, a value of ``lhs`` determines ``rhs``, namely the ``rhs`` of the most trusted
 record that has both. Bundles joined by a dependency form a tree (checked), so each can be branched on in turn:
@@ -88,19 +89,25 @@ def choose_bundles(
     """
     fields = sorted({f for b in bundles.values() for f in b})
     rows = df.select(key.alias("g"), record_id.cast("long").alias("r"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], (-record_id.cast("long")).alias("z")).alias("t"),
-                     (F.lit(1.0) if trust is None else F.coalesce(trust.cast("double"), F.lit(0.0))).alias("w"), *[F.col(f).alias(f"f_{f}") for f in fields])
+                     (F.lit(1.0) if trust is None else F.coalesce(trust.cast("double"), F.lit(0.0))).alias("w"), *[F.when(~missing(F.col(f)), F.col(f)).alias(f"f_{f}") for f in fields])
     rows = rows.filter(F.col("g").isNotNull())
-    has = {b: F.lit(True) for b in bundles}
+    held, has = {}, {}  # how many fields of a bundle a record has, and in the lower bits which; whether it is a candidate
     for b, own in bundles.items():
-        for f in own:
-            has[b] = has[b] & ~missing(F.col(f"f_{f}"))
+        held[b] = F.lit(0)
+        for i, f in enumerate(own):
+            held[b] = held[b] + F.col(f"f_{f}").isNotNull().cast("long") * F.lit(2 ** len(own) + 2 ** (len(own) - 1 - i))
+        has[b] = F.lit(True) if not own else held[b] > 0
     parts = _tree_order(bundles, fds)
+    most = {b: F.max(held[b]).alias(f"most{i}") for i, b in enumerate(bundles) if len(bundles[b]) > 1 and not any(part == [(b, None, None)] for part in parts.values())}
+    if most:
+        rows = rows.join(rows.groupBy(F.col("g").alias("g_most")).agg(*most.values()), F.col("g") == F.col("g_most"))
+        has |= {b: has[b] & (held[b] == F.col(f"most{i}")) for i, b in enumerate(bundles) if b in most}
     if any(len(part) > 1 for part in parts.values()):  # branching reads the rows several times: keys and tests are worked out once
         flags = {b: f"has{i}" for i, b in enumerate(bundles)}
         rows = write_stage(rows.withColumns({flags[b]: has[b] for b in bundles})).df
         has = {b: F.col(flags[b]) for b in bundles}
     free = [b for b, part in parts.items() if len(part) == 1]
-    best = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("first_id"), *[F.max(F.when(has[b], F.struct("t", "r"))).alias(f"b{i}") for i, b in enumerate(free)])
+    best = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("first_id"), *[F.max(F.when(has[b], F.struct(held[b].alias("k"), "t", "r"))).alias(f"b{i}") for i, b in enumerate(free)])
     best = best.filter(F.col("n") >= least)
     pick = [F.struct(F.lit(b).alias("bundle"), F.col(f"b{i}.r").alias("from_id")) for i, b in enumerate(free)]
     out = [best.select(F.col("g").alias("group_key"), "first_id", F.inline(F.array(*pick)))] if free else []
@@ -116,7 +123,13 @@ def choose_bundles(
 
 def _branch(rows: DataFrame, part: list, has: dict, open_bundles: bool) -> DataFrame:
     """g, bundle, from_id of one connected part of bundles."""
-    vals = lambda fs: F.to_json(F.struct(*[F.col(f"f_{f}") for f in fs]), {"ignoreNullFields": "false"})
+
+    def vals(fs):
+        whole = F.lit(True)
+        for f in fs:
+            whole = whole & F.col(f"f_{f}").isNotNull()
+        return F.when(whole, F.to_json(F.struct(*[F.col(f"f_{f}") for f in fs])))
+
     sides = {b: [] for b, _, _ in part}
     for b, over, fd in part:
         if over is not None:
@@ -139,7 +152,7 @@ def _branch(rows: DataFrame, part: list, has: dict, open_bundles: bool) -> DataF
         if over is None:
             continue
         lhs, rhs, down = fd
-        both = rows.filter(has[b] & has[over]).select("g", vals(lhs).alias("lhs"), vals(rhs).alias("rhs"), F.struct("w", "t").alias("m"))
+        both = rows.filter(has[b] & has[over]).select("g", vals(lhs).alias("lhs"), vals(rhs).alias("rhs"), F.struct("w", "t").alias("m")).filter(F.col("lhs").isNotNull() & F.col("rhs").isNotNull())
         det[b] = both.groupBy("g", "lhs").agg(F.max_by("rhs", "m").alias("rhs"))
         agreed = det[b].withColumnsRenamed({"lhs": f"l_{b}", "rhs": f"r_{b}", "g": f"g_{b}"})
         self_ok = self_ok.join(agreed, (F.col("g") == F.col(f"g_{b}")) & (vals(lhs) == F.col(f"l_{b}")) & (vals(rhs) == F.col(f"r_{b}")), "left_semi")
@@ -163,7 +176,7 @@ def _branch(rows: DataFrame, part: list, has: dict, open_bundles: bool) -> DataF
                 side = side.withColumn("far", F.col(own[0]))
             else:
                 front = front.withColumn("near", F.col(ask))
-                side = side.join(rule.withColumnsRenamed({"lhs": own[0], "rhs": "far"}), ["g", own[0]], "left" if open_bundles else "inner")
+                side = side.join(rule.withColumnsRenamed({"lhs": own[0], "rhs": "far"}), ["g", own[0]], "left" if open_bundles else "inner")  # without: a value of ``lhs`` that determines nothing is no candidate
             # "=v": the value must be v; "?": a candidate that fits every value; "*": any candidate; "0": none
             free = F.array(F.lit("*"), F.lit("0")) if open_bundles else F.array(F.lit("0"))
             meet = F.when(F.col("near").isNull(), free).otherwise(F.array(F.concat(F.lit("="), "near"), F.lit("?"), F.lit("0")))
@@ -183,10 +196,10 @@ def _branch(rows: DataFrame, part: list, has: dict, open_bundles: bool) -> DataF
     return front.select("g", F.inline(F.array(*[F.struct(F.lit(b).alias("bundle"), F.col(f"p_{b}").alias("from_id")) for b in names])))
 
 
-def build_survivors(df: DataFrame, chosen: DataFrame, record_id: str, bundles: dict[str, Sequence[str]]) -> DataFrame:
-    """group_key, first_id and every field of the bundles: the record built from the choice."""
+def build_survivors(df: DataFrame, chosen: DataFrame, record_id: str, bundles: dict[str, Sequence[str]], missing=is_missing) -> DataFrame:
+    """group_key, first_id and every field of the bundles: the record built from the choice; missing values are null."""
     fields = [f for b in bundles.values() for f in b]
-    source = df.select(F.col(record_id).cast("long").alias("from_id"), *[F.col(f).alias(f"f_{f}") for f in fields])
+    source = df.select(F.col(record_id).cast("long").alias("from_id"), *[F.when(~missing(F.col(f)), F.col(f)).alias(f"f_{f}") for f in fields])
     long = chosen.join(source, "from_id")
     aggs = [F.max(F.when(F.col("bundle") == b, F.col(f"f_{f}"))).alias(f) for b, own in bundles.items() for f in own]
     return long.groupBy("group_key", "first_id").agg(*aggs)

@@ -112,3 +112,14 @@ def test_a_source_without_an_author_survives(spark):
     df = frame(spark, [("k", 1, 1, 1, None, "src", None), ("k", 2, 2, 1, "-", "other", None), ("solo", 3, 1, 1, None, "s", None), ("u", 4, 1, 1, "ann", None, None), ("u", 5, 1, 1, None, "t", None)])
     got = choose_bundles(df, F.col("id"), F.col("n"), [F.col("version"), F.col("ts")], {"A": ("a",), "B": ("b",)}, [(("a",), ("b",))], least=1, open_bundles=True)
     assert {(r.group_key, r.bundle): r.from_id for r in got.collect()} == {("k", "B"): 2, ("solo", "B"): 3, ("u", "A"): 4, ("u", "B"): 5}
+
+
+def test_partial_bundles_and_empty_groups_survive(spark):
+    df = frame(spark, [("k", 1, 1, 1, "text", "n/a", None), ("k", 2, 2, 1, None, "en", None), ("full", 3, 9, 1, "t", None, None), ("full", 4, 1, 1, "u", "de", None), ("none", 5, 1, 1, "-", None, "")])
+    bundles = {"record": (), "ab": ("a", "b"), "c": ("c",)}
+    got = choose_bundles(df, F.col("id"), F.col("n"), [F.col("version"), F.col("ts")], bundles, least=1)
+    built = {r.group_key: (r.a, r.b, r.c) for r in build_survivors(df, got, "n", bundles).collect()}
+    assert built == {"k": ("text", None, None), "full": ("u", "de", None), "none": (None, None, None)}
+    fds = [(("a",), ("c",))]  # the same where a dependency touches the bundle
+    tied = choose_bundles(df, F.col("id"), F.col("n"), [F.col("version"), F.col("ts")], bundles, fds, least=1, open_bundles=True)
+    assert {r.group_key: r.from_id for r in tied.collect() if r.bundle == "ab"} == {"k": 1, "full": 4}
