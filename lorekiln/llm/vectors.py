@@ -64,10 +64,11 @@ def nearest_centre(centres: np.ndarray, keep: Callable[[np.ndarray, np.ndarray],
     return run
 
 
-def centre_sums(rows: DataFrame, centres: np.ndarray, least: float, dim: int) -> list:
+def centre_sums(rows: DataFrame, centres: np.ndarray, least: float, dim: int, heads: np.ndarray | None = None, copies: float = 1.1) -> list:
     """(c, n, sum of the unit vectors) of each centre over the rows whose cosine with their nearest centre is ``least`` or more.
 
-    Each task adds up its own rows first; what is collected is one row per centre.
+    Rows whose cosine with one of ``heads`` is ``copies`` or more are left out. Each task adds up its own rows first; what is
+    collected is one row per centre.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,6 +79,8 @@ def centre_sums(rows: DataFrame, centres: np.ndarray, least: float, dim: int) ->
                 s = x @ centres.T
                 c = s.argmax(axis=1)
                 ok = s[np.arange(len(b)), c] >= least
+                if heads is not None and len(heads):
+                    ok &= (x @ heads.T).max(axis=1) < copies
                 n += np.bincount(c[ok], minlength=len(centres))
                 np.add.at(total, c[ok], x[ok])
         hit = np.nonzero(n)[0]

@@ -131,3 +131,16 @@ def test_divided_cells_find_nearly_all(spark):
     got = {tuple(sorted((ids[r.a], ids[r.b]))) for r in similar_pairs(df.select("u", "v"), 32, 10, 0.92, most=8).collect()}
     want = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.92)) if i < j}
     assert len(want) > 2000 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_copies_do_not_hide_their_cluster(spark):
+    r = np.random.default_rng(4)
+    d = r.standard_normal((2, 64))
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    unit = lambda e: e / np.linalg.norm(e)
+    rows = [(f"k{k}-{i:02}", d[k] + 0.9 * unit(r.standard_normal(64)), None) for k in range(2) for i in range(40)]
+    rows += [(f"equal{i:03}", rows[0][1], None) for i in range(300)] + [(f"near{i:03}", rows[40][1] + 0.02 * r.standard_normal(64), None) for i in range(300)]
+    by = {x.id: x.cluster for x in similarity_clusters(table(spark, rows), "id", "embedding", 64, copies=0.8).collect()}
+    one, two = by["equal000"], by["near000"]
+    assert one != two and sum(by.get(f"k0-{i:02}") == one for i in range(40)) >= 38 and sum(by.get(f"k1-{i:02}") == two for i in range(40)) >= 38
+    assert sum(by.get(f"equal{i:03}") == one for i in range(300)) == 300 and sum(by.get(f"near{i:03}") == two for i in range(300)) == 300
