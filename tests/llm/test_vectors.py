@@ -144,3 +144,16 @@ def test_copies_do_not_hide_their_cluster(spark):
     one, two = by["equal000"], by["near000"]
     assert one != two and sum(by.get(f"k0-{i:02}") == one for i in range(40)) >= 38 and sum(by.get(f"k1-{i:02}") == two for i in range(40)) >= 38
     assert sum(by.get(f"equal{i:03}") == one for i in range(300)) == 300 and sum(by.get(f"near{i:03}") == two for i in range(300)) == 300
+
+
+def test_rounds_go_on_until_every_row_was_a_candidate(spark, monkeypatch):
+    monkeypatch.setattr("lorekiln.llm.clustering.FIRST_CANDIDATES", 12)
+    monkeypatch.setattr("lorekiln.llm.clustering.MOST_CANDIDATES", 12)
+    r = np.random.default_rng(6)
+    ids = [x.id for x in spark.createDataFrame([(f"i{n:03}",) for n in range(72)], "id string").orderBy(F.xxhash64("id")).collect()]
+    d = r.standard_normal(64)
+    d /= np.linalg.norm(d)
+    rows = [(i, np.eye(64)[n], None) for n, i in enumerate(ids[:60])]
+    rows += [(i, d + 0.6 * e / np.linalg.norm(e), None) for i in ids[60:] for e in [r.standard_normal(64)]]
+    got = similarity_clusters(table(spark, rows), "id", "embedding", 64, copies=0.9)
+    assert {x.id for x in got.collect()} == set(ids[60:])  # the members come last in hash order, after rounds without a pivot
