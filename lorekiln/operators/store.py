@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +25,39 @@ def in_parts(records: DataFrame, group: str, most: int = MOST_RECORDS) -> DataFr
     return rows.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
 
 
-def dedupe_key(records: DataFrame, group: str, compress: str = "none", encrypted: bool = False, most: int = MOST_RECORDS) -> DataFrame:
-    """group, part, records, dedupe_key, bundle_id, commit_id: a key of the contents alone, from the hashes in canonical order."""
-    rows = records if "part" in records.columns else in_parts(records, group, most)
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "id", "hash")))
-    key = sha256(F.concat_ws(":", F.concat_ws(":", F.transform(ordered, lambda x: x["hash"])), F.lit(compress), F.lit(str(encrypted).lower())))
-    keys = rows.groupBy(group, "part").agg(F.count(F.lit(1)).alias("records"), key.alias("dedupe_key"))
+def dedupe_key(records: DataFrame, group: str, compress: str = "none", encrypted: bool = False) -> DataFrame:
+    """group, part, records, dedupe_key, bundle_id, commit_id: a key of the contents alone, from the hashes in canonical order.
+
+    One key per group however large, or per part where the records have a column ``part``: the sorted hashes run through one
+    digest, so no group is held in memory.
+    """
+    rows = records if "part" in records.columns else records.withColumn("part", F.lit(0))
+    rows = rows.select(F.col(group).alias("g"), "part", "ts", "id", "hash")
+    end = f":{compress}:{str(encrypted).lower()}".encode()
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, sha, first = None, 0, None, True
+
+        def done() -> pa.RecordBatch:
+            sha.update(end)
+            return pa.RecordBatch.from_arrays([pa.array([at[0]], kind), pa.array([at[1]], pa.int32()), pa.array([n], pa.int64()), pa.array([sha.hexdigest()])], ["g", "part", "records", "dedupe_key"])
+
+        for b in batches:
+            kind = b.schema.field("g").type
+            for g, part, h in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("g", "part", "hash"))):
+                if (g, part) != at:
+                    if at is not None:
+                        yield done()
+                    at, n, sha, first = (g, part), 0, hashlib.sha256(), True
+                n += 1
+                if h is not None:
+                    sha.update(h.encode() if first else b":" + h.encode())
+                    first = False
+        if at is not None:
+            yield done()
+
+    ordered = rows.repartition("g", "part").sortWithinPartitions("g", "part", "ts", "id", "hash")
+    keys = ordered.mapInArrow(digest, f"g {rows.schema['g'].dataType.simpleString()}, part int, records bigint, dedupe_key string").withColumnRenamed("g", group)
     return keys.select(group, "part", "records", "dedupe_key", bundle_id(F.col("dedupe_key")).alias("bundle_id"), commit_id(F.col("dedupe_key")).alias("commit_id"))
 
 

@@ -81,7 +81,8 @@ def snapshot_present(spark, sf_dir):
 
 
 def export_bundle(spark, sf_dir):
-    return IO.export_bundle(concepts(spark, sf_dir), 1_710_000_000_000).select("namespace", "count", "last_synced")
+    parts = IO.export_bundle(concepts(spark, sf_dir), 1_710_000_000_000)
+    return parts.groupBy("namespace").agg(F.sum("count").alias("count"), F.max("last_synced").alias("last_synced"))
 
 
 def parse_bundles(spark, sf_dir):
@@ -110,8 +111,8 @@ def aes_roundtrip(spark, sf_dir):
 def bundle_sizes(spark, sf_dir):
     """Plain and packed bytes of each namespace's bundle; gzip bytes are this engine's, so rows only."""
     r = records(spark, sf_dir)
-    plain = B.pack(r, "namespace", compress=False).select(F.col("namespace").alias("ns"), F.octet_length("payload").alias("plain"))
-    small = B.pack(r, "namespace").select("namespace", F.octet_length("payload").alias("packed"))
+    plain = B.pack(r, "namespace", compress=False).groupBy(F.col("namespace").alias("ns")).agg(F.sum(F.octet_length("payload")).alias("plain"))
+    small = B.pack(r, "namespace").groupBy("namespace").agg(F.sum(F.octet_length("payload")).alias("packed"))
     return small.join(plain, F.col("namespace").eqNullSafe(F.col("ns"))).select("namespace", "plain", "packed", F.round(F.col("packed") / F.col("plain"), 3).alias("ratio"))
 
 
