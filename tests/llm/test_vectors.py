@@ -2,8 +2,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lorekiln.llm.clustering import describe_clusters, similarity_clusters
-from lorekiln.llm.neighbours import _best, _search, neighbour_lists, similar_pairs
-from lorekiln.llm.vectors import usable_vectors
+from lorekiln.llm.neighbours import _Arrays, _best, _collided, _search, neighbour_lists, similar_pairs
+from lorekiln.llm.vectors import place_in_cells, usable_vectors
 
 SCHEMA = "id string, embedding array<float>, namespace string, c int, v string, h string, u string"
 
@@ -133,6 +133,31 @@ def test_divided_cells_find_nearly_all(spark):
     assert len(want) > 2000 and got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_collisions_are_counted_exactly():
+    r = np.random.default_rng(3)
+    x, q = (r.standard_normal((n, 8)).astype("f4") for n in (130, 70))
+    proj = r.standard_normal((8, 32)).astype("f4") / 3
+    arrays, pq, px = _Arrays(x, proj), q @ proj, x @ proj
+    sets = [arrays.window(m, pq[:, m], 0.7) for m in range(32)]
+    hit = np.array([np.unpackbits(s.view(np.uint8), axis=1, bitorder="little")[:, :130] for s in sets])
+    near = np.abs(pq.T[:, :, None] - px.T[:, None, :])
+    assert (hit[near <= 0.7] == 1).all() and (hit[near > 0.75] == 0).all()  # ends are rounded outwards to the grid
+    for enough in (1, 5, 18, 32):
+        got = np.unpackbits(_collided(iter(sets), enough).view(np.uint8), axis=1, bitorder="little")[:, :130]
+        assert ((hit.sum(axis=0) >= enough) == got).all()
+
+
+def test_full_cells_are_fitted_again(spark):
+    r = np.random.default_rng(7)
+    one = np.ones(32) / np.sqrt(32)
+    x = np.concatenate([r.standard_normal((600, 32)), one + 0.05 * r.standard_normal((4000, 32))]).astype("f4")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(e.tobytes(),) for e in x], "v binary").selectExpr("xxhash64(v) AS u", "v")
+    seen, cells = place_in_cells(df, "u", 32, 64, 4, 64, 256)
+    assert len(cells.extra) and max(r[1] for r in seen.df.groupBy("home").count().collect()) <= 8 * 64 and seen.df.count() == 4600
+    assert all(r.home == r.cell[0] and len(set(r.cell)) == 4 for r in seen.df.collect())
+
+
 def test_copies_do_not_hide_their_cluster(spark):
     r = np.random.default_rng(4)
     d = r.standard_normal((2, 64))
