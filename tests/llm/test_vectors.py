@@ -153,8 +153,8 @@ def test_full_cells_are_fitted_again(spark):
     x = np.concatenate([r.standard_normal((600, 32)), one + 0.05 * r.standard_normal((4000, 32))]).astype("f4")
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     df = spark.createDataFrame([(e.tobytes(),) for e in x], "v binary").selectExpr("xxhash64(v) AS u", "v")
-    seen, cells = place_in_cells(df, "u", 32, 64, 4, 64, 256)
-    assert len(cells.extra) and max(r[1] for r in seen.df.groupBy("home").count().collect()) <= 8 * 64 and seen.df.count() == 4600
+    seen, cells = place_in_cells(df, "u", 32, 16, 4, 3, 256)  # 9 cells to begin with
+    assert len(cells.extra) and max(r[1] for r in seen.df.groupBy("home").count().collect()) <= 4000 / 2 and seen.df.count() == 4600
     assert all(r.home == r.cell[0] and len(set(r.cell)) == 4 for r in seen.df.collect())
 
 
@@ -172,8 +172,8 @@ def test_copies_do_not_hide_their_cluster(spark):
 
 
 def test_rounds_go_on_until_every_row_was_a_candidate(spark, monkeypatch):
-    monkeypatch.setattr("lorekiln.llm.clustering.FIRST_CANDIDATES", 12)
-    monkeypatch.setattr("lorekiln.llm.clustering.MOST_CANDIDATES", 12)
+    monkeypatch.setattr("lorekiln.llm.clustering.FIRST", 12)
+    monkeypatch.setattr("lorekiln.llm.clustering.MORE", 1)
     r = np.random.default_rng(6)
     ids = [x.id for x in spark.createDataFrame([(f"i{n:03}",) for n in range(72)], "id string").orderBy(F.xxhash64("id")).collect()]
     d = r.standard_normal(64)
@@ -182,3 +182,16 @@ def test_rounds_go_on_until_every_row_was_a_candidate(spark, monkeypatch):
     rows += [(i, d + 0.6 * e / np.linalg.norm(e), None) for i in ids[60:] for e in [r.standard_normal(64)]]
     got = similarity_clusters(table(spark, rows), "id", "embedding", 64, copies=0.9)
     assert {x.id for x in got.collect()} == set(ids[60:])  # the members come last in hash order, after rounds without a pivot
+
+
+def test_small_clusters_in_a_wide_background(spark):
+    r = np.random.default_rng(5)
+    unit = lambda e: e / np.linalg.norm(e, axis=1, keepdims=True)
+    d = unit(r.standard_normal((20, 64)))
+    x = np.sqrt(0.55) * np.repeat(d, 40, 0) + np.sqrt(0.45) * unit(r.standard_normal((800, 64)))
+    rows = [(f"k{i:03}", e, None) for i, e in enumerate(x)] + [(f"z{i}", e, None) for i, e in enumerate(unit(r.standard_normal((20_000, 64))))]
+    by = {g.id: g.cluster for g in similarity_clusters(table(spark, rows), "id", "embedding", 64, copies=0.8).collect()}
+    for k in range(20):
+        own = [by.get(f"k{i:03}") for i in range(40 * k, 40 * k + 40)]
+        assert max(map(own.count, set(own) - {None})) >= 38
+    assert len(set(by.values())) == 20
