@@ -14,9 +14,9 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stuffed pages with both measures."""
+    """The stuffed pages with the shares they are judged by."""
     got = stuffed_pages(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return got.select(F.col("doc").alias("doc_id"), F.round("unstructured", 4).alias("unstructured"), F.round("coverage", 4).alias("coverage"))
+    return got.select(F.col("doc").alias("doc_id"), *[F.round(c, 4).alias(c) for c in ("loose", "short", "repeated")])
 
 
 QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores}

@@ -1,8 +1,10 @@
 """Splitting oversized items at natural boundaries by packing a tree of their structure.
 
-An item is a tree: headings by rank, blocks between blank lines (a fenced block is one), lines and list items, sentences,
-clauses, words. A node that fits is a leaf. A node that does not is opened, and only such a node; the pieces of its
-children are merged left to right, bottom-up, as long as they fit together. So a cut falls at the highest boundary there is.
+An item is a tree: headings by rank (outside fenced blocks), blocks between blank lines (a fenced block that fits is one), list items by
+their nesting, elements of markup, lines, sentences, clauses, words. A node that fits is a leaf. A node that does not is
+opened, and only such a node: neighbouring children that fit are merged, whole, as long as they fit together, and the pieces of
+a child that had to be opened stay by themselves. So a cut falls at the highest boundary there is and no piece runs from the
+inside of one node into the next.
 
 Limits: a piece is its core plus an overlap, a suffix of the text before it of at most a tenth of the limit that begins
 at a sentence or else a word. Cores are packed to nine tenths of the limit; a single unbroken stretch longer than that
@@ -26,10 +28,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Boundaries from high to low; a cut falls at the end of a match. Headings are found by rank.
-_HEADING = re.compile(r"^(#{1,6})[ \t]", re.M)
-_FENCE = re.compile(r"^(```|~~~).*?^\1[^\n]*\n?", re.M | re.S)
-_LEVELS = (re.compile(r"\n[ \t]*(?:\n[ \t]*)+"), re.compile(r"\n"), re.compile(r"[.!?…][\"'”»)\]]*\s+"), re.compile(r"[,;:–—][\"'”»)\]]*\s+"), re.compile(r"\s+"))
+#: Boundaries from high to low; a cut falls at the end of a match. Headings are found by rank, list items by indentation.
+_HEADING = re.compile(r"^(#{1,6})[ \t]|<h([1-6])\b", re.M | re.I)
+_FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n]*\n.*?(?:^[ \t]*\1[^\n]*\n?|\Z)", re.M | re.S)
+_ENTRY = re.compile(r"^([ \t]*)(?:[-*+]|\d{1,9}[.)])[ \t]", re.M)
+_BLOCK, _LIST = re.compile(r"\n[ \t]*(?:\n[ \t]*)+"), None
+_SENTENCE, _WORD = re.compile(r"[.!?…][\"'”»)\]]*\s+"), re.compile(r"\s+")
+_LEVELS = (
+    _BLOCK, _LIST, re.compile(r"</(?:section|article|div|table|ul|ol|blockquote|pre)>\s*", re.I), re.compile(r"</(?:p|li|tr|dd|h[1-6])>\s*|<[bh]r\s*/?>\s*", re.I),
+    re.compile(r"\n"), _SENTENCE, re.compile(r"[,;:–—][\"'”»)\]]*\s+"), _WORD,
+)
 _MARK = re.compile(r"[,;:.>}\])/&|]")
 SCHEMA = "kind string, key string, piece int, start int, core int, stop int, hard boolean, text string, bytes binary"
 
@@ -46,15 +54,15 @@ class _Item:
             width = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
             width[(c >= 0xDC80) & (c <= 0xDCFF)] = 1  # an undecodable byte
             self.off = np.concatenate([[0], np.cumsum(width)])
-        self.fences = [m.span() for m in _FENCE.finditer(text) if self.size(*m.span()) <= self.room]  # those that can stay whole
-        self.fence_starts = [s for s, _ in self.fences]
+        self.fences = [m.span() for m in _FENCE.finditer(text)]
+        self.whole = [f for f in self.fences if self.size(*f) <= self.room]  # those that can stay whole
 
     def size(self, a: int, b: int) -> int:
         return b - a if self.off is None else int(self.off[b] - self.off[a])
 
-    def in_fence(self, x: int) -> bool:
-        i = bisect_left(self.fence_starts, x) - 1
-        return i >= 0 and x < self.fences[i][1]
+    def inside(self, x: int, spans: list[tuple[int, int]]) -> bool:
+        i = bisect_left(spans, (x, -1)) - 1
+        return i >= 0 and x < spans[i][1]
 
     def reach(self, a: int, room: int) -> int:
         """The furthest position at most ``room`` after a, at least one character."""
@@ -66,11 +74,15 @@ class _Item:
         """The node's parts at the first level that divides it, and the level below."""
         while level < 6 + len(_LEVELS):
             if level < 6:  # headings of this rank or higher begin a part
-                cuts = [m.start() for m in _HEADING.finditer(self.text, a, b) if len(m[1]) <= level + 1 and m.start() > a]
+                cuts = [m.start() for m in _HEADING.finditer(self.text, a, b) if (len(m[1]) if m[1] else int(m[2])) <= level + 1 and m.start() > a and not self.inside(m.start(), self.fences)]
+            elif _LEVELS[level - 6] is _LIST:  # the entries of least indentation begin a part, until none is left
+                entries = [(len(m[1].expandtabs(4)), m.start()) for m in _ENTRY.finditer(self.text, a, b) if m.start() > a and not self.inside(m.start(), self.fences)]
+                cuts = [x for deep, x in entries if deep == min(entries)[0]]
+                level -= bool(cuts)
             else:
                 cuts = [m.end() for m in _LEVELS[level - 6].finditer(self.text, a, b) if m.end() < b]
                 if level == 6:
-                    cuts = [x for x in cuts if not self.in_fence(x)]
+                    cuts = [x for x in cuts if not self.inside(x, self.whole)]
             level += 1
             if cuts:
                 edges = [a, *cuts, b]
@@ -85,12 +97,15 @@ class _Item:
         if not parts:
             return self.stretch(a, b)
         out: list[tuple[int, int, bool]] = []
+        join = False  # whether the last piece is made of whole parts
         for s, e in parts:
-            for piece in self.pack(s, e, below):
-                if out and not out[-1][2] and self.size(out[-1][0], piece[1]) <= self.room:
-                    out[-1] = (out[-1][0], piece[1], piece[2])
-                else:
-                    out.append(piece)
+            if self.size(s, e) > self.room:
+                out, join = out + self.pack(s, e, below), False
+            elif join and self.size(out[-1][0], e) <= self.room:
+                out[-1] = (out[-1][0], e, False)
+            else:
+                out.append((s, e, False))
+                join = True
         return out
 
     def stretch(self, a: int, b: int) -> list[tuple[int, int, bool]]:
@@ -121,8 +136,8 @@ class _Item:
             first = max(prev, first)
         if first >= start or first == prev:
             return first
-        for level in (2, 4):
-            if (m := _LEVELS[level].search(self.text, first, start)) and m.end() < start:
+        for boundary in (_SENTENCE, _WORD):
+            if (m := boundary.search(self.text, first, start)) and m.end() < start:
                 return m.end()
         return first if not re.search(r"\s", self.text[first:start]) else start
 

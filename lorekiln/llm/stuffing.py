@@ -1,70 +1,84 @@
-"""Keyword-stuffed and link-list pages: missing clause structure combined with coverage by repeated substrings.
+"""Keyword-stuffed and link-list pages: words covered by repeated maximal substrings, combined with missing clause structure.
 
-Clause structure. A page is cut into units (lines and sentences). A unit has the structure of a clause if it has at least
-``CLAUSE_WORDS`` words among which at least two different function words make up ``CLAUSE_SHARE`` or more: articles,
-prepositions, auxiliaries, conjunctions and pronouns hold a sentence together, lists of keywords, links or products lack
-them, whatever their words are. The share of a page's words in units without it is its unstructured share.
+A page is read as its words, cut into runs: a run ends at any punctuation mark or other sign between two words and at the end of a line (marks
+of quotation, apostrophes and hyphens apart). No word list and no language is assumed. A run holds no clause if
 
-Repetition. The page's suffix automaton gives, for each position, the longest substring ending there that occurs twice or
-more in the page; the characters covered by such substrings of ``LEAST`` or more are its coverage: keywords come again,
-link and product lists repeat their scaffolding. Prose repeats too, so coverage alone would not do, nor would structure
-alone: a page is stuffed if more than half of its words are unstructured and its coverage is ``coverage`` or more.
+* it is short, at most ``CLAUSE`` words: items of a list, cells of a table, parts of an address, tags; or
+* it is made of repeats: its words are covered by repeated maximal substrings of the page, sequences of words that occur
+  ``TIMES`` times or more; three quarters of them by sequences of three words or more, four fifths by two or more, or all but a
+  few by single words (``SHARES``: the shorter the repeats, the more they must cover). Keywords strung together without a mark, and phrases that differ in one word only, have the length of a
+  sentence but not its variety.
 
-Both tests must hold, so the automaton, the dearer of the two, is built only where the first holds; the rows are the same.
-A page longer than ``BLOCK`` characters is measured block by block, all of it, in bounded memory.
+Repeats come from the suffix automaton of the page's words: each state stands for the sequences that end at the same
+places; the number of these places, added up along the suffix links, tells how often they occur; following each word's state
+up to the first that occurs often enough gives the longest such repeat that ends there. Coverage alone would not do, since
+prose repeats itself, nor would runs, since keywords need no marks; a page is stuffed if more than ``more_than`` of its words
+stand in runs of either kind. Prose has such runs too, seldom for a third of
+its words, hence the bound above one half.
+Copies of a sentence or line of ``PASSAGE`` words or more
+are judged as one, so a passage that is repeated as a whole stays prose.
 
-Cases: null, empty and wordless texts are not stuffed; case is ignored; repeated rows are each judged; an empty table gives
-none. Function words are those of English, German, French and Spanish; for other languages give your own.
+The automaton takes a whole page, however long: time and memory are linear in its words.
+
+Cases: null, empty and wordless texts are not stuffed; case is ignored; repeated rows are each judged; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CLAUSE_WORDS, CLAUSE_SHARE, LEAST, BLOCK = 5, 0.12, 4, 65_536
-WORD = re.compile(r"[^\W_]+")
-UNIT = re.compile(r"\n+|(?<=[.!?;])[\"'”»)\]}]*\s+")
-#: Function words by language. Fixed values.
-FUNCTION_WORDS = {
-    "en": "the a an of to in on at by for with from as is are was were be been has have had that which whose it its and or but if when while until because so than never not no under over after before between only into out more most what who how both every yet this these those our we he she they you your please one",
-    "de": "der die das den dem des ein eine einen einem einer eines und oder aber wenn als weil dass daß ist sind war wurde wurden wird werden hat hatte hatten haben mit von vom zu zum zur im in an am auf aus bei bis nach vor für über unter zwischen kein keine keinen nur doch sich nicht mehr erst deshalb niemand",
-    "fr": "le la les un une des du de au aux et ou mais si quand que qui dont est sont était a ont avait eut fut été ne pas plus dans sur sous par pour avec sans car puis après avant entre dès seul cette ce ces son sa ses toutes tous",
-    "es": "el la los las un una unos de del al y o pero si cuando que quien es son fue era está estaba ha han había hubo no más en sobre bajo por para con sin porque después antes entre tras hasta cada solo su sus lo se nadie quedó",
-}
-
-
-def unstructured_share(text: str, function_words: frozenset[str]) -> float:
-    """The share of the words that stand in units without clause structure; 0 if there are no words."""
-    total = loose = 0
-    for unit in UNIT.split(text.lower()):
-        words = WORD.findall(unit)
-        total += len(words)
-        held = [w for w in words if w in function_words]
-        if len(words) < CLAUSE_WORDS or len(held) < CLAUSE_SHARE * len(words) or len(set(held)) < 2:
-            loose += len(words)
-    return loose / total if total else 0.0
+CLAUSE, TIMES, PASSAGE = 3, 3, 8
+#: The share of a run's words that repeats must cover, by the least length of the repeats that are counted.
+SHARES = {3: 0.75, 2: 0.8, 1: 0.95}
+PART = re.compile(r"[^\W_]+")
+WORD = re.compile(r"[^\W_]+(?:['’`_-]+[^\W_]+)*")
+UNIT = re.compile(r"\n+|(?<=[.!?…;])[\"'”’»)\]}]*\s+")
+JOIN = re.compile(r"[^\S\n]*['’`\"“”«»_*-]*[^\S\n]*['’`\"“”«»_*-]*[^\S\n]*")
 
 
-def repeated_characters(text: str, least: int = LEAST) -> int:
-    """How many characters lie in substrings of ``least`` or more that occur at least twice, by a suffix automaton."""
+def word_runs(text: str) -> list[tuple[list[str], int]]:
+    """The words of a text, in runs that no mark and no end of a line divides, with how often the sentence or line occurs."""
+    units: list[tuple[list[list[str]], int]] = []
+    seen: dict[tuple, int] = {}
+    for unit in UNIT.split(text.lower()):
+        own: list[list[str]] = []
+        last = -1
+        for m in WORD.finditer(unit):
+            if last < 0 or not JOIN.fullmatch(unit, last, m.start()):
+                own.append([])
+            own[-1].append(m[0])
+            last = m.end()
+        key = tuple(w for run in own for w in run)
+        if len(key) >= PASSAGE and len(set(key)) > len(key) // 2:
+            at = seen.setdefault(key, len(units))
+            if at < len(units):
+                units[at] = (units[at][0], units[at][1] + 1)
+                continue
+        units.append((own, 1))
+    return [(run, times) for own, times in units for run in own]
+
+
+def longest_repeats(symbols: Sequence, times: int = TIMES) -> list[int]:
+    """For each place the length of the longest sequence ending there that occurs ``times`` times or more, by a suffix automaton."""
     nxt: list[dict] = [{}]
-    link, length, last, prefix = [-1], [0], 0, []
-    for ch in text:
+    link, length, ends, last, prefix = [-1], [0], [0], 0, []
+    for sym in symbols:
         cur = len(nxt)
         nxt.append({})
         length.append(length[last] + 1)
         link.append(0)
+        ends.append(1)
         p = last
-        while p != -1 and ch not in nxt[p]:
-            nxt[p][ch] = cur
+        while p != -1 and sym not in nxt[p]:
+            nxt[p][sym] = cur
             p = link[p]
         if p != -1:
-            q = nxt[p][ch]
+            q = nxt[p][sym]
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
@@ -72,47 +86,61 @@ def repeated_characters(text: str, least: int = LEAST) -> int:
                 nxt.append(nxt[q].copy())
                 length.append(length[p] + 1)
                 link.append(link[q])
+                ends.append(0)
                 link[q] = link[cur] = copy
-                while p != -1 and nxt[p].get(ch) == q:
-                    nxt[p][ch] = copy
+                while p != -1 and nxt[p].get(sym) == q:
+                    nxt[p][sym] = copy
                     p = link[p]
         last = cur
         prefix.append(cur)
-    again = [False] * len(nxt)  # an inner state of the link tree ends at two places or more
-    for s in link[1:]:
-        if s > 0:
-            again[s] = True
-    covered, reach = 0, len(text)
-    for i in range(len(text) - 1, -1, -1):
-        s = prefix[i]
-        long = length[s] if again[s] else length[link[s]]
-        if long >= least:
-            reach = min(reach, i + 1 - long)
-        covered += reach <= i
-    return covered
-
-
-def page_scores(text: str, function_words: frozenset[str], more_than: float) -> tuple[float, float | None]:
-    """(unstructured share, coverage); no coverage where the share is not above ``more_than``."""
-    share = unstructured_share(text, function_words)
-    if share <= more_than:
-        return share, None
-    low = text.lower()
-    return share, sum(repeated_characters(low[i : i + BLOCK]) for i in range(0, len(low), BLOCK)) / len(low)
-
-
-def stuffed_pages(df: DataFrame, doc_id: str, text: str, more_than: float = 0.5, coverage: float = 0.35, function_words: dict[str, str] | None = None) -> DataFrame:
-    """doc, unstructured, coverage of the pages that are stuffed."""
-    held = frozenset(w for words in (function_words or FUNCTION_WORDS).values() for w in words.split())
+    order = sorted(range(1, len(nxt)), key=length.__getitem__)
+    for s in reversed(order):
+        ends[link[s]] += ends[s]
+    long = [0] * len(nxt)
+    for s in order:
+        long[s] = length[s] if ends[s] >= times else long[link[s]]
+    return [long[s] for s in prefix]
+
+
+def covered(repeats: Sequence[int], least: int) -> list[bool]:
+    """Which places lie in a repeat of ``least`` or more, given the longest repeat that ends at each place."""
+    out, reach = [False] * len(repeats), len(repeats)
+    for i in range(len(repeats) - 1, -1, -1):
+        if repeats[i] >= least:
+            reach = min(reach, i + 1 - repeats[i])
+        out[i] = reach <= i
+    return out
+
+
+def page_scores(text: str) -> tuple[float, float, float]:
+    """(share of words in runs without a clause, share in short runs, share covered by repeats of two words or more); zeros if there are no words."""
+    runs = word_runs(text)
+    words = [w for run, _ in runs for w in run]
+    if not words:
+        return 0.0, 0.0, 0.0
+    repeats = longest_repeats(words)
+    hits = {least: covered(repeats, least) for least in SHARES}
+    at = total = loose = short = again = 0
+    for run, times in runs:
+        size = [times if w.isalnum() else times * len(PART.findall(w)) for w in run]
+        n, end = sum(size), at + len(run)
+        total += n
+        again += sum(s for s, h in zip(size, hits[2][at:end]) if h)
+        if len(run) <= CLAUSE:
+            short += n
+        if len(run) <= CLAUSE or any(sum(hit[at:end]) >= SHARES[least] * len(run) for least, hit in hits.items()):
+            loose += n
+        at = end
+    return loose / total, short / total, again / total
+
+
+def stuffed_pages(df: DataFrame, doc_id: str, text: str, more_than: float = 0.63) -> DataFrame:
+    """doc, loose, short, repeated of the pages that are stuffed; the shares of ``page_scores``."""
     rows = df.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).filter(F.length("text") > 0)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for doc, t in zip(b["doc"], b["text"]):
-                share, cover = page_scores(t, held, more_than)
-                if cover is not None and cover >= coverage:
-                    out.append((doc, share, cover))
-            yield pd.DataFrame(out, columns=["doc", "unstructured", "coverage"])
-
-    return rows.mapInPandas(judge, f"doc {rows.schema['doc'].dataType.simpleString()}, unstructured double, coverage double")
+            out = [(doc, *score) for doc, t in zip(b["doc"], b["text"]) if (score := page_scores(t))[0] > more_than]
+            yield pd.DataFrame(out, columns=["doc", "loose", "short", "repeated"])
+
+    return rows.mapInPandas(judge, f"doc {rows.schema['doc'].dataType.simpleString()}, loose double, short double, repeated double")

@@ -11,7 +11,7 @@ from lorekiln.llm import near_duplicates as nd
 from lorekiln.llm.leakage import find_leaks, plain_words
 from lorekiln.llm.packing import TOKEN, pack, plan_bins, token_count
 from lorekiln.llm.splitting import split_oversized, split_text
-from lorekiln.llm.stuffing import repeated_characters, stuffed_pages
+from lorekiln.llm.stuffing import covered, longest_repeats, page_scores, stuffed_pages
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -144,6 +144,28 @@ def test_split_boundaries(spark):
     assert split_oversized(df.limit(0), "text", F.col("id"), F.col("t"), 100).count() == 0
 
 
+def test_headings_inside_fences_and_whole_siblings():
+    code = "```\n" + "x = 1\n" * 100 + "# a comment\n" + "y = 2\n" * 100 + "```\n"
+    text = "# One\n\n" + "Words of the first part. " * 40 + "\n\n" + code + "\n# Two\n\nThe end."
+    assert any(text[c:e].strip() == code.strip() for _, c, e, _ in check_split(text, 1400))
+    check_split(text, 300)  # the block has to be cut, but not before its comment as if that were a heading
+    a, b = "# A\n\n" + "One sentence of A stands here. " * 100, "# B\n\n" + "Short.\n"
+    text = a + "\n" + b * 1 + "# C\n\n" + "More of C. " * 20
+    pieces = check_split(text, 2000)
+    assert all(not ("of A" in text[c:e] and "# B" in text[c:e]) for _, c, e, _ in pieces)  # no piece runs from inside A into B
+    assert any("# B" in text[c:e] and "# C" in text[c:e] for _, c, e, _ in pieces)  # whole siblings are merged
+
+
+def test_lists_are_cut_by_nesting_and_markup_by_elements():
+    text = "".join(f"- item {i} has some words\n" + "".join(f"  - detail {i}.{j} of it\n" for j in range(4)) for i in range(12))
+    pieces = check_split(text, 300)
+    assert all(text[c:e].startswith("- item") for _, c, e, _ in pieces)
+    deep = "- top\n" + "".join(f"  - mid {i}\n" + "    - low one two three\n" * 6 for i in range(8))
+    assert all(text_.lstrip().startswith(("- top", "- mid")) for text_ in (deep[c:e] for _, c, e, _ in check_split(deep, 260)))
+    html = "".join(f"<div><p>First of {i}.</p><p>Second of {i}.</p></div>\n" for i in range(20))
+    assert all(html[c:e].startswith("<div>") for _, c, e, _ in check_split(html, 200))
+
+
 def best_fit_decreasing(sizes, capacity):
     bins = []
     for s in sorted(sizes, reverse=True):
@@ -218,21 +240,33 @@ def test_leaks(spark, bound):
     assert find_leaks(df, "doc", "text", it.limit(0), "item", "passage", 12, bound).count() == 0
 
 
-def covered(text, least):
+def brute_cover(words, least, times):
     hit = set()
-    for i in range(len(text)):
-        for j in range(i + least, len(text) + 1):
-            if text.find(text[i:j]) != i or text.find(text[i:j], i + 1) != -1:
+    for i in range(len(words)):
+        for j in range(i + least, len(words) + 1):
+            if sum(words[k : k + j - i] == words[i:j] for k in range(len(words))) >= times:
                 hit.update(range(i, j))
-            else:
-                break
-    return len(hit)
+    return [i in hit for i in range(len(words))]
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="abc ", max_size=60), st.integers(1, 5))
-def test_automaton_coverage(text, least):
-    assert repeated_characters(text, least) == covered(text, least)
+@given(st.lists(st.sampled_from("abc"), max_size=30), st.integers(1, 4), st.integers(2, 4))
+def test_automaton_coverage(words, least, times):
+    assert covered(longest_repeats(words, times), least) == brute_cover(words, least, times)
+
+
+POLISH = "Warszawa jest stolicą Polski i największym miastem kraju. Leży nad Wisłą, w środkowej części państwa, a jej historia sięga trzynastego wieku. Miasto zostało niemal całkowicie zniszczone podczas wojny, lecz mieszkańcy odbudowali je w ciągu kilkunastu lat."
+ITALIAN = "La città di Firenze fu il centro del Rinascimento e conserva ancora oggi molte opere di quel periodo. Ogni anno milioni di visitatori arrivano per vedere i musei, le chiese e i palazzi che la resero famosa."
+
+
+def test_prose_of_any_language_is_not_stuffed():
+    for text in (POLISH, ITALIAN, POLISH * 9, (POLISH + "\n") * 400):
+        assert page_scores(text)[0] < 0.3
+    for text in ("tani but czarny but tani but czarny but " * 12, "tani but, czarny but; nowy but | stary but", "najlepszy sklep z butami w Łodzi. " * 12, "\n".join(f"najlepszy sklep z butami w {w}" for w in WORDS[:30])):
+        assert page_scores(text)[0] > 0.7
+    body = " ".join(WORDS[:150]) * 1
+    far = " ".join(f"q{i}" for i in range(30_000))
+    assert page_scores(f"{body} {far}")[0] == 0.0 and page_scores(" ".join([body, far] * 3))[0] == 1.0  # repeats far apart count
 
 
 def test_stuffed_pages(spark):
@@ -242,6 +276,6 @@ def test_stuffed_pages(spark):
         (1, "cheap shoes, red shoes, cheap red shoes, shoes online, " * 10), (2, links), (3, prose * 3), (4, None), (5, ""), (6, "... !!!"), (7, prose + links), (8, prose * 30 + links), (9, "best hotel for paris. best hotel for rome. best hotel for oslo. best hotel for bern."),
         (10, "cheap shoes " * 40_000), (11, prose * 800), (1, "buy now " * 30), (12, "| lamp | SKU-1 | $5 |\n| desk | SKU-2 | $7 |\n| sofa | SKU-3 | $9 |"),
     ]
-    df = spark.createDataFrame([(*x, "x", 0.5) for x in rows], "doc bigint, text string, unstructured string, coverage double")
+    df = spark.createDataFrame([(*x, "x", 0.5) for x in rows], "doc bigint, text string, loose string, repeated double")
     assert sorted(r.doc for r in stuffed_pages(df, "doc", "text").collect()) == [1, 1, 2, 7, 9, 10, 12]
     assert stuffed_pages(df.limit(0), "doc", "text").count() == 0
