@@ -7,12 +7,17 @@ window's MinHash (the smallest of its shingle hashes) is its key. A passage is i
 of ``run`` words is one whole window on both sides, with the same MinHash, so no leak is missed, in a document of any
 size. Windows that share a MinHash are candidates only; a candidate counts if its ``run`` words equal a run of the passage.
 
-The passages are held-out items, few beside the corpus; their number of words is checked. Up to ``BROADCAST_WORDS`` words the
-index goes to every task and documents are read once, without a shuffle. Beyond, documents and passages meet by a join on
-the MinHashes and the pairs are verified from their texts; both ways give the same rows.
+Windows take the partition by size to its end: in a partition of documents of x shingles, an item of q shingles that shares
+the 8 of a run has a Jaccard similarity of 8 / (x + q - 8), a few hundredths for whole pages, which no affordable number of
+hashes finds; between windows of the run's own size it is 1 (figures in the README).
 
-Words are runs of letters and digits; case and accents are ignored. Cases: null or short texts and passages match nothing;
-repeated passages all count; repeated documents are reported each; very long texts are read whole; empty tables give none.
+The passages are held-out items, few beside the corpus; their number of characters is checked. Up to ``BROADCAST_CHARS`` the
+index goes to every task and documents are read once, without a shuffle. Beyond, the MinHashes of documents and passages are
+joined to find the documents that may leak, and the windows of these meet those of the passages by MinHash and words, so texts travel once
+however many items share a hash; both ways give the same rows.
+
+Words are runs of letters and digits; case and accents are ignored. Cases: null or short texts and passages match nothing, null ids
+give no row; repeated passages all count; a repeated document or item gives its rows once; very long texts are read whole; empty tables give none.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.plans.stages import write_stage
 
-BROADCAST_WORDS, SHINGLE = 1_000_000, 5
+BROADCAST_CHARS, SHINGLE = 8_000_000, 5
 WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile("[̀-ͯ҃-҉֑-ֽً-ٟ᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
 _STEP, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -88,11 +93,11 @@ def _hits(keys: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return np.nonzero(keys[at] == windows)[0]
 
 
-def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, run: int = 12, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, run: int = 12, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """doc, item: every document with ``run`` or more consecutive words in common with an item's passage; distinct."""
-    d = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).filter(F.length("text") >= 2 * run - 1)
+    d = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).filter(F.col("doc").isNotNull() & (F.length("text") > 0))
     i = items.select(F.col(item_id).cast("long").alias("item"), F.col(passage).alias("passage")).filter(F.col("item").isNotNull() & F.col("passage").isNotNull())
-    if (i.agg(F.sum(F.size(F.split("passage", r"\s+")))).first()[0] or 0) > broadcast_words:
+    if (i.agg(F.sum(F.length("passage"))).first()[0] or 0) > broadcast_chars:
         return _find_by_join(d, i, run)
     keys, runs = _index([tuple(r) for r in i.collect()], run)  # within the bound just checked
 
@@ -110,32 +115,33 @@ def find_leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
                     out += [(doc, x) for x in sorted(found)]
             yield pd.DataFrame(out, columns=["doc", "item"])
 
-    return d.mapInPandas(scan, f"doc {d.schema['doc'].dataType.simpleString()}, item bigint")
+    return d.mapInPandas(scan, f"doc {d.schema['doc'].dataType.simpleString()}, item bigint").distinct()
 
 
 def _find_by_join(d: DataFrame, i: DataFrame, run: int) -> DataFrame:
     kind = d.schema["doc"].dataType.simpleString()
 
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = WindowHasher(run)
+        for b in batches:
+            for doc, t in zip(b["doc"], b["text"]):
+                got = np.unique(hasher(plain_words(t)))
+                if len(got):
+                    yield pd.DataFrame({"doc": [doc] * len(got), "key": got.view(np.int64)})
+
     def windows(id_: str, text: str):
         def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hasher = WindowHasher(run)
             for b in batches:
                 for x, t in zip(b[id_], b[text]):
-                    got = np.unique(hasher(plain_words(t)))
+                    words = plain_words(t)
+                    got = hasher(words)
                     if len(got):
-                        yield pd.DataFrame({id_: [x] * len(got), "key": got.view(np.int64)})
+                        yield pd.DataFrame({id_: [x] * len(got), "key": got.view(np.int64), "words": [" ".join(words[k : k + run]) for k in range(len(got))]})
 
         return go
 
-    pairs = write_stage(d.mapInPandas(windows("doc", "text"), f"doc {kind}, key bigint").join(i.mapInPandas(windows("item", "passage"), "item bigint, key bigint"), "key").select("doc", "item").distinct())
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = []
-            for t, p in zip(b["text"], b["passage"]):
-                w, v = plain_words(t), plain_words(p)
-                own = {" ".join(v[k : k + run]) for k in range(len(v) - run + 1)}
-                ok.append(any(" ".join(w[k : k + run]) in own for k in range(len(w) - run + 1)))
-            yield b[["doc", "item"]][np.array(ok, dtype=bool)]
-
-    return pairs.df.join(d, "doc").join(i, "item").select("doc", "item", "text", "passage").mapInPandas(verify, f"doc {kind}, item bigint").distinct()
+    own = write_stage(i.mapInPandas(windows("item", "passage"), "item bigint, key bigint, words string").distinct())
+    maybe = write_stage(d.mapInPandas(keys, f"doc {kind}, key bigint").join(own.df.select("key").distinct(), "key", "left_semi").select("doc").distinct())
+    found = d.join(maybe.df, "doc", "left_semi").mapInPandas(windows("doc", "text"), f"doc {kind}, key bigint, words string")
+    return found.join(own.df, ["key", "words"]).select("doc", "item").distinct()

@@ -231,9 +231,9 @@ def test_leaks(spark, bound):
         n = r.randrange(9, 16)
         k = r.randrange(0, 30 - n)
         rows.append((i, (" ".join(w[:50]) + " ... " + "-".join(p[k : k + n]).upper() + "\n" + " ".join(w[50:]))))
-    rows += [(60, None), (61, ""), (62, "E" * 5), (63, "a " + "É " * 14), (64, " ".join(text(30_000)) + " " + items[3][1])]
-    df = spark.createDataFrame([(*x, 1, "p") for x in rows], "doc int, text string, item int, passage string")
-    it = spark.createDataFrame([(*x, "t") for x in items], "item bigint, passage string, text string")
+    rows += [(60, None), (61, ""), (62, "E" * 5), (63, "a " + "É " * 14), (65, "ﷺ" * 12), (64, " ".join(text(30_000)) + " " + items[3][1])]
+    df = spark.createDataFrame([(*x, 1, "p") for x in rows + rows[:4] + [(None, rows[0][1])]], "doc int, text string, item int, passage string")
+    it = spark.createDataFrame([(*x, "t") for x in items + items[:3] + [(None, items[0][1])]], "item bigint, passage string, text string")
     got = [tuple(x) for x in find_leaks(df, "doc", "text", it, "item", "passage", 12, bound).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_leaks(rows, items, 12) and len(got) > 20
     assert find_leaks(df.limit(0), "doc", "text", it, "item", "passage", 12, bound).count() == 0
