@@ -14,9 +14,8 @@ record that has both. Bundles joined by a dependency form a tree (checked), so e
 * Bound: a partial choice is dropped if its trust plus the best trust of each open bundle is below the incumbent, the
   best choice in which all bundles come from one record.
 
-Where no candidate keeps the dependencies the bundle stays empty (trust 0). A bundle hangs on the one it was branched from and
-is empty where that one is empty or determines nothing, unless ``open_bundles`` is set: then every bundle may be empty, and a
-neighbour that is empty or determines nothing forbids no candidate. No step gathers a group in one task.
+Every bundle may stay empty (trust 0), the first of a tree as well; a neighbour that is empty or determines nothing forbids no
+candidate, so a value is lost only to a dependency that forbids it. No step gathers a group in one task.
 
 Nulls, ties and other cases: a record whose key is null belongs to no group; ``order`` columns sort descending with nulls
 last, ties go to the smaller record id; repeated records are records; an empty table gives no row; the caller's columns
@@ -80,12 +79,12 @@ def _tree_order(bundles: dict, fds: Sequence[tuple]) -> dict[str, list[tuple[str
 
 def choose_bundles(
     df: DataFrame, key: Column, record_id: Column, order: Sequence[Column], bundles: dict[str, Sequence[str]], fds: Sequence[tuple[Sequence[str], Sequence[str]]] = (),
-    trust: Column | None = None, missing=is_missing, least: int = 2, open_bundles: bool = False,
+    trust: Column | None = None, missing=is_missing, least: int = 2,
 ) -> DataFrame:
     """group_key, first_id, bundle, from_id: the record that each bundle of each group of ``least`` or more records is taken from.
 
     ``order``: columns, larger is better, null worst. ``trust``: a number >= 0 that is summed over bundles where dependencies
-    leave a choice (1 for every record if not given). ``open_bundles``: a value is lost only to a dependency that forbids it. A bundle without fields is never missing: it gives the best record.
+    leave a choice (1 for every record if not given). A bundle without fields is never missing: it gives the best record.
     """
     fields = sorted({f for b in bundles.values() for f in b})
     rows = df.select(key.alias("g"), record_id.cast("long").alias("r"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], (-record_id.cast("long")).alias("z")).alias("t"),
@@ -113,7 +112,7 @@ def choose_bundles(
     out = [best.select(F.col("g").alias("group_key"), "first_id", F.inline(F.array(*pick)))] if free else []
     for part in parts.values():
         if len(part) > 1:
-            long = _branch(rows, part, has, open_bundles)
+            long = _branch(rows, part, has)
             out.append(best.select("g", "first_id").join(long, "g").select(F.col("g").alias("group_key"), "first_id", "bundle", "from_id"))
     whole = out[0]
     for more in out[1:]:
@@ -121,7 +120,7 @@ def choose_bundles(
     return whole.filter(F.col("from_id").isNotNull())
 
 
-def _branch(rows: DataFrame, part: list, has: dict, open_bundles: bool) -> DataFrame:
+def _branch(rows: DataFrame, part: list, has: dict) -> DataFrame:
     """g, bundle, from_id of one connected part of bundles."""
 
     def vals(fs):
@@ -160,9 +159,7 @@ def _branch(rows: DataFrame, part: list, has: dict, open_bundles: bool) -> DataF
     limits = tops.join(bound0, "g", "left").fillna(0.0)
     b0 = part[0][0]
     named = lambda df, b: df.withColumnsRenamed({f"s{i}": f"s_{b}_{i}" for i in range(len(sides[b]))})
-    front = named(cands[b0], b0)
-    if open_bundles:
-        front = front.unionByName(tops.select("g"), allowMissingColumns=True)  # the first bundle left empty
+    front = named(cands[b0], b0).unionByName(tops.select("g"), allowMissingColumns=True)  # or the first bundle left empty
     front = front.withColumn("score", F.coalesce("m.w", F.lit(0.0))).withColumn(f"p_{b0}", F.col("m.r")).withColumn("tie", F.array("m.t")).drop("m")
     left, names = [f"s_{b0}_{i}" for i in range(len(sides[b0]))], [b0]  # values that dependencies still ask for
     for k, (b, over, fd) in enumerate(part):
@@ -176,10 +173,9 @@ def _branch(rows: DataFrame, part: list, has: dict, open_bundles: bool) -> DataF
                 side = side.withColumn("far", F.col(own[0]))
             else:
                 front = front.withColumn("near", F.col(ask))
-                side = side.join(rule.withColumnsRenamed({"lhs": own[0], "rhs": "far"}), ["g", own[0]], "left" if open_bundles else "inner")  # without: a value of ``lhs`` that determines nothing is no candidate
+                side = side.join(rule.withColumnsRenamed({"lhs": own[0], "rhs": "far"}), ["g", own[0]], "left")
             # "=v": the value must be v; "?": a candidate that fits every value; "*": any candidate; "0": none
-            free = F.array(F.lit("*"), F.lit("0")) if open_bundles else F.array(F.lit("0"))
-            meet = F.when(F.col("near").isNull(), free).otherwise(F.array(F.concat(F.lit("="), "near"), F.lit("?"), F.lit("0")))
+            meet = F.when(F.col("near").isNull(), F.array(F.lit("*"), F.lit("0"))).otherwise(F.array(F.concat(F.lit("="), "near"), F.lit("?"), F.lit("0")))
             side = side.withColumn("tag", F.explode(F.array(F.coalesce(F.concat(F.lit("="), "far"), F.lit("?")), F.lit("*")))).groupBy("g", "tag", *own[1:]).agg(F.max("m").alias("m2"))
             front = front.withColumn("tag", F.explode(meet)).join(side, ["g", "tag"], "left")
             front = front.withColumn("score", F.col("score") + F.coalesce("m2.w", F.lit(0.0))).withColumn(f"p_{b}", F.col("m2.r")).withColumn("tie", F.concat("tie", F.array("m2.t")))

@@ -39,21 +39,17 @@ def test_keys_and_instants(spark):
 
 
 def brute(rows, bundles, fds):
-    """The largest total trust over all ways to give bundles candidates or leave them empty, under the dependencies."""
+    """The largest total trust over all ways to give bundles candidates or leave them empty; a neighbour that is empty or determines nothing forbids nothing."""
     cands = {b: [r for r in rows if all(r[f] not in (None, "") for f in fs)] for b, fs in bundles.items()}
-    names, best = list(bundles), 0
-    home = {f: b for b, fs in bundles.items() for f in fs}
-    for pick in itertools.product(*[[None, *cands[b]] for b in names]):
-        by = dict(zip(names, pick))
-        ok = True
+    home, best = {f: b for b, fs in bundles.items() for f in fs}, 0
+    for pick in itertools.product(*[[None, *cands[b]] for b in bundles]):
+        by, ok = dict(zip(bundles, pick)), True
         for lhs, rhs in fds:
             x, y = by[home[lhs]], by[home[rhs]]
             if x is not None and y is not None:
                 both = [r for r in rows if r in cands[home[lhs]] and r in cands[home[rhs]] and r[lhs] == x[lhs]]
                 want = max(both, key=lambda r: (r["w"], r["version"], -r["n"]), default=None)
-                ok &= want is not None and y[rhs] == want[rhs]
-            elif y is not None and x is None:
-                ok = False  # a bundle hangs on the one it was branched from
+                ok &= want is None or y[rhs] == want[rhs]
         if ok:
             best = max(best, sum(r["w"] for r in pick if r is not None))
     return best
@@ -80,37 +76,20 @@ def test_dependencies_must_form_a_tree(spark):
             choose(df, b, fds)
 
 
-def brute_open(rows, bundles, fds):
-    """As ``brute``, but a neighbour that is empty or determines nothing forbids nothing."""
-    cands = {b: [r for r in rows if all(r[f] not in (None, "") for f in fs)] for b, fs in bundles.items()}
-    home, best = {f: b for b, fs in bundles.items() for f in fs}, 0
-    for pick in itertools.product(*[[None, *cands[b]] for b in bundles]):
-        by, ok = dict(zip(bundles, pick)), True
-        for lhs, rhs in fds:
-            x, y = by[home[lhs]], by[home[rhs]]
-            if x is not None and y is not None:
-                both = [r for r in rows if r in cands[home[lhs]] and r in cands[home[rhs]] and r[lhs] == x[lhs]]
-                want = max(both, key=lambda r: (r["w"], r["version"], -r["n"]), default=None)
-                ok &= want is None or y[rhs] == want[rhs]
-        if ok:
-            best = max(best, sum(r["w"] for r in pick if r is not None))
-    return best
-
-
 @pytest.mark.parametrize("seed,order", [(0, "ABC"), (3, "ABC"), (3, "BAC"), (5, "CBA"), (6, "BAC")])
 def test_open_bundles_against_brute_force(spark, seed, order):
     r = random.Random(seed)
     rows = [dict(n=i, version=r.randrange(3), w=r.randrange(1, 9), a=r.choice(["p", "q", "r", None]), b=r.choice(["x", "y", "", None]), c=r.choice(["u", "v", None])) for i in range(9)]
     df = spark.createDataFrame([("k", x["n"], x["version"], 0, x["a"], x["b"], x["c"], None, None, None, str(x["w"])) for x in rows], ROWS)
     bundles, fds = {b: (b.lower(),) for b in order}, [(("a",), ("b",)), (("a",), ("c",))]
-    got = choose_bundles(df, F.col("id"), F.col("n"), [F.col("version"), F.col("ts")], bundles, fds, F.col("w").cast("int"), open_bundles=True)
+    got = choose_bundles(df, F.col("id"), F.col("n"), [F.col("version"), F.col("ts")], bundles, fds, F.col("w").cast("int"))
     w = {x["n"]: x["w"] for x in rows}
-    assert sum(w[x.from_id] for x in got.collect()) == brute_open(rows, bundles, [("a", "b"), ("a", "c")])
+    assert sum(w[x.from_id] for x in got.collect()) == brute(rows, bundles, [("a", "b"), ("a", "c")])
 
 
 def test_a_source_without_an_author_survives(spark):
     df = frame(spark, [("k", 1, 1, 1, None, "src", None), ("k", 2, 2, 1, "-", "other", None), ("solo", 3, 1, 1, None, "s", None), ("u", 4, 1, 1, "ann", None, None), ("u", 5, 1, 1, None, "t", None)])
-    got = choose_bundles(df, F.col("id"), F.col("n"), [F.col("version"), F.col("ts")], {"A": ("a",), "B": ("b",)}, [(("a",), ("b",))], least=1, open_bundles=True)
+    got = choose_bundles(df, F.col("id"), F.col("n"), [F.col("version"), F.col("ts")], {"A": ("a",), "B": ("b",)}, [(("a",), ("b",))], least=1)
     assert {(r.group_key, r.bundle): r.from_id for r in got.collect()} == {("k", "B"): 2, ("solo", "B"): 3, ("u", "A"): 4, ("u", "B"): 5}
 
 
@@ -121,5 +100,5 @@ def test_partial_bundles_and_empty_groups_survive(spark):
     built = {r.group_key: (r.a, r.b, r.c) for r in build_survivors(df, got, "n", bundles).collect()}
     assert built == {"k": ("text", None, None), "full": ("u", "de", None), "none": (None, None, None)}
     fds = [(("a",), ("c",))]  # the same where a dependency touches the bundle
-    tied = choose_bundles(df, F.col("id"), F.col("n"), [F.col("version"), F.col("ts")], bundles, fds, least=1, open_bundles=True)
+    tied = choose_bundles(df, F.col("id"), F.col("n"), [F.col("version"), F.col("ts")], bundles, fds, least=1)
     assert {r.group_key: r.from_id for r in tied.collect() if r.bundle == "ab"} == {"k": 1, "full": 4}
