@@ -5,15 +5,23 @@ sketches are compared in the Hamming space of positions: a pair of Jaccard simil
 so at most ``budget`` positions (mean plus 3.3 standard deviations at the threshold).
 
 1. Records with equal shingle and tag sets form a class; only its representative (smallest id) is compared, so a group of
-   copies costs nothing however large. 2. Representatives that agree in a whole segment are
-candidates: one row per segment, joined by key; the engine splits keys that are hot. Each row also carries one bit of 64
-positions; a candidate whose bits differ in more places than a similar pair's ever would is dropped in the join. 3. Pigeonring: if the differences around the ring sum to at
-   most the budget, then from some segment on every chain of consecutive segments stays within its proportional share.
-   Candidates without such a start, tested by chains of growing length, are dropped. 4. The full Hamming distance must
-   keep the budget. 5. The pair is verified on its exact shingle and tag sets, made from the whole texts.
-
-A pair at the threshold (0.6) has no equal segment with a chance of (1-0.6^3)^28 = 0.11 % and too many
-different bits with one of 0.02 %; more similar pairs far less.
+   copies costs nothing however large.
+2. Representatives that agree in a whole segment meet: one row per segment, joined by key. The row carries, in two bits a position,
+   the next ``FOLLOW`` segments around the ring.
+3. Pigeonring: if the differences around the ring sum to at most a budget, then from some segment on every chain of consecutive
+   segments stays within its proportional share. The chain that begins at the common segment is grown inside the join, a segment
+   at a time, and the pair is dropped at the first prefix beyond its share, before any sketch is fetched and before pairs are made
+   distinct. (Two bits show three quarters of the differences; the budget is that of the differences shown.)
+4. The sketches of the survivors are fetched and the full Hamming distance must keep the budget.
+5. The pair is verified on its exact shingle and tag sets, made from the whole texts.
+
+The principle's first link, a segment with at most its share of differences (1 of 3 at similarity 0.6), would take three wildcard keys a
+segment and would let nearly all pairs through; the common segment is asked to be equal instead. A pair at the threshold (0.6) has no
+equal segment with a chance of (1-0.6^3)^28 = 0.11 %, more similar pairs far less; the chains lose next to nothing, since
+several segments are equal (README: pairs before and after, recall).
+
+A segment that very many records share (estimated on a fixed share of them) is cut into blocks that meet each other in different tasks; its
+pairs are tested where they meet and only survivors leave the join.
 
 Cases: null, blank or too short texts and, where tags are asked for, unreadable or empty tags put a record in no pair;
 repeated ids count once (one of their rows, chosen by hash); texts of any length are used whole; an empty table gives none.
@@ -28,17 +36,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekiln.plans.stages import Stage, write_stage
 
-SEGMENTS, WIDTH = 28, 3
-BROADCAST_IDS = 200_000
+SEGMENTS, WIDTH, FOLLOW = 28, 3, 20
+BROADCAST_IDS, CLASS_BLOCK = 200_000, 2048
+#: A key is split if, on one in ``HOT_SHARE`` of the records, it is likely to have more than ``HOT_BLOCK`` of all.
+HOT_SHARE, HOT_BLOCK = 32, 8192
 WORD = re.compile(r"[^\W_]+")
 _rng = np.random.default_rng(11)
-_MUL = (_rng.integers(1, 2**63, SEGMENTS * WIDTH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _rng.integers(0, 2**63, SEGMENTS * WIDTH, dtype=np.uint64)
+_MUL = (_rng.integers(0, 2**31, SEGMENTS * WIDTH, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_ADD = _rng.integers(0, 2**32, SEGMENTS * WIDTH, dtype=np.uint32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,11 +96,23 @@ def _class(sh: np.ndarray, tags: frozenset) -> bytes:
     return whole.digest()
 
 
-def _sketch(sh: np.ndarray) -> np.ndarray:
-    low = np.full(len(_MUL), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(sh), 4096):  # long texts in bounded memory
-        np.minimum(low, (sh[at : at + 4096, None] * _MUL + _ADD).min(axis=0), out=low)
-    return (low >> np.uint64(16)).astype("<u2")  # of a minimum only the lower bits are evenly spread
+def _sketch(sets: list[np.ndarray]) -> np.ndarray:
+    """The min-hashes of several sets at once, one row a set."""
+    h = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    low = np.empty((len(_MUL), len(sets)), dtype=np.uint32)
+    for j in range(len(_MUL)):
+        low[j] = np.minimum.reduceat(h * _MUL[j] + _ADD[j], starts)
+    return (low.T & np.uint32(0xFFFF)).astype("<u2")  # of a minimum only the lower bits are evenly spread
+
+
+def _ring(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment of each sketch two numbers: the lowest two bits of each position of the ``FOLLOW`` segments after it, half of them each."""
+    half = FOLLOW * WIDTH // 2
+    at = (np.arange(SEGMENTS)[:, None] * WIDTH + WIDTH + np.arange(FOLLOW * WIDTH)[None, :]) % (SEGMENTS * WIDTH)
+    shift = np.arange(half, dtype=np.int64) * 2
+    follow = (sketches & 3).astype(np.int64)[:, at]
+    return (follow[:, :, :half] << shift).sum(axis=2), (follow[:, :, half:] << shift).sum(axis=2)
 
 
 def _records(df: DataFrame, id_col: str, text: str, tags: str | None) -> DataFrame:
@@ -98,37 +120,84 @@ def _records(df: DataFrame, id_col: str, text: str, tags: str | None) -> DataFra
 
 
 def _sketches(rows: DataFrame, shingle: int, least_words: int, with_tags: bool) -> DataFrame:
-    """id, class, bits, sketch of every record that can be in a pair."""
+    """id, class, sketch of every record that can be in a pair."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(shingle, least_words)
         for b in batches:
-            out = []
+            ids, kinds, sets, size = [], [], [], 0
             for i, text, tags in zip(b["id"], b["text"], b["tags"]):
                 t = tag_set(tags) if with_tags else frozenset()
                 if t is None or (sh := shingler(text)) is None:
                     continue
-                low = _sketch(sh)
-                bits = int.from_bytes(np.packbits((low[:64] & 1).astype(np.uint8)).tobytes(), "little", signed=True)
-                out.append((i, _class(sh, t), bits, low.tobytes()))
-            yield pd.DataFrame(out, columns=["id", "class", "bits", "sketch"])
+                ids.append(i)
+                kinds.append(_class(sh, t))
+                sets.append(sh)
+                size += len(sh)
+                if size > 16_384:  # what the arrays of a pass fit in the cache with
+                    yield pd.DataFrame({"id": ids, "class": kinds, "sketch": [r.tobytes() for r in _sketch(sets)]})
+                    ids, kinds, sets, size = [], [], [], 0
+            if ids:
+                yield pd.DataFrame({"id": ids, "class": kinds, "sketch": [r.tobytes() for r in _sketch(sets)]})
+
+    return rows.mapInPandas(run, "id string, class binary, sketch binary")
 
-    return rows.mapInPandas(run, "id string, class binary, bits bigint, sketch binary")
 
+def _budget(positions: int, similarity: float, shown: float = 1.0) -> int:
+    """The most differences of a pair at the threshold: mean and 3.3 standard deviations; ``shown``: the share of differences that is seen."""
+    p = (1 - similarity) * shown
+    return int(np.ceil(positions * p + 3.3 * np.sqrt(positions * p * (1 - p))))
 
-def ring_filter(a: np.ndarray, b: np.ndarray, budget: int) -> np.ndarray:
-    """Which rows of two arrays of sketches (n x SEGMENTS*WIDTH numbers) pass the chains and then the full distance."""
-    boxes = (a != b).reshape(len(a), SEGMENTS, WIDTH).sum(axis=2, dtype=np.int16)
-    rows, share = np.arange(len(a)), budget / SEGMENTS
-    start, chain = np.ones(boxes.shape, dtype=bool), np.zeros(boxes.shape, dtype=np.int16)
-    ring = boxes
-    for length in range(1, SEGMENTS // 2 + 1):
-        chain = chain + np.roll(ring, 1 - length, axis=1)
-        start &= chain <= length * share
-        some = start.any(axis=1)
-        if not some.all():
-            rows, ring, start, chain = rows[some], ring[some], start[some], chain[some]
-    return rows[ring.sum(axis=1) <= budget]
+
+def _keys(reps: DataFrame) -> DataFrame:
+    """key, u, near, far: one row per segment of a sketch, with the segments that follow it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 1000):
+                part = b.iloc[at : at + 1000]
+                s = np.frombuffer(b"".join(part["sketch"]), dtype="<u2").reshape(len(part), -1)
+                seg = s.reshape(len(part), SEGMENTS, WIDTH).astype(np.uint64)
+                key = np.arange(SEGMENTS, dtype=np.uint64)[None, :]
+                for j in range(WIDTH):
+                    key = _mix(key * _STEP + seg[:, :, j])
+                near, far = _ring(s)
+                yield pd.DataFrame({"key": key.view(np.int64).ravel(), "u": np.repeat(part["u"].to_numpy(), SEGMENTS), "near": near.ravel(), "far": far.ravel()})
+
+    return reps.select("u", "sketch").mapInPandas(run, "key bigint, u bigint, near bigint, far bigint")
+
+
+def _chain_holds(budget: int) -> Column:
+    """Whether every chain from the common segment on stays within its share of the differences shown, the shortest first."""
+    half, ok = FOLLOW // 2, F.col("u") < F.col("u2")
+    odd = 0x5555555555555555
+    parts = []
+    for c in ("near", "far"):
+        x = F.col(c).bitwiseXOR(F.col(c + "2"))
+        parts.append(x.bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(odd)))
+    for length in range(2, FOLLOW + 2):
+        followers = length - 1
+        seen = F.bit_count(parts[0].bitwiseAND(F.lit(4 ** (WIDTH * min(followers, half)) - 1)))
+        if followers > half:
+            seen = seen + F.bit_count(parts[1].bitwiseAND(F.lit(4 ** (WIDTH * (followers - half)) - 1)))
+        if followers in (1, 2, 3, 4, 6, 8, half, 15, FOLLOW):
+            ok = ok & (seen <= length * budget // SEGMENTS)
+    return ok
+
+
+def _meet(keys: DataFrame, reps: DataFrame, budget: int) -> DataFrame:
+    """u, u2: pairs that agree in a segment from which the chains hold."""
+    sample = _keys(reps.filter(F.pmod(F.xxhash64("u", F.lit(9)), F.lit(HOT_SHARE)) == 0)).groupBy("key").count()
+    hot = write_stage(sample.filter(F.col("count") > HOT_BLOCK // HOT_SHARE).select("key", F.ceil(F.col("count") * HOT_SHARE / HOT_BLOCK).cast("int").alias("blocks")))
+    left = keys
+    right = keys.withColumnsRenamed({"u": "u2", "near": "near2", "far": "far2"})
+    on = ["key"]
+    if not hot.df.isEmpty():
+        blocks = F.coalesce("blocks", F.lit(1))
+        left = left.join(hot.df, "key", "left").withColumn("block", F.pmod(F.xxhash64("u", F.lit(4)), blocks).cast("int")).drop("blocks")
+        right = right.join(hot.df, "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+        on = ["key", "block"]
+    return left.join(right, on).filter(_chain_holds(budget)).select("u", "u2").distinct()
 
 
 def _sets(rows: DataFrame, shingle: int, least_words: int, with_tags: bool) -> DataFrame:
@@ -162,7 +231,11 @@ class NearDuplicates:
     def pairs(self) -> DataFrame:
         """id_a, id_b: every pair of different ids, copies included. As long as the answer is, so only where it is asked for."""
         m = self.members.select("id", "rep")
-        same = m.select(F.col("id").alias("id_a"), "rep").join(m.select(F.col("id").alias("id_b"), "rep"), "rep").filter(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
+        size = m.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / CLASS_BLOCK).cast("int").alias("blocks")).filter(F.col("blocks") > 1)
+        split = m.join(size, "rep", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # so that a large class is made by many tasks
+        one = split.select(F.col("id").alias("id_a"), "rep", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"))
+        two = split.select(F.col("id").alias("id_b"), "rep", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        same = one.join(two, ["rep", "block"]).filter(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
         a, b = m.select(F.col("id").alias("x"), F.col("rep").alias("rep_a")), m.select(F.col("id").alias("y"), F.col("rep").alias("rep_b"))
         cross = self.links.join(a, "rep_a").join(b, "rep_b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
         return same.unionByName(cross)
@@ -174,12 +247,11 @@ class NearDuplicates:
         return self.members.select("id", "rep").join(size, "rep").join(both, "rep", "left").select("id", F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def near_duplicates(df: DataFrame, id_col: str, text: str, tags: str | None = None, similarity: float = 0.8, tag_similarity: float = 0.0, shingle: int = 5, least_words: int = 5) -> NearDuplicates:
+def near_duplicates(df: DataFrame, id_col: str, text: str, tags: str | None = None, similarity: float = 0.8, tag_similarity: float = 0.0, shingle: int = 5, least_words: int = 5, broadcast_ids: int = BROADCAST_IDS) -> NearDuplicates:
     """Pairs whose word shingles have a Jaccard similarity of ``similarity`` or more and whose tags one of ``tag_similarity``."""
     rows, with_tags = _records(df, id_col, text, tags), tags is not None
     positions = SEGMENTS * WIDTH
-    budget = int(np.ceil(positions * (1 - similarity) + 3.3 * np.sqrt(positions * similarity * (1 - similarity))))
-    most_bits = int(np.ceil(64 * (1 - similarity) / 2 + 3.6 * np.sqrt(64 * (1 - similarity) / 2 * (1 + similarity) / 2)))
+    budget = _budget(positions, similarity)
     made = write_stage(_sketches(rows, shingle, least_words, with_tags))
     # of repeated rows of an id, and of rows of a class, one each; the maximum and minimum are taken before the shuffle
     own = made.df.groupBy("id").agg(F.min("class").alias("class"))
@@ -188,21 +260,19 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, tags: str | None = No
     heads = members.df.filter(F.col("id") == F.col("rep")).select("id", "class")
     sketches = write_stage(made.df.join(heads, ["id", "class"], "left_semi").dropDuplicates(["id", "class"]).withColumn("u", F.xxhash64("class")))
     made.release()
-    reps, step = sketches.df, 2 * WIDTH
-    keys = reps.select(F.explode(F.array(*[F.xxhash64(F.substring("sketch", i * step + 1, step), F.lit(i)) for i in range(SEGMENTS)])).alias("key"), "u", "bits")
-    other = keys.select("key", F.col("u").alias("u2"), F.col("bits").alias("bits2"))
-    cand = keys.join(other, "key").filter((F.col("u") < F.col("u2")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("bits2"))) <= most_bits)).select("u", "u2").distinct()
+    reps = sketches.df
+    cand = _meet(_keys(reps), reps, _budget(positions, similarity, 0.75))
     left, right = reps.select("u", F.col("id").alias("id_a"), F.col("sketch").alias("s1")), reps.select(F.col("u").alias("u2"), F.col("id").alias("id_b"), F.col("sketch").alias("s2"))
 
-    def ring(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 x, y = (np.frombuffer(b"".join(b[c]), dtype="<u2").reshape(len(b), -1) for c in ("s1", "s2"))
-                yield b.iloc[ring_filter(x, y, budget)][["u", "u2", "id_a", "id_b"]]
+                yield b[(x != y).sum(axis=1) <= budget][["u", "u2", "id_a", "id_b"]]
 
-    close = write_stage(cand.join(left, "u").join(right, "u2").mapInPandas(ring, "u bigint, u2 bigint, id_a string, id_b string"))
+    close = write_stage(cand.join(left, "u").join(right, "u2").mapInPandas(full, "u bigint, u2 bigint, id_a string, id_b string"))
     wanted = close.df.select(F.col("u"), F.col("id_a").alias("id")).unionByName(close.df.select(F.col("u2").alias("u"), F.col("id_b").alias("id"))).distinct().join(reps.select("u", "id", "class"), ["u", "id"])
-    if close.df.count() <= BROADCAST_IDS // 2:  # so few ids go to the texts; more ids meet them by a shuffle
+    if close.df.count() <= broadcast_ids // 2:  # so few ids go to the texts; more ids meet them by a shuffle
         wanted = F.broadcast(wanted)
     sets = write_stage(_sets(rows.join(wanted, "id").select("u", "class", "text", "tags"), shingle, least_words, with_tags).dropDuplicates(["u"]))
     a, b = sets.df.withColumnsRenamed({"sh": "sh1", "tags": "t1"}), sets.df.withColumnsRenamed({"u": "u2", "sh": "sh2", "tags": "t2"})

@@ -100,13 +100,40 @@ def test_components(spark):
     assert got == {v: find(v) for v in up}
 
 
-def test_ring_filter_keeps_every_pair_within_the_budget():
+def test_chains_are_grown_as_the_principle_says(spark):
     r = np.random.default_rng(0)
-    n = nd.SEGMENTS * nd.WIDTH
-    a = r.integers(0, 9, (4000, n)).astype("<u2")
-    b = np.where(r.random((4000, n)) < r.random((4000, 1)), a + 1, a).astype("<u2")
-    for budget in (0, 10, 45):
-        assert nd.ring_filter(a, b, budget).tolist() == np.nonzero((a != b).sum(axis=1) <= budget)[0].tolist()
+    n, m = nd.SEGMENTS * nd.WIDTH, nd.SEGMENTS
+    a = r.integers(0, 2**16, (150, n)).astype("<u2")
+    b = np.where(r.random((150, n)) < r.random((150, 1)), a, r.integers(0, 2**16, (150, n))).astype("<u2")
+    budget = nd._budget(n, 0.6, 0.75)
+    boxes = ((a & 3) != (b & 3)).reshape(150, m, nd.WIDTH).sum(axis=2)
+    holds = np.ones((150, m), dtype=bool)  # the chain from each segment, were that segment equal
+    for length in (2, 3, 4, 5, 7, 9, 11, 16, 21):
+        sums = np.array([[boxes[i, [(s + j) % m for j in range(1, length)]].sum() for s in range(m)] for i in range(150)])
+        holds &= sums <= length * budget // m
+    rows = []
+    for i in range(150):
+        (x, y), (p, q) = nd._ring(a[i : i + 1]), nd._ring(b[i : i + 1])
+        rows += [(i, s, 1, 2, int(x[0, s]), int(y[0, s]), int(p[0, s]), int(q[0, s])) for s in range(m)]
+    df = spark.createDataFrame(rows, "i int, s int, u bigint, u2 bigint, near bigint, far bigint, near2 bigint, far2 bigint")
+    got = np.zeros((150, m), dtype=bool)
+    for x in df.filter(nd._chain_holds(budget)).collect():
+        got[x.i, x.s] = True
+    assert (got == holds).all() and 0.2 < got.mean() < 0.8
+    assert got.any(axis=1)[boxes.sum(axis=1) <= budget].all()  # the principle: within the budget some chain holds
+
+
+def test_hot_segments_classes_and_either_join(spark, monkeypatch):
+    r = random.Random(7)
+    base = [r.choice(WORDS) for _ in range(60)]
+    rows = [(f"v{i:03}", " ".join(edited(r, base, 6)), '["a"]') for i in range(150)] + [(f"copy{i:02}", " ".join(base), '["a"]') for i in range(40)]
+    want = brute_pairs(rows, 0.6, 0.5, 3, 20)
+    plain = {tuple(x) for x in nd.near_duplicates(docs(spark, rows), "id", "text", "tags", 0.6, 0.5, 3, 20).pairs().select("id_a", "id_b").collect()}
+    monkeypatch.setattr(nd, "HOT_SHARE", 1)
+    monkeypatch.setattr(nd, "HOT_BLOCK", 20)
+    monkeypatch.setattr(nd, "CLASS_BLOCK", 7)
+    split = nd.near_duplicates(docs(spark, rows), "id", "text", "tags", 0.6, 0.5, 3, 20, broadcast_ids=0).pairs().select("id_a", "id_b").collect()
+    assert len(split) == len(plain) and {tuple(x) for x in split} == plain <= want and len(plain) >= 0.99 * len(want)
 
 
 def check_split(text, limit, in_bytes=False):
