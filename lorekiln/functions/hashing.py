@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The largest chunk; below, the prefixes and forms of ids and keys.
 CHUNK_LIMIT = 1_000_000
 
 
@@ -34,6 +35,16 @@ def chunk_count(length: Column, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(length / F.lit(size))).cast("int")
 
 
+def to_base64(v: Column) -> Column:
+    """Base64 on one line, whatever the session's setting for line ends is."""
+    return F.regexp_replace(F.base64(v), r"[\r\n]", "")
+
+
+def from_base64(text: Column) -> Column:
+    """The bytes; null if the text is no base64."""
+    return F.try_to_binary(text, F.lit("base64"))
+
+
 @F.pandas_udf(T.BinaryType())
 def gzip_bytes(b: pd.Series) -> pd.Series:
     """gzip without a time stamp, so equal input gives equal output."""

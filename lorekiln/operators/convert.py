@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from lorekiln.functions.text import title_of
 from lorekiln.functions.timing import iso_to_ms
-from lorekiln.functions.vectors import sine_embedder
+from lorekiln.functions.vectors import is_usable, sine_embedder
 from lorekiln.operators.catalog import filter_concepts
 from lorekiln.operators.extract import extract
 from lorekiln.operators.search import search
+from lorekiln.operators.validate import live_form_rules, require
 
+#: The two shapes of a structured form.
 LIVE_FORM = (
     "struct<id:string,rawText:string,language:string,metadata:struct<createdAt:string,updatedAt:string,author:string,tags:array<string>,source:string>,"
     "entities:array<struct<id:string,text:string,type:string,confidence:double,offset:struct<start:int,end:int>>>,"
@@ -83,8 +85,29 @@ def text_to_vector(text: Column, dim: int, model=None) -> Column:
     return (model or sine_embedder)(dim)(text)
 
 
-def convert(concepts: DataFrame, source: str, target: str, dim: int = 64, model=None, extractor=None) -> DataFrame:
-    """id and the target representation of every concept that has the source one. Unknown or equal pairs are an error."""
+def live_form(id_: Column, text: Column, extracted: Column, now_ms: int) -> Column:
+    """The structured form that is made from a text and what was extracted from it."""
+    at = F.date_format(F.timestamp_millis(F.lit(now_ms)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    meta = F.struct(at.alias("createdAt"), at.alias("updatedAt"), F.lit(None).cast("string").alias("author"), F.array().cast("array<string>").alias("tags"), F.lit("converted").alias("source"))
+    ents = F.transform(extracted["entities"], lambda e: F.struct(e["id"].alias("id"), e["text"].alias("text"), e["type"].alias("type"), e["confidence"].alias("confidence"), F.struct(e["start"].alias("start"), e["end"].alias("end")).alias("offset")))
+    return F.struct(id_.alias("id"), text.alias("rawText"), F.lit("en").alias("language"), meta.alias("metadata"), ents.alias("entities"), extracted["relationships"].alias("relationships"), extracted["contextGraph"].alias("contextGraph"))
+
+
+def form_from_text(texts: DataFrame, text: str, now_ms: int, extractor=None, check: bool = True) -> DataFrame:
+    """id, thoughtform of texts (id, ``text``): a whole form; with ``check`` one that breaks the rules of forms ends the job."""
+    rows = texts.select("id", text)
+    got = (extractor or extract)(rows, "id", text)
+    made = rows.join(got, "id").select("id", live_form(F.col("id"), F.col(text), F.col("extracted"), now_ms).alias("_form"))
+    if check:
+        made = require(made, live_form_rules(F.col("_form")))
+    return made.select("id", F.to_json("_form").alias("thoughtform"))
+
+
+def convert(concepts: DataFrame, source: str, target: str, dim: int = 64, model=None, extractor=None, now_ms: int = 0, check: bool = True) -> DataFrame:
+    """id and the target representation of every concept that has the source one. Unknown or equal pairs are an error.
+
+    Vectors that are not ``dim`` finite numbers count as none. ``check``: forms made from markdown must keep the rules of forms.
+    """
     pair = (source, target)
     if source == target:
         raise ValueError("source and target are the same")
@@ -98,12 +121,12 @@ def convert(concepts: DataFrame, source: str, target: str, dim: int = 64, model=
         f = concepts.select("id", form.alias("f"))
         return f.select("id", F.coalesce(form_to_markdown(F.col("f.live")), form_to_markdown(live_from_sync(F.col("f.sync")))).alias("markdown")).filter(F.col("markdown").isNotNull())
     if pair == ("markdown", "thoughtform"):
-        got = (extractor or extract)(concepts.filter(F.col("markdown") != ""), "id", "markdown")
-        return got.select("id", F.to_json("extracted").alias("thoughtform"))
-    if pair == ("vector", "markdown"):
-        return neighbour_texts(concepts, concepts.select("id", "embedding")).select("id", reconstruct(F.col("texts")).alias("markdown"))
-    if pair == ("vector", "thoughtform"):
-        joined = neighbour_texts(concepts, concepts.select("id", "embedding")).select("id", F.when(F.size("texts") > 0, F.array_join("texts", "\n\n")).otherwise("[No neighbor context available]").alias("text"))
-        return (extractor or extract)(joined, "id", "text").select("id", F.to_json("extracted").alias("thoughtform"))
+        return form_from_text(concepts.filter(F.col("markdown") != ""), "markdown", now_ms, extractor, check)
+    if source == "vector" and target in ("markdown", "thoughtform"):
+        have = concepts.filter(is_usable(F.col("embedding"), dim))
+        texts = neighbour_texts(have, have.select("id", "embedding"))
+        if target == "markdown":
+            return texts.select("id", reconstruct(F.col("texts")).alias("markdown"))
+        joined = texts.select("id", F.when(F.size("texts") > 0, F.array_join("texts", "\n\n")).otherwise("[No neighbor context available]").alias("text"))
+        return form_from_text(joined, "text", now_ms, extractor, check=False)
     raise ValueError(f"no conversion from {source} to {target}")
-

@@ -79,40 +79,7 @@ def sentence_pairs(docs: DataFrame, doc_id: str, text: str, entities: DataFrame)
     return two.select(doc_id, "sentence_no", "sentence", F.col("a.entity_id").alias("subject_id"), F.col("a.key").alias("subject"), F.col("b.entity_id").alias("object_id"), F.col("b.key").alias("object"))
 
 
-def predicate(sentence: Column, subject: Column, object_: Column) -> Column:
-    """What stands between the first occurrences of two texts: ``is_a``, else the first verb of the patterns, else null."""
-    s, o = F.instr(sentence, subject), F.instr(sentence, object_)
-    start = F.least(s + F.length(subject), o + F.length(object_))
-    end = F.greatest(s, o)
-    gap = F.when((s > 0) & (o > 0) & (start < end), F.regexp_replace(F.substring(sentence, start, end - start), r"^\s+|\s+$", ""))
-
-    def verb(g: Column) -> Column:
-        found = F.array(*[F.regexp_extract(g, p, 1) for p in VERB_PATTERNS])  # each pattern is tried once
-        first = F.get(F.filter(found, lambda v: (v != "") & ~v.isin(*NOT_VERBS)), F.lit(0))
-        return F.when(g.rlike(IS_A), F.lit("is_a")).otherwise(first)
-
-    return F.get(F.transform(F.array(gap), verb), F.lit(0))  # the gap is worked out once
-
-
-def predicate_confidence(p: Column) -> Column:
-    return F.when(p == "is_a", IS_A_CONFIDENCE).when(p.endswith("ed"), PAST_CONFIDENCE).when(p.endswith("s"), PRESENT_CONFIDENCE).otherwise(VERB_CONFIDENCE)
-
-
-def relations(pairs: DataFrame, doc_id: str) -> DataFrame:
-    """doc_id, sentence_no, subject_id, predicate, object_id, confidence; the same pair again in another sentence stays."""
-    p = pairs.withColumn("predicate", predicate(F.col("sentence"), F.col("subject"), F.col("object"))).filter(F.col("predicate").isNotNull())
-    return p.select(doc_id, "sentence_no", "subject_id", "predicate", "object_id", predicate_confidence(F.col("predicate")).alias("confidence"))
-
-
-def context_graph(rels: DataFrame, doc_id: str) -> DataFrame:
-    """doc_id, node, neighbours: both directions, distinct, in the order in which they came up."""
-    num = lambda c: F.substring(c, 5, 20).cast("int")
-    seq = F.struct("sentence_no", num("subject_id").alias("s"), num("object_id").alias("o"))
-    both = rels.select(doc_id, F.col("subject_id").alias("node"), F.col("object_id").alias("other"), seq.alias("seq")).unionByName(rels.select(doc_id, F.col("object_id").alias("node"), F.col("subject_id").alias("other"), seq.alias("seq")))
-    first = both.groupBy(doc_id, "node", "other").agg(F.min("seq").alias("seq"))
-    return first.groupBy(doc_id, "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "other"))), lambda x: x["other"]).alias("neighbours"))
-
-
+RELATION = "sentence_no int, subject_id string, predicate string, object_id string, confidence double"
 EXTRACTED = "struct<entities:array<struct<id:string,text:string,type:string,confidence:double,start:int,end:int>>,relationships:array<struct<subjectId:string,predicate:string,objectId:string,confidence:double>>,contextGraph:map<string,array<string>>>"
 _PY = tuple(re.compile(p, re.ASCII) for p in (r"\b(" + PHRASE + r")\b", QUOTED, "(" + SINGLE + r")\b"))
 _PY_VERBS = tuple(re.compile(p, re.ASCII) for p in VERB_PATTERNS)
@@ -134,33 +101,81 @@ def _between(sentence: str, a: str, b: str) -> str | None:
     start, end = min(i + len(a), j + len(b)), max(i, j)
     if min(i, j) < 0 or start >= end:
         return None
-    gap = sentence[start:end].strip()
+    gap = sentence[start:end].strip(" \t\n\r\f\v")
     if _PY_IS_A.search(gap):
         return "is_a"
     return next((m[1] for p in _PY_VERBS if (m := p.search(gap)) and m[1] not in NOT_VERBS), None)
 
 
-def extract_text(text: str, types: tuple[str, ...] | None = None, least: float = 0.5, infer: bool = True) -> dict:
-    """Entities with offsets, relations and graph of one text."""
+def entities_of(text: str, passes: tuple[int, ...] = (1, 2, 3)) -> list[dict]:
+    """The numbered entities of one text, with offsets."""
     seen, entities = set(), []
-    for pattern, kind, conf in zip(_PY, (None, "CONCEPT", "ENTITY"), (PHRASE_CONFIDENCE, QUOTED_CONFIDENCE, SINGLE_CONFIDENCE)):
-        for m in pattern.finditer(text):
+    for p in passes:
+        kind, conf = ((None, PHRASE_CONFIDENCE), ("CONCEPT", QUOTED_CONFIDENCE), ("ENTITY", SINGLE_CONFIDENCE))[p - 1]
+        for m in _PY[p - 1].finditer(text):
             if m[1] and (key := m[1].lower()) not in seen:
                 seen.add(key)
                 entities.append({"id": f"ent_{len(entities)}", "text": m[1], "type": kind or _type_of(m[1]), "confidence": conf, "start": m.start(1), "end": m.end(1)})
-    entities = [e for e in entities if (types is None or e["type"] in types) and e["confidence"] >= least]
-    rels, graph = [], {}
-    for sentence in _PY_END.split(text.lower()) if infer else ():
-        here = [(e["id"], k) for e in entities if (k := e["text"].lower()) in sentence]
+    return entities
+
+
+def relations_of(text: str, entities: list[dict]) -> Iterator[tuple[int, str, str, str, float]]:
+    """(sentence_no, subject, predicate, object, confidence) of a text's entities that stand in one sentence, a before b in number.
+
+    What stands between the first occurrences of two is ``is_a``, else the first verb of the patterns, else nothing.
+    """
+    keys = [(e["id"], e["text"].lower()) for e in entities]
+    no = -1
+    for sentence in _PY_END.split(text.lower()) if len(keys) > 1 else ():
+        if not sentence.strip(" "):
+            continue
+        no += 1
+        here = [x for x in keys if x[1] in sentence]
         for n, (a, ka) in enumerate(here):
             for b, kb in here[n + 1 :]:
                 if p := _between(sentence, ka, kb):
-                    conf = IS_A_CONFIDENCE if p == "is_a" else PAST_CONFIDENCE if p.endswith("ed") else PRESENT_CONFIDENCE if p.endswith("s") else VERB_CONFIDENCE
-                    rels.append({"subjectId": a, "predicate": p, "objectId": b, "confidence": conf})
-                    for x, y in ((a, b), (b, a)):
-                        if y not in graph.setdefault(x, []):
-                            graph[x].append(y)
-    return {"entities": entities, "relationships": rels, "contextGraph": graph}
+                    yield no, a, p, b, IS_A_CONFIDENCE if p == "is_a" else PAST_CONFIDENCE if p.endswith("ed") else PRESENT_CONFIDENCE if p.endswith("s") else VERB_CONFIDENCE
+
+
+def graph_of(relations: list[tuple]) -> dict[str, list[str]]:
+    """Both directions of the relations, distinct, in the order in which they came up."""
+    graph: dict[str, list[str]] = {}
+    for _, a, _, b, _ in relations:
+        for x, y in ((a, b), (b, a)):
+            if y not in graph.setdefault(x, []):
+                graph[x].append(y)
+    return graph
+
+
+def extract_text(text: str, types: tuple[str, ...] | None = None, least: float = 0.5, infer: bool = True) -> dict:
+    """Entities with offsets, relations and graph of one text."""
+    entities = [e for e in entities_of(text) if (types is None or e["type"] in types) and e["confidence"] >= least]
+    found = list(relations_of(text, entities)) if infer else []
+    rels = [{"subjectId": a, "predicate": p, "objectId": b, "confidence": c} for _, a, p, b, c in found]
+    return {"entities": entities, "relationships": rels, "contextGraph": graph_of(found)}
+
+
+def _by_text(docs: DataFrame, doc_id: str, text: str, schema: str, make) -> DataFrame:
+    """Rows that ``make`` gives for each text, in one Arrow-batched pass: nothing of a document leaves its row, so nothing is shuffled."""
+    rows = docs.filter(F.col(text).isNotNull()).select(doc_id, text)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(i, *row) for i, t in zip(b[doc_id], b[text]) for row in make(t)]
+            yield pd.DataFrame(out, columns=[doc_id, *names])
+
+    return rows.mapInPandas(run, f"{doc_id} {rows.schema[doc_id].dataType.simpleString()}, {schema}")
+
+
+def relations(docs: DataFrame, doc_id: str, text: str, passes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """doc_id, sentence_no, subject_id, predicate, object_id, confidence; the same pair again in another sentence stays."""
+    return _by_text(docs, doc_id, text, RELATION, lambda t: relations_of(t, entities_of(t, passes)))
+
+
+def context_graph(docs: DataFrame, doc_id: str, text: str, passes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """doc_id, node, neighbours: in the order in which they came up."""
+    return _by_text(docs, doc_id, text, "node string, neighbours array<string>", lambda t: graph_of(list(relations_of(t, entities_of(t, passes)))).items())
 
 
 def extract(docs: DataFrame, doc_id: str, text: str, types: tuple[str, ...] | None = None, least: float = 0.5, infer: bool = True) -> DataFrame:

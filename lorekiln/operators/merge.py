@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekiln.functions.timing import SKEW_MS, skew_bound
+from lorekiln.plans.stages import write_stage
 
 #: Names of policies; the outcomes and reasons in ``resolve`` are fixed values too.
 POLICIES = ("updatedAt", "preferLocal", "preferRemote")
@@ -76,11 +77,13 @@ def merge(local: DataFrame, remote: DataFrame, **options) -> tuple[DataFrame, Da
 
 
 def merge_counts(local: DataFrame, remote: DataFrame, **options) -> DataFrame:
-    """local_only, remote_only, conflicts, merged: one pass over the aligned sides."""
+    """local_only, remote_only, conflicts, merged. Rows that are only on one side are counted before repeats of an id are folded."""
     got = align(local, remote, **options)
-    when = lambda c: F.count_if(c)
     o = F.col("outcome")
-    return got.agg(when(o == "local-only").alias("local_only"), when(o == "remote-only").alias("remote_only"), when(o.isin("local", "remote")).alias("conflicts"), F.count(F.lit(1)).alias("merged"))
+    ids = lambda df, n: df.groupBy("id").agg(F.count(F.lit(1)).alias(n))
+    sizes = got.select("id", "outcome").join(ids(local, "nl"), "id", "left").join(ids(remote, "nr"), "id", "left")
+    some = lambda when, n: F.coalesce(F.sum(F.when(when, F.col(n))), F.lit(0)).alias
+    return sizes.agg(some(o == "local-only", "nl")("local_only"), some(o == "remote-only", "nr")("remote_only"), F.count_if(o.isin("local", "remote")).alias("conflicts"), F.count(F.lit(1)).alias("merged"))
 
 
 def remote_delta(remote: DataFrame, base: int, observed: int, skew_ms: int = SKEW_MS) -> DataFrame:
@@ -107,12 +110,12 @@ def canonical_order(records: DataFrame, collation: str | None = None) -> DataFra
     return records.orderBy("ts", cmp("id"), cmp("hash"))
 
 
-def canonical_position(records: DataFrame, span_ms: int = 3_600_000) -> DataFrame:
-    """Adds ``position``, from 1, in canonical order. Found in two steps, records of each span of time and records within
-    it, so the whole is never sorted in one task."""
-    rows = records.withColumn("span", F.floor(F.col("ts") / span_ms))
-    per = rows.groupBy("span").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.select("span", before.alias("before"))  # one row per span
-    inside = F.row_number().over(Window.partitionBy("span").orderBy("ts", "id", "hash"))
-    return rows.withColumn("inside", inside).join(per, "span").withColumn("position", F.col("before") + F.col("inside")).drop("span", "inside", "before")
+def canonical_position(records: DataFrame) -> DataFrame:
+    """Adds ``position``, from 1, in canonical order (nulls first). Records are cut into ranges of that order, written, counted
+    and numbered within their range, so neither the whole nor a span of time is sorted in one task."""
+    order = ("ts", "id", "hash")
+    ranged = write_stage(records.repartitionByRange(*order).withColumn("range", F.spark_partition_id())).df
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select("range", before.alias("before"))  # one row per range
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranged.withColumn("inside", inside).join(F.broadcast(per), "range").withColumn("position", F.col("before") + F.col("inside")).drop("range", "inside", "before")

@@ -1,8 +1,8 @@
 """Exact nearest-neighbour search and semantic search with post-filters.
 
 Queries go to the tasks in blocks of at most ``BLOCK`` vectors (their number is counted first; more blocks mean more
-passes over the vectors). A task keeps the k best of each query in every batch, so what is shuffled is at most k rows per
-query and task, whatever the size of the table.
+passes over the vectors). A task keeps the k best of each query so far, over all its batches, so what is shuffled is at most k
+rows per query and task, whatever the size of the table.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lorekiln.functions.text import has_all
 
-BLOCK, DIGITS, SAMPLE = 4096, 6, 4096
+BLOCK, TILE, DIGITS, SAMPLE, BROADCAST_HITS = 4096, 1024, 6, 4096, 1_000_000
 
 
 def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -48,14 +48,17 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_c
         ids, q = np.array([r[0] for r in rows], dtype=object), np.array([r[1] for r in rows], dtype=np.float64)
 
         def best(batches: Iterator[pd.DataFrame], ids=ids, q=q) -> Iterator[pd.DataFrame]:
+            kept, at = pd.DataFrame({"n": [], id_col: [], "distance": []}), np.arange(len(q))[:, None]
             for b in batches:
-                if not len(b):
-                    continue
                 b = b.sort_values(id_col)  # so that a stable sort breaks ties by id
-                d = np.round(_scores(q, np.array(list(b["embedding"]), dtype=np.float64), metric), DIGITS) + 0.0
-                top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                at = np.arange(len(q))[:, None]
-                yield pd.DataFrame({query_col: np.repeat(ids, top.shape[1]), id_col: b[id_col].to_numpy()[top.ravel()], "distance": d[at, top].ravel()})
+                for start in range(0, len(b), TILE):
+                    tile = b.iloc[start : start + TILE]
+                    d = np.round(_scores(q, np.array(list(tile["embedding"]), dtype=np.float64), metric), DIGITS) + 0.0
+                    top = np.argsort(d, axis=1, kind="stable")[:, :k]
+                    new = pd.DataFrame({"n": np.repeat(np.arange(len(q)), top.shape[1]), id_col: tile[id_col].to_numpy()[top.ravel()], "distance": d[at, top].ravel()})
+                    kept = new if not len(kept) else pd.concat([kept, new]).sort_values(["n", "distance", id_col], kind="stable").groupby("n", sort=False).head(k)
+            if len(kept):
+                yield pd.DataFrame({query_col: ids[kept["n"].to_numpy(dtype=int)], id_col: kept[id_col].to_numpy(), "distance": kept["distance"].to_numpy()})
 
         part = vectors.select(id_col, "embedding").mapInPandas(best, f"{query_col} {qkind}, {id_col} {kind}, distance double")
         out = part if out is None else out.unionByName(part)
@@ -132,8 +135,11 @@ def search(concepts: DataFrame, queries: DataFrame, k: int = 10, namespace: str
         keep = keep & has_all(F.col("tag_list"), list(tags))
     meta = concepts.select("id", "namespace", "tag_list", F.col("markdown").isNotNull().cast("int").alias("has_md"), F.col("thoughtform").isNotNull().cast("int").alias("has_tf"))
     source = concepts.filter(keep) if prefilter else concepts
-    hits = knn(source, queries, k if prefilter or namespace is None else 3 * k)
-    found = hits.drop("rank").join(meta, "id").filter(keep)
+    most = k if prefilter or namespace is None else 3 * k
+    hits = knn(source, queries, most).drop("rank")
+    if queries.count() * most <= BROADCAST_HITS:  # the hits go to the concepts; more hits meet them by a shuffle
+        hits = F.broadcast(hits)
+    found = meta.join(hits, "id").filter(keep)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,6 +92,12 @@ def contiguity(chunks: DataFrame, key: str) -> DataFrame:
     return g.select(key, "stored", "expected", F.coalesce(ok, F.lit(False)).alias("contiguous"))
 
 
+@F.pandas_udf("binary")
+def _joined(parts: pd.Series) -> pd.Series:
+    """Parts put together at once; each byte is copied once, however many parts there are."""
+    return parts.map(lambda p: b"".join(bytes(x) for x in p))
+
+
 def reassemble(chunks: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """((key, payload, bytes), (key, error)): payloads put together in order, and what is wrong with the others.
 
@@ -104,8 +111,7 @@ def reassemble(chunks: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     )
     error = F.when(F.col("lo") != F.col("hi"), "inconsistent chunk count").when((F.col("n") != F.col("hi")) | (F.col("bottom") != 0) | (F.col("top") != F.col("n") - 1), "missing chunk").when(~F.col("fits"), "hash mismatch")
     g = g.withColumn("error", error)
-    whole = F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["payload"]))
-    ok = g.filter(F.col("error").isNull()).select(key, whole.alias("payload"))
+    ok = g.filter(F.col("error").isNull()).select(key, _joined(F.col("parts.payload")).alias("payload"))
     return ok.withColumn("bytes", F.octet_length("payload")), g.filter(F.col("error").isNotNull()).select(key, "error")
 
 
@@ -134,19 +140,52 @@ def list_commits(commits: DataFrame, since_ms: int = 0, cursor: DataFrame | None
     return rows.orderBy("created_at_ms", "commit_id").limit(limit)
 
 
+def next_cursor(commits: DataFrame, limit: int = 50, **options) -> str | None:
+    """The commit a next page begins after; None if a page of this length is the last."""
+    page = [r.commit_id for r in list_commits(commits, limit=limit + 1, **options).select("commit_id").collect()]
+    return page[limit - 1] if len(page) > limit else None
+
+
+def next_offset(chunks: DataFrame, commit: DataFrame, offset: int = 0, limit: int = 50) -> int | None:
+    """Where the next page of a commit's chunks begins; None after the last."""
+    more = chunks_page(chunks, commit, offset + limit, 1).limit(1).count()
+    return offset + limit if more else None
+
+
 def chunks_page(chunks: DataFrame, commit: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
     own = first_puts(chunks).join(F.broadcast(commit.select("commit_id")), "commit_id", "left_semi")
     return own.orderBy("chunk_index", "idempotency_key").offset(offset).limit(limit)
 
 
+def writable(requests: DataFrame, grants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests that may write, (request columns, error)): a principal may write as owner or with a grant ``write``.
+
+    ``requests`` have a column ``principal``; reading without a grant gives nothing, writing without one is an error.
+    """
+    may = grants.filter(F.col("role").isin("owner", "write")).select("principal").distinct()
+    ok = requests.join(may, "principal", "left_semi")
+    return ok, requests.join(may, "principal", "left_anti").withColumn("error", F.lit("unauthorized"))
+
+
+def change_grants(grants: DataFrame, caller: str, role: str, principals: list[str]) -> DataFrame:
+    """The grants with the list of a role (write or read) replaced; only an owner may do this, for others nothing changes."""
+    if role not in ("write", "read"):
+        raise ValueError("role must be write or read")
+    owner = grants.filter((F.col("principal") == caller) & (F.col("role") == "owner")).limit(1).select(F.lit(True).alias("owner"))
+    new = grants.sparkSession.createDataFrame([(p, None, role) for p in dict.fromkeys(principals)], "principal string, author string, role string")
+    may = lambda df: df.join(F.broadcast(owner), F.lit(True), "left")
+    kept = may(grants).filter(F.col("owner").isNull() | (F.col("role") != role)).drop("owner")
+    return kept.unionByName(may(new).filter(F.col("owner")).drop("owner"))
+
+
 def visible(commits: DataFrame, grants: DataFrame, principal: str) -> DataFrame:
     """Commits that a principal may read: all for an owner, else those of authors who granted reading; others see nothing.
 
-    ``grants``: principal, author (null for all), role (owner, write, read).
+    ``grants``: principal, author (whose commits a reader may see; null for all), role (owner, write, read).
     """
     mine = grants.filter(F.col("principal") == principal)
-    every = mine.filter(F.col("role") == "owner").limit(1).select(F.lit(True).alias("every"))
-    some = mine.filter(F.col("role").isin("read", "write")).select(F.col("author").alias("author_principal")).distinct()
+    every = mine.filter((F.col("role") == "owner") | ((F.col("role") == "read") & F.col("author").isNull())).limit(1).select(F.lit(True).alias("every"))
+    some = mine.filter(F.col("role") == "read").select(F.col("author").alias("author_principal")).distinct()
     rows = commits.join(F.broadcast(every), F.lit(True), "left").join(some.withColumn("granted", F.lit(True)), "author_principal", "left")
     return rows.filter(F.coalesce("every", "granted", F.lit(False))).drop("every", "granted")
 

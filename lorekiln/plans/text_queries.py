@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lorekiln.functions.text import text_or_entities
 from lorekiln.operators import convert as V
 from lorekiln.operators import extract as E
-from lorekiln.plans.concept_queries import DIM, C, S, concepts, searchable
+from lorekiln.plans.concept_queries import DIM, C, S, adapter_tag, concepts, searchable
 from lorekiln.plans.session import table
 
 
@@ -59,12 +59,12 @@ def sentence_pairs(spark, sf_dir):
 
 
 def relation_predicates(spark, sf_dir):
-    return E.relations(_pairs(spark, sf_dir), "doc_id")
+    return E.relations(_docs(spark, sf_dir), "doc_id", "text", (1, 2))
 
 
 def context_graph(spark, sf_dir):
-    g = E.context_graph(E.relations(_pairs(spark, sf_dir), "doc_id"), "doc_id")
-    return g.select("doc_id", "node", F.array_join(F.array_sort("neighbours"), ",").alias("neighbours"))
+    g = E.context_graph(_docs(spark, sf_dir), "doc_id", "text", (1, 2))
+    return g.select("doc_id", "node", F.array_join("neighbours", ",").alias("neighbours"))
 
 
 def extract_full(spark, sf_dir):
@@ -81,7 +81,7 @@ def form_shapes(spark, sf_dir):
 
 def forms_since(spark, sf_dir):
     """Readable structured forms of a namespace with a tag that changed after a time."""
-    got = V.read_forms(concepts(spark, sf_dir, F.col("tags").contains("adapter")), None, ("adapter",), 1_705_000_000_000)
+    got = V.read_forms(concepts(spark, sf_dir, adapter_tag()), None, ("adapter",), 1_705_000_000_000)
     return got.select("id", "shape", "ts")
 
 
@@ -144,7 +144,10 @@ ORACLES = {
     "entity_filter": _ent("1, 2", "SELECT doc_id, entity_id, type FROM k WHERE type IN ('PERSON', 'CONCEPT') AND confidence >= 0.7"),
     "sentence_pairs": _ent("1, 2", "").rstrip() + ", " + _REL + " SELECT doc_id, count(*) AS pairs FROM pr GROUP BY 1",
     "relation_predicates": _ent("1, 2", "").rstrip() + ", " + _REL + " SELECT * FROM rl",
-    "context_graph": _ent("1, 2", "").rstrip() + ", " + _REL + ", bo AS (SELECT doc_id, subject_id AS node, object_id AS o FROM rl UNION SELECT doc_id, object_id, subject_id FROM rl) SELECT doc_id, node, string_agg(o, ',' ORDER BY o) AS neighbours FROM bo GROUP BY 1, 2",
+    "context_graph": _ent("1, 2", "").rstrip() + ", " + _REL + """, nu AS (SELECT *, substr(subject_id, 5)::INT AS a, substr(object_id, 5)::INT AS b FROM rl),
+bo AS (SELECT doc_id, subject_id AS node, object_id AS o, sentence_no, a, b FROM nu UNION ALL SELECT doc_id, object_id, subject_id, sentence_no, a, b FROM nu),
+fi AS (SELECT DISTINCT ON (doc_id, node, o) * FROM bo ORDER BY doc_id, node, o, sentence_no, a, b)
+SELECT doc_id, node, string_agg(o, ',' ORDER BY sentence_no, a, b) AS neighbours FROM fi GROUP BY 1, 2""",
     "form_shapes": f"WITH {_FORM} SELECT id, shape, CASE WHEN shape <> 'unreadable' THEN j->>'$.rawText' END AS raw_text FROM g",
     "forms_since": f"""WITH {_FORM}, t AS (SELECT g.id, shape, CASE WHEN shape = 'sync' THEN (j->>'$.metadata.updatedAtMs')::BIGINT ELSE epoch_ms(TRY_CAST(j->>'$.metadata.updatedAt' AS TIMESTAMP)) END AS ts
 FROM g JOIN c USING (id) WHERE shape IN ('live', 'sync') AND list_contains(tag_list, 'adapter')) SELECT id, shape, ts FROM t WHERE ts > 1705000000000""",

@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekiln.functions.hashing import gunzip_bytes
 from lorekiln.functions.text import has_all
 from lorekiln.operators.store import in_parts
-from lorekiln.operators.validate import Rule, split_valid
+from lorekiln.operators.validate import Rule, validate
 
 
 def read_records(spark: SparkSession, path: str, schema: str, rules: list[Rule] | None = None, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(valid, errors) of files that each hold a JSON array; a file that is none is an error, at once if ``strict``."""
-    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST" if strict else "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken")
-    df = reader.schema(schema if strict else schema + ", _broken string").json(path)
-    good = df if strict else df.filter(F.col("_broken").isNull()).drop("_broken")
-    if not rules:
-        return good, good.limit(0).withColumn("errors", F.array().cast("array<struct<path:string,message:string,code:string>>"))
-    return split_valid(good, rules)
+    """(valid records, (file, position, error)) of files that each hold a JSON array.
+
+    Errors: a file that is not readable or no array (position null), an element that is no object or breaks the rules. If
+    ``strict`` the first error ends the job and is named.
+    """
+    return parse_records(spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value"), "value", "file", schema, rules, strict)
+
+
+def parse_records(raw: DataFrame, content: str, name: str, schema: str, rules: list[Rule] | None = None, strict: bool = True) -> tuple[DataFrame, DataFrame]:
+    """As ``read_records``, of texts in a column."""
+    rows = raw.select(F.col(name).cast("string").alias("file"), F.col(content).alias("_text"))
+    readable = F.coalesce(F.schema_of_variant(F.try_parse_json("_text")).startswith("ARRAY"), F.lit(False)) & F.ltrim("_text").startswith("[")
+    rows = rows.withColumn("_array", readable)
+    whole = rows.filter(~F.col("_array")).select("file", F.lit(None).cast("int").alias("position"), F.lit("not a JSON array").alias("error"))
+    items = rows.filter("_array").select("file", F.posexplode(F.from_json("_text", "array<variant>")).alias("position", "_v"))
+    items = items.withColumn("_json", F.to_json("_v"))
+    shaped = F.coalesce(F.ltrim("_json").startswith("{"), F.lit(False))
+    got = items.filter(shaped).select("file", "position", F.from_json("_json", schema).alias("_r"))
+    got = got.select("file", "position", "_r.*")
+    errors = whole.unionByName(items.filter(~shaped).select("file", "position", F.lit("not an object").alias("error")))
+    if rules:
+        checked = validate(got, rules)
+        why = F.array_join(F.transform("errors", lambda e: F.concat(e["path"], F.lit(" "), e["message"])), "; ")
+        errors = errors.unionByName(checked.filter(F.size("errors") > 0).select("file", "position", why.alias("error")))
+        got = checked.filter(F.size("errors") == 0).drop("errors")
+    if strict and (first := errors.orderBy("file", "position").first()):
+        raise ValueError(f"{first.file}, element {first.position}: {first.error}")
+    return got.drop("file", "position"), errors
 
 
 def parse_bundles(raw: DataFrame, content: str, element: str) -> DataFrame:
@@ -38,17 +59,19 @@ def read_bundles(spark: SparkSession, path: str, element: str) -> DataFrame:
     return parse_bundles(spark.read.format("binaryFile").load(path).select("path", "content"), "content", element)
 
 
-def parse_snapshot(raw: DataFrame, content: str) -> DataFrame:
+def parse_snapshot(raw: DataFrame, content: str, strict: bool = True) -> DataFrame:
     """Concepts of a snapshot {"concepts": [...]}: missing fields are null, tags that are not strings are dropped, an
-    element without an id ends the job and names its position."""
+    element without an id ends the job and names its position; if not ``strict`` it comes out with a null id. ``n``: its position."""
     v = F.try_parse_json(F.col(content))
     items = F.from_json(F.get_json_object(content, "$.concepts"), "array<variant>")
     rows = raw.filter(v.isNotNull()).select(F.posexplode(items).alias("n", "v"))
     get = lambda p, t="string": F.try_variant_get("v", f"$.{p}", t)
-    id_ = F.coalesce(get("id"), F.raise_error(F.concat(F.lit("concept without id at "), F.col("n").cast("string"))))
+    id_ = F.nullif(get("id"), F.lit(""))
+    if strict:
+        id_ = F.coalesce(id_, F.raise_error(F.concat(F.lit("concept without id at "), F.col("n").cast("string"))))
     tags = F.filter(F.transform(F.try_variant_get("v", "$.tags", "array<variant>"), lambda t: F.when(F.schema_of_variant(t) == "STRING", F.try_variant_get(t, "$", "string"))), lambda t: t.isNotNull())
     none = F.array().cast("array<string>")
-    return rows.select(id_.alias("id"), F.coalesce(get("namespace"), F.lit("default")).alias("namespace"), F.coalesce(tags, none).alias("tag_list"), get("markdown").alias("markdown"), F.try_variant_get("v", "$.embedding", "array<float>").alias("embedding"), F.get_json_object(F.to_json("v"), "$.thoughtform").alias("thoughtform"))
+    return rows.select("n", id_.alias("id"), F.coalesce(get("namespace"), F.lit("default")).alias("namespace"), F.coalesce(tags, none).alias("tag_list"), get("markdown").alias("markdown"), F.try_variant_get("v", "$.embedding", "array<float>").alias("embedding"), F.get_json_object(F.to_json("v"), "$.thoughtform").alias("thoughtform"))
 
 
 def snapshot(concepts: DataFrame, namespace: str | None = None, with_embedding: bool = False, only_present: bool = False) -> DataFrame:
@@ -81,6 +104,12 @@ def to_entries(concepts: DataFrame) -> DataFrame:
     return concepts.select(F.inline(F.filter(both, lambda x: x["content"].isNotNull())))
 
 
+def tombstones(ids: DataFrame, seq: Column) -> DataFrame:
+    """key, content, content_type, tags, tombstone, seq: delete markers of both entries of deleted concepts; ``mutate.without_tombstones`` honours them."""
+    keys = F.array(*[F.concat(F.lit("concepts/"), F.col("id"), F.lit(f"/{kind}")) for kind in ("markdown", "thoughtform")])
+    return ids.select(F.explode(keys).alias("key"), seq.alias("seq")).select("key", F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("content_type"), F.array().cast("array<string>").alias("tags"), F.lit(True).alias("tombstone"), "seq")
+
+
 def from_entries(entries: DataFrame) -> DataFrame:
     """id, markdown of the markdown entries; other keys are ignored."""
     rows = entries.filter(F.col("key").startswith("concepts/") & F.col("key").endswith("/markdown"))
