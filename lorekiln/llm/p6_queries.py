@@ -29,8 +29,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.col("kind").alias("item_kind"), F.col("key").alias("item_key"), F.when(F.col("hard"), "hard").otherwise("soft").alias("cut"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces}
+def p6_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown put together again from the cores of its pieces, with the longest piece and the longest overlap."""
+    p = _pieces(spark, sf_dir).filter("kind = 'markdown'").withColumn("own", F.substring("text", F.col("core") - F.col("start") + 1, F.length("text")))
+    g = p.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("piece", "own"))).alias("t"), (F.max(F.length("text")) <= MARKDOWN_LIMIT).alias("within"), (F.max(F.col("core") - F.col("start")) <= MARKDOWN_LIMIT // 10).alias("overlap_within"))
+    return g.select(F.col("key").alias("id"), F.sha2(F.array_join("t.own", ""), 256).alias("text_hash"), "within", "overlap_within")
+
+
+QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p6_roundtrip": p6_roundtrip}
 ORACLES = {
+    "p6_roundtrip": "SELECT id, sha256(min(markdown)) AS text_hash, true AS within, true AS overlap_within FROM concepts WHERE length(markdown) > 2000 GROUP BY id",
+    
     "p6_found": r'''
 SELECT 'markdown' AS item_kind, id AS item_key, CASE WHEN bool_or(regexp_matches(markdown, '\S{1000}\S{1000}\S')) THEN 'hard' ELSE 'soft' END AS cut FROM concepts WHERE length(markdown) > 2000 GROUP BY id
 UNION ALL
