@@ -17,7 +17,8 @@ parent is a loop of one; repeated (node, parent) rows count once and, if one nod
 non-null parent is taken (choose earlier by any rule of your own); extra columns are ignored. Nodes on a loop or leading
 into one get ``root`` = the smallest id on the loop, ``depth`` = -1 and null chain columns. An empty table gives none.
 
-A parent with very many children is no hot spot: sibling offsets are prefix sums in two steps over hashed slices.
+A parent with very many children is no hot spot: sibling offsets are prefix sums in two steps over 256 hashed slices. The heaviest
+child comes first, then the others by slice and id.
 """
 
 from __future__ import annotations
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 
 from lorekiln.plans.stages import Stage, write_stage
 
-SIBLING_SLICES = 256
-
 
 def _advance(old: Stage | None, df: DataFrame) -> Stage:
     new = write_stage(df)
@@ -45,26 +44,27 @@ def _links(links: DataFrame, node: str, parent: str) -> DataFrame:
 
 
 def _double(base: Stage) -> tuple[Stage, Stage | None]:
-    """(node, size of its subtree) and, if any, (node, smallest id of its loop) of the nodes that never reach a root."""
+    """(node, size of its subtree) and, if any, (node, smallest id of its loop) of the nodes that never reach a root.
+
+    A round writes the nodes that still move, and what it adds to nodes that stand still already; sizes are summed once at the end.
+    """
     # jump: the ancestor 2^k above, null once past the root; low: smallest id among the 2^k nodes from here upwards
-    now = write_stage(base.df.select("node", F.col("up").alias("jump"), F.lit(1).cast("long").alias("size"), F.col("node").alias("low")))
-    before, k = -1, 0
-    while True:
-        open_ = now.df.filter(F.col("jump").isNotNull()).count()
-        if open_ in (0, before):
-            break
-        before, k = open_, k + 1
-        cur = now.df
+    still = F.col("jump").isNotNull()
+    now = write_stage(base.df.select("node", F.col("up").alias("jump"), F.lit(1).cast("long").alias("size"), F.col("node").alias("low")), still)
+    rounds, open_, before = [now], now.counted, -1
+    while open_ not in (0, before):
+        cur = now.df.filter(still)
         far = cur.select(F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("low").alias("low2"))
-        moving = cur.filter(F.col("jump").isNotNull())  # finished rows have no key to join by and stay out of the join
-        gained = moving.groupBy("jump").agg(F.sum("size").alias("more")).withColumnRenamed("jump", "node")
-        moved = moving.join(far, "jump").select("node", F.col("jump2").alias("jump"), "size", F.least("low", "low2").alias("low"))
-        nxt = moved.unionByName(cur.filter(F.col("jump").isNull())).join(gained, "node", "left")
-        now = _advance(now, nxt.select("node", "jump", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"), "low"))
+        gained = cur.groupBy("jump").agg(F.sum("size").alias("more")).withColumnRenamed("jump", "node")
+        moved = cur.join(far, "jump", "left").select("node", F.col("jump2").alias("jump"), "size", F.least("low", "low2").alias("low"))
+        nxt = moved.join(gained, "node", "full_outer").select("node", "jump", (F.coalesce("size", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("size"), "low")
+        now = write_stage(nxt, still)
+        rounds.append(now)
+        before, open_ = open_, now.counted
     loops = None
     if open_:
-        loops = write_stage(now.df.filter(F.col("jump").isNotNull()).select("node", "jump", "low"))
-        reach = 2**k
+        loops = write_stage(now.df.filter(still).select("node", "jump", "low"))
+        reach = 2 ** (len(rounds) - 1)
         while reach < open_:  # a path inside this set is no longer than the set
             cur = loops.df
             far = cur.select(F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("low").alias("low2"))
@@ -73,28 +73,46 @@ def _double(base: Stage) -> tuple[Stage, Stage | None]:
         cur = loops.df
         at = cur.select(F.col("node").alias("jump"), F.col("low").alias("loop"))  # the jump ends on the loop, whose window is all of it
         loops = _advance(loops, cur.join(at, "jump").select("node", "loop"))
-    sizes = _advance(now, now.df.filter(F.col("jump").isNull()).select("node", "size"))
+    parts = rounds[0].df.filter(~still)
+    for r in rounds[1:]:
+        parts = parts.unionByName(r.df.filter(~still))
+    sizes = write_stage(parts.groupBy("node").agg(F.sum("size").alias("size")))
+    for r in rounds:
+        r.release()
     return sizes, loops
 
 
 def _chains(tree: DataFrame) -> Stage:
-    """(node, up, size, head, pos): head of the node's chain and the steps down from it."""
+    """(node, up, size, head, pos): head of the node's chain and the steps down from it. A round goes four times as far, over two hops."""
     first = F.struct((-F.col("size")).alias("s"), F.col("node").alias("node"))
     heavy = tree.filter(F.col("up").isNotNull()).groupBy("up").agg(F.min(first).alias("m")).select(F.col("m.node").alias("node"), F.lit(True).alias("heavy"))
-    on = F.coalesce("heavy", F.lit(False))
-    now = write_stage(tree.join(heavy, "node", "left").select("node", "up", "size", F.when(on, F.col("up")).otherwise(F.col("node")).alias("head"), on.cast("long").alias("pos"), (~on).alias("done")))
-    while now.df.filter(~F.col("done")).limit(1).count():
-        cur = now.df
-        to = cur.select(F.col("node").alias("head"), F.col("head").alias("head2"), F.col("pos").alias("pos2"), F.col("done").alias("done2"))
-        moved = cur.filter(~F.col("done")).join(to, "head").select("node", "up", "size", F.col("head2").alias("head"), (F.col("pos") + F.col("pos2")).alias("pos"), F.col("done2").alias("done"))
-        now = _advance(now, moved.unionByName(cur.filter("done")))
-    return now
+    on, open_ = F.coalesce("heavy", F.lit(False)), ~F.col("done")
+    start = tree.join(heavy, "node", "left").select("node", "up", "size", F.when(on, F.col("up")).otherwise(F.col("node")).alias("head"), on.cast("long").alias("pos"), (~on).alias("done"))
+    now = write_stage(start, open_)
+    rounds = [now]
+    while now.counted:
+        cur = now.df.filter(open_).select("node", "up", "size", "head", "pos")
+        every = cur.select("node", "head", "pos", F.lit(False).alias("done"))
+        for r in rounds:
+            every = every.unionByName(r.df.filter("done").select("node", "head", "pos", "done"))
+        to = every.select(F.col("node").alias("head"), F.col("head").alias("head2"), F.col("pos").alias("pos2"), F.col("done").alias("done2"))
+        for hop in (1, 2):
+            cur = cur.join(to, "head").select("node", "up", "size", F.col("head2").alias("head"), (F.col("pos") + F.col("pos2")).alias("pos"), *([F.col("done2").alias("done")] if hop == 2 else []))
+        now = write_stage(cur, open_)
+        rounds.append(now)
+    out = rounds[0].df.filter("done")
+    for r in rounds[1:]:
+        out = out.unionByName(r.df.filter("done"))
+    whole = write_stage(out)
+    for r in rounds:
+        r.release()
+    return whole
 
 
 def _head_offsets(nodes: DataFrame) -> DataFrame:
     """(head, up, shift): preorder distance from the chain's parent to its head, past the heavy child and earlier siblings."""
     light = nodes.filter((F.col("node") == F.col("head")) & F.col("up").isNotNull()).select("node", "up", "size")
-    light = light.withColumn("slice", F.pmod(F.xxhash64("node"), F.lit(SIBLING_SLICES)))
+    light = light.withColumn("slice", F.substring(F.md5("node"), 1, 2))
     slices = light.groupBy("up", "slice").agg(F.sum("size").alias("total"))
     start = Window.partitionBy("up").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select("up", "slice", F.coalesce(F.sum("total").over(start), F.lit(0)).alias("before"))
@@ -125,10 +143,11 @@ def build_hierarchy(links: DataFrame, node: str, parent: str) -> DataFrame:
             "head", "root", (F.col("depth") + F.col("at") + 1).alias("depth"), (F.col("pre") + F.col("at") + F.col("shift")).alias("pre"),
             F.concat("above", F.array(piece)).cast(seg).alias("above"),
         )
-        level = write_stage(nxt)
-        if not level.df.limit(1).count():
+        level = write_stage(nxt, F.lit(True))
+        if not level.counted:
             break
         placed.append(level)
+    below.release()
     chains = placed[0].df
     for level in placed[1:]:
         chains = chains.unionByName(level.df)

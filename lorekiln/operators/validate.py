@@ -75,7 +75,7 @@ def sync_form_rules(f: Column) -> list[Rule]:
     return [
         filled("id", f["id"]), at_least("metadata.contentHash", f["metadata"]["contentHash"], 16), filled("metadata.source", f["metadata"]["source"]),
         epoch("metadata.createdAtMs", f["metadata"]["createdAtMs"]), epoch("metadata.updatedAtMs", f["metadata"]["updatedAtMs"]),
-        every("entities", f["entities"], lambda e: text(e["id"]) & unit(e["confidence"])),
+        every("entities", f["entities"], lambda e: text(e["id"]) & text(e["type"]) & e["value"].isNotNull() & unit(e["confidence"])),
         every("relationships", f["relationships"], lambda r: text(r["id"]) & text(r["type"]) & text(r["from"]) & text(r["to"])),
     ]
 

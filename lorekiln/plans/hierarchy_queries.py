@@ -33,13 +33,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every commit with its whole path and its descendants as a preorder interval of its root's tree."""
+    """Every commit with its whole path and its descendants as a preorder interval of its root's tree; -1 on and before loops."""
     tree = _tree(spark, sf_dir)
     paths = expand_paths(tree).withColumnRenamed("node", "n")
     cols = tree.join(paths, F.col("node") == F.col("n"), "left")
     return cols.select(
         F.col("node").alias("commit_id"), F.col("root").alias("root_id"), F.col("depth").alias("tree_depth"), "in_cycle", F.array_join("path", "/").alias("path"),
-        (F.col("size") - 1).alias("descendants"), F.col("pre").alias("first_label"), (F.col("pre") + F.col("size") - 1).alias("last_label"),
+        *[F.coalesce(c, F.lit(-1)).alias(n) for n, c in (("descendants", F.col("size") - 1), ("first_label", F.col("pre")), ("last_label", F.col("pre") + F.col("size") - 1))],
     )
 
 
@@ -67,5 +67,13 @@ ORACLES = {
     "p4_found": _BASE + "SELECT id AS commit_id, root AS root_id, depth AS tree_depth FROM down UNION ALL SELECT id, root, -1 FROM loops",
     "p4_descendants": _BASE + """, pairs AS (SELECT up AS ancestor, id AS descendant FROM link WHERE up IS NOT NULL AND id IN (SELECT id FROM down)
   UNION ALL SELECT l.up, p.descendant FROM pairs p JOIN link l ON l.id = p.ancestor WHERE l.up IS NOT NULL) SELECT ancestor, descendant FROM pairs""",
+    # labels: a node's own, then its heaviest child's subtree, then the other children's by the first byte of the id's md5
+    "p4_hierarchy": _BASE + """, pairs AS (SELECT up AS ancestor, id AS descendant FROM link WHERE up IS NOT NULL AND id IN (SELECT id FROM down)
+  UNION ALL SELECT l.up, p.descendant FROM pairs p JOIN link l ON l.id = p.ancestor WHERE l.up IS NOT NULL),
+sz AS (SELECT d.id, d.root, d.depth, d.path, l.up, 1 + coalesce(k, 0) AS size FROM down d JOIN link l USING (id) LEFT JOIN (SELECT ancestor AS id, count(*) AS k FROM pairs GROUP BY 1) USING (id)),
+sib AS (SELECT *, row_number() OVER (PARTITION BY up ORDER BY size DESC, id) AS heavy FROM sz),
+off AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY up ORDER BY (heavy > 1)::INT, substr(md5(id), 1, 2), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sib),
+pre AS (SELECT id, 0::HUGEINT AS n FROM off WHERE up IS NULL UNION ALL SELECT o.id, p.n + 1 + o.before FROM off o JOIN pre p ON o.up = p.id)
+SELECT id AS commit_id, root AS root_id, depth AS tree_depth, false AS in_cycle, path, size - 1 AS descendants, n::BIGINT AS first_label, (n + size - 1)::BIGINT AS last_label FROM off JOIN pre USING (id)
+UNION ALL SELECT id, root, -1, true, NULL, -1, -1, -1 FROM loops""",
 }
-# p4_hierarchy has none: the order of siblings follows a hash of Spark's; tests check its intervals against the pairs.

@@ -172,7 +172,8 @@ ORACLES = {
     "merge_prefer_remote_skew": _merge_sql(_SKEW.format(o="remote", p="onchain")) + _ALL,
     "merge_policy_local": _merge_sql("WHEN true THEN 'local|policy-preferLocal'") + _ALL,
     "merge_policy_remote": _merge_sql("WHEN true THEN 'remote|policy-preferRemote'") + _ALL,
-    "merge_counts": _merge_sql() + "SELECT count(*) FILTER (outcome = 'local-only') AS local_only, count(*) FILTER (outcome = 'remote-only') AS remote_only, count(*) FILTER (outcome IN ('local', 'remote')) AS conflicts, count(*) AS merged FROM a",
+    "merge_counts": _merge_sql() + """SELECT (SELECT count(*) FROM r WHERE source = 'user_input' AND id NOT IN (SELECT id FROM m)) AS local_only, (SELECT count(*) FROM r WHERE source IS DISTINCT FROM 'user_input' AND id NOT IN (SELECT id FROM l)) AS remote_only,
+count(*) FILTER (outcome IN ('local', 'remote')) AS conflicts, count(*) AS merged FROM a""",
     "lww_dedupe": f"WITH {R} SELECT DISTINCT ON (id) id, ts, hash, seq FROM r ORDER BY id, ts DESC, hash DESC, seq",
     "canonical_sort": f"WITH {R} SELECT ts, id, hash, row_number() OVER (ORDER BY ts, id, hash NULLS FIRST) AS position FROM r",
     "rebase_delta": f"WITH {R} SELECT id, ts, hash, seq FROM r WHERE source IS DISTINCT FROM 'user_input' {_DELTA}",

@@ -11,7 +11,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 _WRITTEN: dict[str, SparkSession] = {}
@@ -49,8 +50,8 @@ def _sweep() -> None:
 class Stage:
     """A written table: ``df`` reads it again, ``release`` removes it."""
 
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path, schema
+    def __init__(self, spark: SparkSession, path: str, schema, counted: int | None = None):
+        self.spark, self.path, self.schema, self.counted = spark, path, schema, counted
 
     @property
     def df(self) -> DataFrame:
@@ -61,10 +62,17 @@ class Stage:
         _WRITTEN.pop(self.path, None)
 
 
-def write_stage(df: DataFrame) -> Stage:
-    """Computes ``df`` once, writes it to the shared folder and returns the written table."""
+def write_stage(df: DataFrame, count_if: Column | None = None) -> Stage:
+    """Computes ``df`` once, writes it to the shared folder and returns the written table.
+
+    ``count_if``: rows to count while they are written, as ``Stage.counted``.
+    """
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{uuid.uuid4().hex}"
     _WRITTEN[path] = spark
-    df.write.parquet(path)
-    return Stage(spark, path, df.schema)
+    if count_if is None:
+        df.write.parquet(path)
+        return Stage(spark, path, df.schema)
+    seen = Observation()
+    df.observe(seen, F.count_if(count_if).alias("n")).write.parquet(path)
+    return Stage(spark, path, df.schema, seen.get["n"])

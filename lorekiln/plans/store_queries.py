@@ -94,6 +94,21 @@ def acl_visible_commits(spark, sf_dir):
     return S.visible(c, grants, "reader").select("commit_id", "author_principal", "stored_at")
 
 
+def acl_writers(spark, sf_dir):
+    """Writes offered by every author, where those whose name begins with prn-k may write: the rest are errors."""
+    c = table(spark, sf_dir, "commits").select(F.col("author_principal").alias("principal"), "commit_id", "stored_at")
+    grants = c.filter(F.col("principal").startswith("prn-k")).select("principal", F.lit(None).cast("string").alias("author"), F.lit("write").alias("role")).distinct()
+    ok, refused = S.writable(c, grants)
+    return ok.withColumn("error", F.lit(None).cast("string")).unionByName(refused).groupBy("principal", "error").agg(F.count(F.lit(1)).alias("writes"))
+
+
+def next_pages(spark, sf_dir):
+    """Where the page after the first begins, of commits and of the largest commit's chunks."""
+    c, k = table(spark, sf_dir, "commits").select("commit_id", "created_at_ms").distinct(), table(spark, sf_dir, "chunks")
+    biggest = k.groupBy("commit_id").agg(F.countDistinct("idempotency_key").alias("n")).agg(F.min_by("commit_id", F.struct((-F.col("n")).alias("n"), "commit_id")).alias("commit_id"))
+    return spark.createDataFrame([(S.next_cursor(c, 50), S.next_cursor(c, 10**6), S.next_offset(k, biggest, 0, 1))], "next_cursor string, past_the_end string, next_offset int")
+
+
 def commit_chunks(spark, sf_dir):
     """Commits with the number and bytes of their stored chunks."""
     one = S.first_puts(table(spark, sf_dir, "chunks")).groupBy("commit_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("payload")).alias("bytes"))
@@ -107,7 +122,7 @@ def chunk_integrity(spark, sf_dir):
     return c.filter(bad).select("bundle_id", "chunk_index", "created_at_ms", F.octet_length("payload").alias("bytes"))
 
 
-_NAMES = "dedupe_key idempotency_keys payload_sizes chunk_hashes reassemble_hash reassemble_errors reassemble_documents chunk_contiguity put_chunk_idempotent finalize_outcomes list_commits list_commits_cursor latest_commit chunks_page acl_visible_commits commit_chunks chunk_integrity".split()
+_NAMES = "dedupe_key idempotency_keys payload_sizes chunk_hashes reassemble_hash reassemble_errors reassemble_documents chunk_contiguity put_chunk_idempotent finalize_outcomes list_commits list_commits_cursor latest_commit chunks_page acl_visible_commits acl_writers next_pages commit_chunks chunk_integrity".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _FIRST = "f AS (SELECT DISTINCT ON (idempotency_key) * FROM chunks ORDER BY idempotency_key, created_at_ms, bundle_id, chunk_index, chunk_hash)"
@@ -137,6 +152,9 @@ SELECT commit_id, created_at_ms FROM c, a WHERE (created_at_ms, commit_id) > (t,
     "latest_commit": "SELECT commit_id, created_at_ms, bundle_id FROM commits ORDER BY created_at_ms DESC NULLS LAST, commit_id DESC LIMIT 1",
     "chunks_page": f"""WITH {_FIRST}, b AS (SELECT commit_id FROM chunks GROUP BY 1 ORDER BY count(DISTINCT idempotency_key) DESC, commit_id LIMIT 1) SELECT commit_id, chunk_index, idempotency_key FROM f WHERE commit_id = (SELECT commit_id FROM b) ORDER BY chunk_index, idempotency_key LIMIT 50 OFFSET 1""",
     "acl_visible_commits": "SELECT commit_id, author_principal, stored_at FROM commits WHERE author_principal LIKE 'prn-k%'",
+    "acl_writers": "SELECT author_principal AS principal, CASE WHEN author_principal LIKE 'prn-k%' THEN NULL ELSE 'unauthorized' END AS error, count(*) AS writes FROM commits GROUP BY 1, 2",
+    "next_pages": f"""WITH {_FIRST}, c AS (SELECT DISTINCT commit_id, created_at_ms FROM commits WHERE created_at_ms > 0), p AS (SELECT commit_id, row_number() OVER (ORDER BY created_at_ms, commit_id) AS r FROM c), b AS (SELECT count(DISTINCT idempotency_key) AS n FROM chunks GROUP BY commit_id)
+SELECT CASE WHEN (SELECT count(*) FROM c) > 50 THEN (SELECT commit_id FROM p WHERE r = 50) END AS next_cursor, NULL::VARCHAR AS past_the_end, CASE WHEN (SELECT max(n) FROM b) > 1 THEN 1 END AS next_offset""",
     "commit_chunks": f"WITH {_FIRST} SELECT commit_id, count(*) AS chunks, sum(octet_length(payload))::BIGINT AS bytes FROM f WHERE commit_id IN (SELECT commit_id FROM commits) GROUP BY 1",
     "chunk_integrity": "SELECT bundle_id, chunk_index, created_at_ms, octet_length(payload) AS bytes FROM chunks WHERE NOT coalesce(sha256(payload) = chunk_hash, false)",
 }

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekiln.functions.hashing import canonical_json as canonical
-from lorekiln.functions.hashing import decrypt, encrypt, gunzip_bytes, gzip_bytes
+from lorekiln.functions.hashing import decrypt, encrypt, from_base64, gunzip_bytes, gzip_bytes, to_base64
 from lorekiln.functions.masking import FAILURES, OTHER_FAILURE, SECRET_FIELDS, classify, redact
 from lorekiln.operators import bundle as B
 from lorekiln.operators import validate as Q
 from lorekiln.operators.convert import parse_form
+from lorekiln.operators.mutate import without_tombstones
 from lorekiln.plans.concept_queries import C, concepts
 from lorekiln.plans.record_queries import R, records
 from lorekiln.plans.session import table
@@ -33,14 +34,50 @@ def validate_chunks(spark, sf_dir):
 
 def validate_commits(spark, sf_dir):
     got = Q.validate(table(spark, sf_dir, "commits"), Q.commit_rules())
-    return got.select(F.size("errors").alias("errors")).groupBy("errors").agg(F.count(F.lit(1)).alias("commits"))
+    return got.select(F.array_join(F.transform("errors", lambda e: e["path"]), ",").alias("errors")).groupBy("errors").agg(F.count(F.lit(1)).alias("commits"))
 
 
 def validate_forms(spark, sf_dir):
-    """Structured forms of the sync shape that break its rules; rows only."""
-    f = concepts(spark, sf_dir).select("id", parse_form(F.col("thoughtform"))["sync"].alias("f")).filter(F.col("f").isNotNull())
-    got = Q.validate(f.withColumnRenamed("id", "concept"), Q.sync_form_rules(F.col("f"))).filter(F.size("errors") > 0)
-    return got.select("concept", F.to_json("errors").alias("errors"))
+    """Readable structured forms of both shapes, with the rules they break."""
+    f = concepts(spark, sf_dir).select(F.col("id").alias("concept"), parse_form(F.col("thoughtform")).alias("p")).filter(F.col("p.shape").isin("live", "sync"))
+    live = Q.validate(f.filter(F.col("p.shape") == "live"), Q.live_form_rules(F.col("p.live")))
+    sync = Q.validate(f.filter(F.col("p.shape") == "sync"), Q.sync_form_rules(F.col("p.sync")))
+    return live.unionByName(sync).select("concept", "p.shape", F.array_join(F.transform("errors", lambda e: e["path"]), ",").alias("errors"))
+
+
+def validate_bundles(spark, sf_dir):
+    """Envelopes of a backup, one of them spoilt in each of several ways, with the rules they break."""
+    packed = B.pack(records(spark, sf_dir), "namespace", compress=False, created_at_ms=1_700_000_000_000)
+    b = packed.select(F.from_json(F.col("payload").cast("string"), B.ENVELOPE).alias("b"), "namespace", "payload_hash", "records")
+    b = b.withColumn("b", F.col("b").withField("manifest.payloadHash", F.col("payload_hash")).withField("manifest.chunkCount", F.lit(1)))
+    spoilt = [("none", F.col("b")), ("mode", F.col("b").withField("commit.syncMode", F.lit("restore"))), ("chunks", F.col("b").withField("manifest.chunkCount", F.lit(0))), ("times", F.col("b").withField("delta.untilUpdatedAtMsInclusive", F.lit(-1).cast("long"))), ("id", F.col("b").withField("bundleId", F.lit("")))]
+    rows = b.select("namespace", "records", F.inline(F.array(*[F.struct(F.lit(n).alias("fault"), c.alias("b")) for n, c in spoilt])))
+    return Q.validate(rows, Q.bundle_rules(F.col("b"))).select("namespace", "records", "fault", F.array_join(F.transform("errors", lambda e: e["path"]), ",").alias("errors"))
+
+
+def json_array_records(spark, sf_dir):
+    """Files of records: an array of each namespace's records, one that is a single object, one cut off; records and errors are counted."""
+    r = records(spark, sf_dir).select("namespace", F.to_json(F.struct("id", "ts", "hash", "source")).alias("j"))
+    files = r.groupBy("namespace").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit(",7]")).alias("text")).select(F.coalesce("namespace", F.lit("-")).alias("file"), "text")
+    odd = spark.createDataFrame([("object", '{"id":"x","ts":1,"hash":"h","source":"s"}'), ("cut", '[{"id":"x"')], "file string, text string")
+    rules = [Q.filled("source", F.col("source"))]
+    good, bad = IO.parse_records(files.unionByName(odd), "text", "file", "id string, ts bigint, hash string, source string", rules, strict=False)
+    why = F.when(F.col("error").startswith("source"), "source").otherwise(F.col("error"))
+    return good.select(F.lit("fine").alias("outcome")).unionByName(bad.select(why.alias("outcome"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("records"))
+
+
+def kv_tombstones(spark, sf_dir):
+    """Repository entries after the concepts that no vector is indexed for were deleted: markers hide what was pushed before."""
+    c = concepts(spark, sf_dir)
+    gone = c.join(table(spark, sf_dir, "concept_vectors").select(F.col("concept_id").alias("id")), "id", "left_anti")
+    pushed = IO.to_entries(c).withColumn("tombstone", F.lit(False)).withColumn("seq", F.lit(1).cast("long"))
+    left = without_tombstones(pushed.unionByName(IO.tombstones(gone, F.lit(2).cast("long"))))
+    return left.select("key", F.sha2("content", 256).alias("content_hash"))
+
+
+def base64_roundtrip(spark, sf_dir):
+    c = table(spark, sf_dir, "chunks").select("bundle_id", "chunk_index", "created_at_ms", "payload", to_base64(F.col("payload")).alias("b64"))
+    return c.select("bundle_id", "chunk_index", "created_at_ms", F.sha2("b64", 256).alias("hash"), F.length("b64").cast("long").alias("characters"), from_base64(F.col("b64")).eqNullSafe(F.col("payload")).alias("same"))
 
 
 def redact_fields(spark, sf_dir):
@@ -70,8 +107,8 @@ def archive_tags(spark, sf_dir):
 
 
 def snapshot_sizes(spark, sf_dir):
-    """Snapshot documents by namespace; the documents are this engine's JSON, so rows only."""
-    return IO.snapshot(concepts(spark, sf_dir), None).join(concepts(spark, sf_dir).select("id", "namespace"), "id").groupBy("namespace").agg(F.count(F.lit(1)).alias("documents"), F.sum("bytes").alias("bytes"))
+    """Snapshot documents by namespace."""
+    return IO.snapshot(concepts(spark, sf_dir), None).withColumn("namespace", F.get_json_object("document", "$.namespace")).groupBy("namespace").agg(F.count(F.lit(1)).alias("documents"), F.sum("bytes").alias("bytes"))
 
 
 def snapshot_present(spark, sf_dir):
@@ -124,7 +161,8 @@ def _store(spark, sf_dir):
 
 def bundle_roundtrip(spark, sf_dir):
     """All records through serializing, packing, encrypting, cutting and back."""
-    return B.restore(*_store(spark, sf_dir), key=KEY)[0].select("id", "ts", "hash", F.sha2("raw_text", 256).alias("text_hash"))
+    got = B.restore(*_store(spark, sf_dir), key=KEY)[0]
+    return got.select("id", "ts", "hash", F.sha2("raw_text", 256).alias("text_hash"), "source", "namespace", F.coalesce("version", F.lit(-1)).alias("version"), F.array_join("tag_list", "|").alias("tags"))
 
 
 def bundle_commits(spark, sf_dir):
@@ -163,7 +201,7 @@ def index_sync_final_state(spark, sf_dir):
     return P.final_state(_log(spark, sf_dir))
 
 
-_NAMES = """validate_records validate_chunks validate_commits validate_forms redact_fields classify_failure memory_entries pull_ids archive_tags snapshot_sizes snapshot_present export_bundle
+_NAMES = """validate_records validate_chunks validate_commits validate_forms validate_bundles json_array_records kv_tombstones base64_roundtrip redact_fields classify_failure memory_entries pull_ids archive_tags snapshot_sizes snapshot_present export_bundle
 parse_bundles canonical_json gzip_roundtrip aes_roundtrip bundle_roundtrip bundle_commits bundle_sizes backup_again change_events save_counter_triggers save_counter_per_id debounce_sessions index_sync_final_state""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -173,12 +211,32 @@ _q = lambda s: s.replace("'", "''")
 _JSON = "f AS (SELECT id, namespace, updated_at, TRY_CAST(thoughtform AS JSON) AS j FROM c WHERE thoughtform IS NOT NULL AND TRY_CAST(thoughtform AS JSON) IS NOT NULL)"
 _IS = lambda k: f"CASE WHEN '{k}' IN ({', '.join(repr(x) for x in SECRET_FIELDS)}) THEN '[REDACTED]' ELSE {{}} END"
 ORACLES = {
-    "validate_records": """SELECT record_no, concat_ws(',', CASE WHEN coalesce(length(trim(id, ' ')), 0) = 0 THEN 'id' END, CASE WHEN coalesce(length(content_hash), 0) < 16 THEN 'metadata.contentHash' END,
-CASE WHEN coalesce(length(trim(source, ' ')), 0) = 0 THEN 'metadata.source' END, CASE WHEN updated_at IS NULL OR updated_at < 0 THEN 'metadata.updatedAtMs' END) AS errors FROM thoughtform_deltas""",
-    "validate_chunks": """SELECT * FROM (SELECT bundle_id, chunk_index, created_at_ms, concat_ws(',', CASE WHEN coalesce(length(trim(bundle_id, ' ')), 0) = 0 THEN 'bundleId' END, CASE WHEN coalesce(length(trim(commit_id, ' ')), 0) = 0 THEN 'commitId' END, CASE WHEN coalesce(length(chunk_hash), 0) < 16 THEN 'chunkHash' END,
-CASE WHEN NOT coalesce(chunk_index >= 0 AND chunk_index < chunk_count, false) THEN 'chunkIndex' END, CASE WHEN NOT coalesce(octet_length(payload) BETWEEN 1 AND 1000000, false) THEN 'payload' END, CASE WHEN NOT coalesce(created_at_ms >= 0, false) THEN 'createdAtMs' END) AS errors FROM chunks) WHERE errors <> ''""",
-    "validate_commits": """SELECT errors, count(*) AS commits FROM (SELECT (coalesce(length(trim(commit_id, ' ')), 0) = 0)::INT + (coalesce(length(trim(dedupe_key, ' ')), 0) = 0)::INT + (NOT coalesce(sync_mode IN ('backup', 'restore', 'merge', 'rebase'), false))::INT
-+ (NOT coalesce(chunk_count >= 1, false))::INT + (NOT coalesce(created_at_ms >= 0, false))::INT AS errors FROM commits) GROUP BY 1""",
+    "validate_records": """SELECT record_no, concat_ws(',', CASE WHEN coalesce(length(id), 0) = 0 THEN 'id' END, CASE WHEN coalesce(length(content_hash), 0) < 16 THEN 'metadata.contentHash' END,
+CASE WHEN coalesce(length(source), 0) = 0 THEN 'metadata.source' END, CASE WHEN updated_at IS NULL OR updated_at < 0 THEN 'metadata.updatedAtMs' END) AS errors FROM thoughtform_deltas""",
+    "validate_chunks": """SELECT * FROM (SELECT bundle_id, chunk_index, created_at_ms, concat_ws(',', CASE WHEN coalesce(bundle_id, '') = '' THEN 'bundleId' END, CASE WHEN coalesce(commit_id, '') = '' THEN 'commitId' END, CASE WHEN coalesce(chunk_hash, '') = '' THEN 'chunkHash' END,
+CASE WHEN NOT coalesce(chunk_index >= 0, false) THEN 'chunkIndex' END, CASE WHEN NOT coalesce(chunk_count > 0, false) THEN 'chunkCount' END, CASE WHEN NOT coalesce(octet_length(payload) <= 1000000, false) THEN 'payload' END,
+CASE WHEN compressed IS NULL THEN 'compressed' END, CASE WHEN encrypted IS NULL THEN 'encrypted' END) AS errors FROM chunks) WHERE errors <> ''""",
+    "validate_commits": """SELECT errors, count(*) AS commits FROM (SELECT concat_ws(',', CASE WHEN coalesce(commit_id, '') = '' THEN 'commitId' END, CASE WHEN coalesce(dedupe_key, '') = '' THEN 'dedupeKey' END, CASE WHEN NOT coalesce(sync_mode IN ('backup', 'merge', 'rebase'), false) THEN 'syncMode' END,
+CASE WHEN NOT coalesce(created_at_ms >= 0, false) THEN 'createdAtMs' END) AS errors FROM commits) GROUP BY 1""",
+    "validate_forms": f"""WITH {C}, f AS (SELECT id, TRY_CAST(thoughtform AS JSON) AS j FROM c WHERE TRY_CAST(thoughtform AS JSON) IS NOT NULL),
+p AS (SELECT id, j, (j->>'$.schemaVersion') IS NOT NULL AS sync, coalesce(CAST(j->'$.entities' AS JSON[]), []) AS es, coalesce(CAST(j->'$.relationships' AS JSON[]), []) AS rs, '^\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}(\\.\\d+)?Z$' AS iso FROM f)
+SELECT id AS concept, CASE WHEN sync THEN 'sync' ELSE 'live' END AS shape, CASE WHEN NOT sync THEN concat_ws(',', CASE WHEN NOT coalesce(regexp_matches(j->>'$.id', '{Q.UUID}'), false) THEN 'id' END, CASE WHEN (j->>'$.rawText') IS NULL THEN 'rawText' END,
+  CASE WHEN NOT coalesce(regexp_matches(j->>'$.metadata.createdAt', iso), false) THEN 'metadata.createdAt' END, CASE WHEN NOT coalesce(regexp_matches(j->>'$.metadata.updatedAt', iso), false) THEN 'metadata.updatedAt' END,
+  CASE WHEN coalesce(j->>'$.metadata.source', 'user_input') NOT IN ('user_input', 'converted', 'extracted') THEN 'metadata.source' END,
+  CASE WHEN len(list_filter(es, lambda e: NOT coalesce((e->>'$.id') IS NOT NULL AND (e->>'$.text') IS NOT NULL AND (e->>'$.type') IS NOT NULL AND (e->>'$.confidence')::DOUBLE BETWEEN 0 AND 1 AND (e->>'$.offset.start') IS NOT NULL AND (e->>'$.offset.end') IS NOT NULL, false))) > 0 THEN 'entities' END,
+  CASE WHEN len(list_filter(rs, lambda r: NOT coalesce((r->>'$.subjectId') IS NOT NULL AND (r->>'$.predicate') IS NOT NULL AND (r->>'$.objectId') IS NOT NULL AND coalesce((r->>'$.confidence')::DOUBLE, 0) BETWEEN 0 AND 1, false))) > 0 THEN 'relationships' END)
+ELSE concat_ws(',', CASE WHEN coalesce(j->>'$.id', '') = '' THEN 'id' END, CASE WHEN length(coalesce(j->>'$.metadata.contentHash', '')) < 16 THEN 'metadata.contentHash' END, CASE WHEN coalesce(j->>'$.metadata.source', '') = '' THEN 'metadata.source' END,
+  CASE WHEN NOT coalesce(TRY_CAST(j->>'$.metadata.createdAtMs' AS BIGINT) >= 0, false) THEN 'metadata.createdAtMs' END, CASE WHEN NOT coalesce(TRY_CAST(j->>'$.metadata.updatedAtMs' AS BIGINT) >= 0, false) THEN 'metadata.updatedAtMs' END,
+  CASE WHEN (j->'$.entities') IS NULL OR len(list_filter(es, lambda e: NOT coalesce(length(e->>'$.id') > 0 AND length(e->>'$.type') > 0 AND (e->>'$.value') IS NOT NULL AND coalesce((e->>'$.confidence')::DOUBLE, 0) BETWEEN 0 AND 1, false))) > 0 THEN 'entities' END,
+  CASE WHEN (j->'$.relationships') IS NULL OR len(list_filter(rs, lambda r: NOT coalesce(length(r->>'$.id') > 0 AND length(r->>'$.type') > 0 AND length(r->>'$.from') > 0 AND length(r->>'$.to') > 0, false))) > 0 THEN 'relationships' END) END AS errors FROM p""",
+    "validate_bundles": f"""WITH {R}, k AS (SELECT namespace, count(*) AS records FROM r WHERE ts > 0 GROUP BY namespace)
+SELECT namespace, records, fault, errors FROM k, (VALUES ('none', ''), ('mode', 'commit.syncMode'), ('chunks', 'manifest.chunkCount'), ('times', 'delta.untilUpdatedAtMsInclusive'), ('id', 'bundleId')) v(fault, errors)""",
+    "json_array_records": f"""WITH {R} SELECT * FROM (SELECT 'fine' AS outcome, count(*) AS records FROM r WHERE source <> '' UNION ALL SELECT 'source', count(*) FROM r WHERE coalesce(source, '') = ''
+UNION ALL SELECT 'not an object', count(DISTINCT coalesce(namespace, '-')) FROM r UNION ALL SELECT 'not a JSON array', 2) WHERE records > 0""",
+    "kv_tombstones": f"""WITH {C}, k AS (SELECT * FROM c WHERE id IN (SELECT concept_id FROM concept_vectors)) SELECT 'concepts/' || id || '/markdown' AS key, sha256(markdown) AS content_hash FROM k WHERE markdown IS NOT NULL
+UNION ALL SELECT 'concepts/' || id || '/thoughtform', sha256(thoughtform) FROM k WHERE thoughtform IS NOT NULL""",
+    "base64_roundtrip": "SELECT bundle_id, chunk_index, created_at_ms, sha256(base64(payload)) AS hash, length(base64(payload)) AS characters, true AS same FROM chunks",
+    "snapshot_sizes": f"""WITH {C} SELECT namespace, count(*) AS documents, sum(octet_length(encode(to_json({{'id': id, 'namespace': namespace, 'version': version, 'created_at': created_at, 'updated_at': updated_at, 'tag_list': tag_list, 'markdown': markdown, 'thoughtform': thoughtform}})::VARCHAR)))::BIGINT AS bytes FROM c GROUP BY namespace""",
     "redact_fields": f"SELECT bundle_id, created_at_ms, {_IS('commitId').format('commit_id')} AS \"commitId\", {_IS('payload').format('hex(payload)')} AS payload, {_IS('key').format('idempotency_key')} AS key, {_IS('chunkIndex').format('chunk_index::VARCHAR')} AS \"chunkIndex\" FROM chunks",
     "classify_failure": f"""WITH e AS (SELECT (user_id % 8)::INT AS exit_code, count(*) AS events FROM events GROUP BY 1) SELECT exit_code, events, CASE exit_code {' '.join(f"WHEN {k} THEN '{v[0]}'" for k, v in FAILURES.items())} ELSE '{OTHER_FAILURE[0]}' END AS code,
 CASE exit_code {' '.join(f"WHEN {k} THEN '{_q(v[1])}'" for k, v in FAILURES.items())} ELSE '{_q(OTHER_FAILURE[1])}' END AS remediation FROM e""",
@@ -191,7 +249,7 @@ array_to_string(list_sort(list_concat(['Content-Type'], list_transform(list_dist
     "parse_bundles": f"WITH {C}, {_JSON} SELECT namespace, j->>'$.id' AS id, j->>'$.rawText' AS raw_text FROM f",
     "gzip_roundtrip": "SELECT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL",
     "aes_roundtrip": "SELECT doc_id, sha256(text) AS hash, 28 AS overhead, true AS wrong_key_fails FROM documents WHERE text IS NOT NULL",
-    "bundle_roundtrip": f"WITH {R}, o AS (SELECT DISTINCT ON (id, ts, hash) * FROM r WHERE ts > 0 ORDER BY id, ts, hash, namespace, source NULLS FIRST, raw_text NULLS FIRST) SELECT DISTINCT ON (id) id, ts, hash, sha256(raw_text) AS text_hash FROM o ORDER BY id, ts DESC, hash DESC",
+    "bundle_roundtrip": f"WITH {R}, o AS (SELECT DISTINCT ON (id, ts, hash) * FROM r WHERE ts > 0 ORDER BY id, ts, hash, namespace, source NULLS FIRST, raw_text NULLS FIRST, version NULLS FIRST, tag_list NULLS FIRST) SELECT DISTINCT ON (id) id, ts, hash, sha256(raw_text) AS text_hash, source, namespace, coalesce(version, -1) AS version, array_to_string(tag_list, '|') AS tags FROM o ORDER BY id, ts DESC, hash DESC",
     "bundle_commits": f"""WITH {R}, k AS (SELECT namespace, count(*) AS records, max(ts) AS until_ms, sha256(coalesce(string_agg(hash, ':' ORDER BY ts, id, hash), '') || ':gzip:false') AS dedupe_key FROM r WHERE ts > 1715000000000 GROUP BY namespace)
 SELECT namespace, 'bndl_' || substr(dedupe_key, 1, 32) AS bundle_id, dedupe_key, records, until_ms FROM k""",
     "backup_again": "SELECT 0::BIGINT AS chunks",

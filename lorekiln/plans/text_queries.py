@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lorekiln.functions.text import text_or_entities
 from lorekiln.operators import convert as V
 from lorekiln.operators import extract as E
+from lorekiln.operators.validate import UUID
 from lorekiln.plans.concept_queries import DIM, C, S, adapter_tag, concepts, searchable
 from lorekiln.plans.session import table
 
@@ -68,9 +69,20 @@ def context_graph(spark, sf_dir):
 
 
 def extract_full(spark, sf_dir):
-    """The nested form of every concept's markdown, in one pass."""
+    """Entities of all passes and relations of every concept's markdown, in one pass."""
     c = concepts(spark, sf_dir)
-    return E.extract(c, "id", "markdown").select("id", F.size("extracted.entities").alias("entities"), F.size("extracted.relationships").alias("relationships"), F.to_json("extracted").alias("thoughtform"))
+    got = E.extract(c, "id", "markdown").select("id", "extracted.*")
+    names = F.array_join(F.transform("entities", lambda e: F.concat(e["id"], F.lit(":"), e["type"], F.lit(":"), e["text"])), "|")
+    return got.select("id", F.size("entities").alias("entities"), F.size("relationships").alias("relationships"), F.sha2(names, 256).alias("entities_hash"))
+
+
+def markdown_to_form(spark, sf_dir):
+    """Structured forms made from markdown, read back; only of concepts whose id is a UUID, which forms must have."""
+    c = concepts(spark, sf_dir, F.col("id").rlike(UUID))
+    made = V.convert(c, "markdown", "thoughtform", now_ms=1_730_000_000_123)
+    f = made.select("id", V.parse_form(F.col("thoughtform"))["live"].alias("f"))
+    fits = F.forall("f.entities", lambda e: F.substring(F.col("f.rawText"), e["offset"]["start"] + 1, e["offset"]["end"] - e["offset"]["start"]) == e["text"])
+    return f.select("id", F.sha2("f.rawText", 256).alias("text_hash"), "f.language", "f.metadata.source", "f.metadata.createdAt", F.size("f.entities").alias("entities"), F.size("f.relationships").alias("relationships"), fits.alias("offsets_fit"))
 
 
 def form_shapes(spark, sf_dir):
@@ -106,7 +118,7 @@ def embedding_text(spark, sf_dir):
     return c.select("id", text_or_entities(F.coalesce("f.live.rawText", "f.sync.rawText"), values, F.col("id")).alias("text"))
 
 
-_NAMES = "entities_multicap entities_quoted entities_singlecap entity_types entity_ids entity_filter entity_offsets sentence_pairs relation_predicates context_graph extract_full form_shapes forms_since tf_to_markdown tf_to_vector vector_to_markdown embedding_text".split()
+_NAMES = "entities_multicap entities_quoted entities_singlecap entity_types entity_ids entity_filter entity_offsets sentence_pairs relation_predicates context_graph extract_full markdown_to_form form_shapes forms_since tf_to_markdown tf_to_vector vector_to_markdown embedding_text".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _ORG, _LOC = (", ".join(f"'{w}'" for w in ws) for ws in (E.ORGANIZATION_WORDS, E.LOCATION_WORDS))
@@ -120,8 +132,18 @@ k AS (SELECT doc_id, n, 'ent_' || n AS entity_id, entity, CASE WHEN pass = 2 THE
   CASE WHEN pass = 1 THEN 0.75::DOUBLE ELSE 0.7::DOUBLE END AS confidence FROM h)"""
 
 
-def _ent(passes: str, select: str) -> str:
-    return "WITH " + _ENT.replace("{passes}", passes) + " " + select
+#: The third pass by words instead of looking back: the word before ends with a small letter or a mark, one white space before.
+_ENT = _ENT.replace("x AS (SELECT doc_id", r"""w3 AS (SELECT doc_id, regexp_split_to_array(text, '[ \t\n\r\f\x0B]') AS w FROM documents WHERE text IS NOT NULL),
+m3 AS (SELECT doc_id, list_transform(list_filter(generate_series(2, len(w)), lambda i: regexp_matches(w[i - 1], '[a-z,.;:!?]$') AND regexp_matches(w[i], '^[A-Z][a-z]{2,}\b')), lambda i: regexp_extract(w[i], '^([A-Z][a-z]{2,})\b', 1)) AS t FROM w3),
+x AS (SELECT doc_id""", 1).replace("FROM m WHERE pass IN ({passes}))", "FROM (SELECT * FROM m UNION ALL SELECT doc_id, 3, t FROM m3) WHERE pass IN ({passes}))")
+_ENT = _ENT.replace("CASE WHEN pass = 2 THEN 'CONCEPT' WHEN", "CASE WHEN pass = 2 THEN 'CONCEPT' WHEN pass = 3 THEN 'ENTITY' WHEN").replace("ELSE 0.7::DOUBLE END AS confidence", "WHEN pass = 2 THEN 0.7::DOUBLE ELSE 0.55::DOUBLE END AS confidence")
+
+
+def _ent(passes: str, select: str, source: str = "") -> str:
+    return f"WITH {source}" + _ENT.replace("{passes}", passes) + " " + select
+
+
+_MARKDOWN = f"{C}, documents AS (SELECT id AS doc_id, markdown AS text FROM c), "
 
 
 _REL = f"""sn AS (SELECT doc_id, unnest(s) AS s0, generate_subscripts(s, 1) AS sentence_no FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[.!?]+'), lambda v: trim(v, ' ') <> '') AS s FROM documents WHERE text IS NOT NULL)),
@@ -139,6 +161,22 @@ q2 AS (SELECT id, raw, list_transform(es, lambda e: {'i': e->>'$.id', 't': coale
 ORACLES = {
     "entities_multicap": _ent("1", "SELECT doc_id, entity FROM k"),
     "entities_quoted": _ent("2", "SELECT doc_id, entity FROM k"),
+    "entities_singlecap": _ent("3", "SELECT doc_id, entity FROM k"),
+    # where a match begins: the lengths of the pieces between the matches before it, and of those matches
+    "entity_offsets": f"""WITH r AS (SELECT doc_id, 1 AS pass, 0 AS skip, regexp_extract_all(text, '\\b({_CAP})\\b', 0) AS f, regexp_extract_all(text, '\\b({_CAP})\\b', 1) AS t, regexp_split_to_array(text, '\\b({_CAP})\\b') AS gaps FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, 2, 1, regexp_extract_all(text, '{E.QUOTED}', 0), regexp_extract_all(text, '{E.QUOTED}', 1), regexp_split_to_array(text, '{E.QUOTED}') FROM documents WHERE text IS NOT NULL),
+y AS (SELECT doc_id, pass, t[i] AS entity, i AS pos, list_sum(list_transform(gaps[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda v: length(v))), 0) + skip AS start FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM r)),
+w3 AS (SELECT doc_id, regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]') AS w FROM documents WHERE text IS NOT NULL),
+z AS (SELECT doc_id, 3 AS pass, regexp_extract(w[i], '^([A-Z][a-z]{{2,}})\\b', 1) AS entity, i AS pos, list_sum(list_transform(w[1:i - 1], lambda v: length(v) + 1)) AS start FROM (SELECT *, unnest(range(2, len(w) + 1)) AS i FROM w3) WHERE regexp_matches(w[i - 1], '[a-z,.;:!?]$') AND regexp_matches(w[i], '^[A-Z][a-z]{{2,}}\\b')),
+o AS (SELECT DISTINCT ON (doc_id, lower(entity)) * FROM (SELECT * FROM y UNION ALL SELECT * FROM z) ORDER BY doc_id, lower(entity), pass, pos),
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pass, pos) - 1 AS n, regexp_split_to_array(entity, '[ \\t\\n\\r\\f]+') AS ws FROM o), h AS (SELECT *, list_filter(ws, lambda v: v IN ({_ORG}, {_LOC}))[1] AS hint FROM e)
+SELECT doc_id, 'ent_' || n AS id, entity AS text, CASE WHEN pass = 2 THEN 'CONCEPT' WHEN pass = 3 THEN 'ENTITY' WHEN hint IN ({_ORG}) THEN 'ORGANIZATION' WHEN hint IS NOT NULL THEN 'LOCATION' WHEN len(ws) BETWEEN 2 AND 3 THEN 'PERSON' ELSE 'ENTITY' END AS type,
+CASE pass WHEN 1 THEN 0.75::DOUBLE WHEN 2 THEN 0.7::DOUBLE ELSE 0.55::DOUBLE END AS confidence, start::INT AS start, (start + length(entity))::INT AS end FROM h""",
+    "extract_full": _ent("1, 2, 3", "", _MARKDOWN).rstrip() + ", " + _REL + """, ek AS (SELECT doc_id, count(*) AS n, string_agg(entity_id || ':' || type || ':' || entity, '|' ORDER BY n) AS names FROM k GROUP BY 1), er AS (SELECT doc_id, count(*) AS n FROM rl GROUP BY 1)
+SELECT d.doc_id AS id, coalesce(ek.n, 0)::INT AS entities, coalesce(er.n, 0)::INT AS relationships, sha256(coalesce(names, '')) AS entities_hash FROM documents d LEFT JOIN ek ON ek.doc_id = d.doc_id LEFT JOIN er ON er.doc_id = d.doc_id WHERE d.text IS NOT NULL""",
+    "markdown_to_form": _ent("1, 2, 3", "", _MARKDOWN).rstrip() + ", " + _REL + f""", ek AS (SELECT doc_id, count(*) AS n FROM k GROUP BY 1), er AS (SELECT doc_id, count(*) AS n FROM rl GROUP BY 1)
+SELECT d.doc_id AS id, sha256(text) AS text_hash, 'en' AS language, 'converted' AS source, '2024-10-27T03:33:20.123Z' AS "createdAt", coalesce(ek.n, 0)::INT AS entities, coalesce(er.n, 0)::INT AS relationships, true AS offsets_fit
+FROM documents d LEFT JOIN ek ON ek.doc_id = d.doc_id LEFT JOIN er ON er.doc_id = d.doc_id WHERE d.text <> '' AND regexp_matches(d.doc_id, '{UUID}')""",
     "entity_types": _ent("1", "SELECT type, confidence, count(*) AS entities FROM k GROUP BY 1, 2"),
     "entity_ids": _ent("1, 2", "SELECT doc_id, entity_id, entity, confidence FROM k"),
     "entity_filter": _ent("1, 2", "SELECT doc_id, entity_id, type FROM k WHERE type IN ('PERSON', 'CONCEPT') AND confidence >= 0.7"),

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from lorekiln.api import CONCEPTS, Memory
+from lorekiln import config
+from lorekiln.api import COMMITS, CONCEPTS, Memory
 from lorekiln.functions import hashing as H
 from lorekiln.functions import timing as T
 from lorekiln.functions.masking import classify, redact
@@ -14,6 +15,7 @@ from lorekiln.functions.vectors import cosine, decode_f32, encode_f32, l2, sine_
 from lorekiln.operators import bundle, extract, merge, mutate, search, store, validate
 from lorekiln.operators.convert import convert, reconstruct
 from lorekiln.plans import stages
+from lorekiln.protocols import Catalog, ChunkService, IndexService, TableService, download, upload
 from lorekiln.sources import records as io
 from lorekiln.streaming import changes
 
@@ -184,20 +186,30 @@ def test_extract_both_ways_agree(spark):
         for e in f.entities:
             assert texts[i][e.start : e.end] == e.text
     ents = extract.find_entities(df, "doc_id", "text")
-    rels = extract.relations(extract.sentence_pairs(df, "doc_id", "text", ents), "doc_id")
+    rels = extract.relations(df, "doc_id", "text")
+    assert extract.sentence_pairs(df, "doc_id", "text", ents).count() >= rels.count()
     assert {(r.doc_id, r.subject_id, r.predicate, r.object_id) for r in rels.collect()} == {(i, x.subjectId, x.predicate, x.objectId) for i, f in full.items() for x in f.relationships}
-    graph = {(r.doc_id, r.node): r.neighbours for r in extract.context_graph(rels, "doc_id").collect()}
-    assert {k: sorted(v) for k, v in graph.items()} == {(i, n): sorted(v) for i, f in full.items() for n, v in f.contextGraph.items()}
+    graph = {(r.doc_id, r.node): r.neighbours for r in extract.context_graph(df, "doc_id", "text").collect()}
+    assert graph == {(i, n): list(v) for i, f in full.items() for n, v in f.contextGraph.items()}
 
 
 def test_convert(spark):
     tf = {"id": "i", "rawText": "Text here", "language": "en", "entities": [{"id": "e0", "text": "Ada", "type": "PERSON", "confidence": 0.75}], "relationships": [{"subjectId": "e0", "predicate": "wrote", "objectId": "e9"}]}
     c = spark.createDataFrame([concept("live", thoughtform=json.dumps(tf)), concept("cut", thoughtform='{"id":'), concept("none"), concept("v", embedding=[1.0, 0.0]), concept("m", markdown="Hello", embedding=[0.9, 0.1])], CONCEPTS)
     assert {r.id: r.markdown for r in convert(c, "thoughtform", "markdown").collect()} == {"live": "# Text here\n\nText here\n\n## Entities\n\n- **Ada** (PERSON, confidence: 0.75)\n\n## Relationships\n\n- Ada **wrote** e9"}
-    near = {r.id: r.markdown for r in convert(c.filter("embedding is not null"), "vector", "markdown").collect()}
+    near = {r.id: r.markdown for r in convert(c, "vector", "markdown", dim=2).collect()}  # null and wrong vectors count as none
+    assert set(near) == {"v", "m"}
     assert near["v"].endswith("\n\nHello") and "No neighboring" in near["m"]
-    assert convert(c, "markdown", "vector", 8).count() == 1 and convert(c, "markdown", "thoughtform").count() == 1 and convert(c, "thoughtform", "vector", 8).count() == 1
+    assert convert(c, "markdown", "vector", 8).count() == 1 and convert(c, "markdown", "thoughtform", check=False).count() == 1 and convert(c, "thoughtform", "vector", 8).count() == 1
     assert one(spark, reconstruct(F.array(F.lit("a"), F.lit("b"))))[0].endswith("## Related Context 1\n\na\n\n## Related Context 2\n\nb")
+    with pytest.raises(Exception, match="UUID"):
+        convert(c, "markdown", "thoughtform").collect()
+    made = spark.createDataFrame([concept("0b5e8c2e-7c1d-4f8e-9a1b-2c3d4e5f6a7b", markdown="Ada Lovelace wrote to Charles Babbage.")], CONCEPTS)
+    form = json.loads(convert(made, "markdown", "thoughtform", now_ms=1_700_000_000_000).first().thoughtform)
+    assert form["rawText"].startswith("Ada") and form["metadata"]["source"] == "converted" and form["entities"][0]["offset"] == {"start": 0, "end": 12} and form["language"] == "en"
+    back = convert(made.withColumn("thoughtform", F.lit(json.dumps(form))), "thoughtform", "markdown").first().markdown
+    assert back.startswith("# Ada Lovelace") and "## Entities" in back
+    assert convert(c, "vector", "thoughtform", dim=2).count() == 2
     for pair in (("vector", "vector"), ("vector", "sound")):
         with pytest.raises(ValueError):
             convert(c, *pair)
@@ -213,8 +225,14 @@ def test_validation(spark):
 
 def test_sources(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"id":"x","content_hash":"0123456789abcdef","source":"s","updated_at":1},{"id":"","source":"s"}]')
-    good, bad = io.read_records(spark, str(tmp_path / "a.json"), "id string, content_hash string, source string, updated_at bigint", validate.record_rules())
-    assert good.count() == 1 and bad.count() == 1
+    kind = "id string, content_hash string, source string, updated_at bigint"
+    good, bad = io.read_records(spark, str(tmp_path / "a.json"), kind, validate.record_rules(), strict=False)
+    assert good.count() == 1 and [(r.position, "metadata.contentHash" in r.error) for r in bad.collect()] == [(1, True)]
+    with pytest.raises(ValueError, match="element 1: id must not be empty"):
+        io.read_records(spark, str(tmp_path / "a.json"), kind, validate.record_rules())
+    (tmp_path / "o.json").write_text('{"id":"x"}')
+    with pytest.raises(ValueError, match="not a JSON array"):
+        io.read_records(spark, str(tmp_path / "o.json"), kind)
     (tmp_path / "b").mkdir()
     (tmp_path / "b/one.gz").write_bytes(gzip.compress(b'{"thoughtforms":[{"id":"p"},{"id":"q"}]}'))
     (tmp_path / "b/two.json").write_bytes(b'[{"id":"r"}]')
@@ -244,20 +262,89 @@ def test_memory(spark, tmp_path):
     assert m._read("commits", "commit_id string").count() == 1
     assert {r.id for r in m.restore()[0].collect()} == {"x", "y"}
     snap = spark.createDataFrame([('{"concepts":[{"id":"x","markdown":"again"},{"id":"q","markdown":"third"}]}',)], "doc string")
-    assert m.import_snapshot(snap, "doc", 5).first()[:] == (1, 1)
+    assert m.import_snapshot(snap, "doc", 5).first()[:] == (1, 1, 0, [])
     assert {r.id: r.markdown for r in m.concepts.collect()} == {"x": "again", "y": "two", "q": "third"}
     m.embed_missing(6, dim=2)
     assert m.index.count() == 3 and abs(m.similarity("ab", "ab").first().similarity - 1) < 1e-6
     m.pull(spark.createDataFrame([("concepts/y/markdown", "pulled", 9), ("concepts/x/markdown", "old", 1), ("other", "z", 9)], "key string, content string, at bigint"), 7, "at")
     assert {r.id: r.markdown for r in m.concepts.collect()} == {"x": "again", "y": "pulled", "q": "third"}
     assert m.push().count() == 3 and m.archive(("t",)).count() == 1
-    m.delete(spark.createDataFrame([("q",)], "id string"))
-    m.delete(spark.createDataFrame([("x",)], "id string"))
+    m.delete(spark.createDataFrame([("q",)], "id string"), 8)
+    m.delete(spark.createDataFrame([("x",)], "id string"), 9)
+    log = [(r.type, r.id) for r in m.events.orderBy("ts", "id", "type").collect()]
+    assert log[:2] == [("created", "x"), ("created", "y")] and log[-2:] == [("deleted", "q"), ("deleted", "x")] and ("updated", "y") in log and ("created", "q") in log
+    assert sorted(r.key for r in m.tombstones().collect()) == ["concepts/q/markdown", "concepts/q/thoughtform", "concepts/x/markdown", "concepts/x/thoughtform"]
     assert m.index.count() == 1 and m.health()["ok"]
     with pytest.raises(KeyError):
         m.delete(spark.createDataFrame([("x",)], "id string"))
 
 
+def test_memory_restores_merges_and_remembers(spark, tmp_path):
+    m = Memory(spark, str(tmp_path / "one"))
+    assert isinstance(m, Catalog)
+    m.bootstrap()
+    m.bootstrap()
+    assert m.concepts.count() == 0
+    ch = spark.createDataFrame([("x", "a", ["t", "u"], "text x", '{"rawText":"x"}', [1.0, 0.0]), ("y", "b", None, "text y", None, None)], "id string, namespace string, tag_list array<string>, markdown string, thoughtform string, embedding array<float>")
+    m.save(ch, 10, snapshot_every=3)
+    assert m._versions("commits") == [1]
+    m.save(ch.filter("id = 'x'").select("id", "markdown"), 11, snapshot_every=3)
+    assert m._read("commits", COMMITS).count() == 2 and m.get_state("saves_since_backup") == "0"  # the third save made a backup, a bundle a namespace
+    m.save(spark.createDataFrame([("y", "new y")], "id string, markdown string"), 12)
+    m.backup(13, author="me")
+    last = m._read("commits", COMMITS).filter("created_at_ms = 13").collect()
+    assert len(last) == 1 and last[0].author_principal == "me" and last[0].parent_commit_id and last[0].sync_mode == "backup" and last[0].until_ms == 12
+    two = Memory(spark, str(tmp_path / "two"))
+    for name in ("chunks", "commits"):
+        two._write(name, spark.read.parquet(f"{m.root}/{name}/v{m._versions(name)[-1]}"))
+    two.save(spark.createDataFrame([("y", "mine")], "id string, markdown string"), 50)
+    counts, errors = two.restore_concepts(60)
+    assert counts.first()[:] == (1, 0, 1, 2) and errors.count() == 0
+    got = {r.id: (r.namespace, r.tag_list, r.markdown, r.thoughtform) for r in two.concepts.collect()}
+    assert got == {"x": ("a", ["t", "u"], "text x", '{"rawText":"x"}'), "y": ("default", [], "mine", None)}
+    local, remote = ([{"id": "p", "ts": 9_000_000, "hash": "h1", "source": "s", "seq": 1}], [{"id": "p", "ts": 9_500_000, "hash": "h2", "source": "s", "seq": 1}, {"id": "q", "ts": 100, "hash": "h3", "source": "s", "seq": 2}])
+    for name, rows in (("l", local), ("r", remote)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(rows))
+    files = [str(tmp_path / "l.json"), str(tmp_path / "r.json")]
+    assert m.merge_files(*files, str(tmp_path / "merged")).first().asDict() == {"local_only": 0, "remote_only": 1, "conflicts": 1, "merged": 2}
+    assert m.rebase_files(*files, str(tmp_path / "re1"), 1).first().asDict() == {"local_base": 9_500_000, "observed_remote_max": 9_500_000, "delta_rows": 2}
+    assert m.rebase_files(*files, str(tmp_path / "re2"), 2).first().delta_rows == 1 and m.get_state("rebase_observed_max") == "9500000"  # later than the last bound
+    assert m.rebase_files(*files, str(tmp_path / "re3"), 3, base=0).first().delta_rows == 1  # one bound alone overrides nothing
+    part = m.concepts.filter("namespace = 'a'")
+    assert "PartitionFilters: [isnotnull(namespace" in part._jdf.queryExecution().toString() or "namespace=a" in " ".join(part.inputFiles())
+    errs = m.import_snapshot(spark.createDataFrame([('{"concepts":[{"id":"z","markdown":"1"},{"markdown":"lost"},{"id":"z","markdown":"2"}]}',)], "doc string"), "doc", 70, strict=False).first()
+    assert errs[:] == (1, 0, 1, ["concept without id at 1"]) and {r.id: (r.markdown, r.version) for r in m.concepts.filter("id = 'z'").collect()} == {"z": ("2", 2)}
+
+
+def test_table_service_and_access(spark, tmp_path):
+    s = TableService(spark, str(tmp_path / "svc"))
+    assert isinstance(s, ChunkService) and isinstance(s, IndexService)
+    r = spark.createDataFrame([("x", 1, "h" * 16, "s", "some text", "a")], "id string, ts bigint, hash string, source string, raw_text string, ns string")
+    parts, commits = bundle.backup(r, spark.createDataFrame([], "dedupe_key string"), "ns", 7, chunk_size=64)
+    asked = commits.selectExpr("commit_id", "dedupe_key", "chunk_count AS expected_chunks", "created_at_ms")
+    assert [x.outcome for x in upload(s, parts, asked).collect()] == ["accepted"] and [x.outcome for x in upload(s, parts, asked).collect()] == ["duplicate"]
+    assert download(s, s.list_commits(), 2).count() == parts.count() > 2
+    assert bundle.restore(s.chunks, commits)[0].first().raw_text == "some text"
+    vec = spark.createDataFrame([("x", [1.0])], "id string, embedding array<float>")
+    assert s.rebuild(vec, "replace") == 1 and s.rebuild(vec.withColumn("id", F.lit("y")), "upsert") == 2
+    g = spark.createDataFrame([("o", None, "owner")], "principal string, author string, role string")
+    assert store.change_grants(g, "x", "write", ["w"]).count() == 1
+    g = store.change_grants(g, "o", "write", ["w", "w"])
+    assert g.count() == 2 and store.change_grants(g, "o", "write", []).count() == 1
+    ok, refused = store.writable(spark.createDataFrame([("o", 1), ("w", 2), ("z", 3)], "principal string, n int"), g)
+    assert sorted(x.n for x in ok.collect()) == [1, 2] and [(x.n, x.error) for x in refused.collect()] == [(3, "unauthorized")]
+
+
+def test_settings(tmp_path):
+    f = tmp_path / "s.json"
+    f.write_text('{"root": "${HOME_DIR}/data", "compress": "TRUE", "dimension": 8}')
+    got = config.load(str(f), {"HOME_DIR": "/x", "LOREKILN_SNAPSHOT_EVERY": "7", "LOREKILN_REQUIRE_ENCRYPTION": "1"})
+    assert (got.root, got.compress, got.dimension, got.snapshot_every, got.require_encryption) == ("/x/data", True, 8, 7, True)
+    f.write_text('{"nope": 1}')
+    with pytest.raises(ValueError, match="nope"):
+        config.load(str(f), {})
+
+
 def _stream(spark, tmp_path, rows):
     schema = "event_id bigint, ts timestamp, id string, type string, embedding array<float>"
     for i, part in enumerate(rows):
