@@ -38,7 +38,8 @@ SHARES = {3: 0.75, 2: 0.8, 1: 0.95}
 PART = re.compile(r"[^\W_]+")
 WORD = re.compile(r"[^\W_]+(?:['’`_-]+[^\W_]+)*")
 UNIT = re.compile(r"\n+|(?<=[.!?…;])[\"'”’»)\]}]*\s+")
-JOIN = re.compile(r"[^\S\n]*['’`\"“”«»_*-]*[^\S\n]*['’`\"“”«»_*-]*[^\S\n]*")
+#: What ends a run: the end of a line, and any sign but white space and marks of quotation, emphasis and hyphenation.
+BREAK = re.compile(r"\n|[^\w\s'’`\"“”«»*-]")
 
 
 def word_runs(text: str) -> list[tuple[list[str], int]]:
@@ -46,13 +47,7 @@ def word_runs(text: str) -> list[tuple[list[str], int]]:
     units: list[tuple[list[list[str]], int]] = []
     seen: dict[tuple, int] = {}
     for unit in UNIT.split(text.lower()):
-        own: list[list[str]] = []
-        last = -1
-        for m in WORD.finditer(unit):
-            if last < 0 or not JOIN.fullmatch(unit, last, m.start()):
-                own.append([])
-            own[-1].append(m[0])
-            last = m.end()
+        own = [run for part in BREAK.split(unit) if (run := WORD.findall(part))]
         key = tuple(w for run in own for w in run)
         if len(key) >= PASSAGE and len(set(key)) > len(key) // 2:
             at = seen.setdefault(key, len(units))
@@ -122,13 +117,14 @@ def page_scores(text: str) -> tuple[float, float, float]:
     hits = {least: covered(repeats, least) for least in SHARES}
     at = total = loose = short = again = 0
     for run, times in runs:
-        size = [times if w.isalnum() else times * len(PART.findall(w)) for w in run]
-        n, end = sum(size), at + len(run)
+        size = [1 if w.isalnum() else len(PART.findall(w)) for w in run]
+        end, n = at + len(run), sum(size) * times
         total += n
-        again += sum(s for s, h in zip(size, hits[2][at:end]) if h)
+        again += times * sum(s for s, h in zip(size, hits[2][at:end]) if h)
         if len(run) <= CLAUSE:
             short += n
-        if len(run) <= CLAUSE or any(sum(hit[at:end]) >= SHARES[least] * len(run) for least, hit in hits.items()):
+            loose += n
+        elif any(sum(hit[at:end]) >= SHARES[least] * len(run) for least, hit in hits.items()):
             loose += n
         at = end
     return loose / total, short / total, again / total
