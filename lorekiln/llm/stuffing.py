@@ -18,7 +18,8 @@ its words, hence the bound above one half.
 Copies of a sentence or line of ``PASSAGE`` words or more
 are judged as one, so a passage that is repeated as a whole stays prose.
 
-The automaton takes a whole page, however long: time and memory are linear in its words.
+The automaton takes a whole page, however long: time and memory are linear in its words. It is not built for a page whose words, by
+how often each occurs, cannot be covered enough (``most_loose``, a bound, so the rows are the same).
 
 Cases: null, empty and wordless texts are not stuffed; case is ignored; repeated rows are each judged; an empty table gives none.
 """
@@ -26,6 +27,7 @@ Cases: null, empty and wordless texts are not stuffed; case is ignored; repeated
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -107,17 +109,34 @@ def covered(repeats: Sequence[int], least: int) -> list[bool]:
     return out
 
 
-def page_scores(text: str) -> tuple[float, float, float]:
-    """(share of words in runs without a clause, share in short runs, share covered by repeats of two words or more); zeros if there are no words."""
+def _size(word: str) -> int:
+    return 1 if word.isalnum() else len(PART.findall(word))
+
+
+def most_loose(runs: list[tuple[list[str], int]]) -> float:
+    """A bound on the share that ``page_scores`` can give: words of a repeat occur as often as it does, each by itself."""
+    n = Counter(w for run, _ in runs for w in run)
+    total = loose = 0
+    for run, times in runs:
+        size = times * sum(map(_size, run))
+        total += size
+        if len(run) <= CLAUSE or sum(n[w] >= TIMES for w in run) >= min(SHARES.values()) * len(run):
+            loose += size
+    return loose / total if total else 0.0
+
+
+def page_scores(text: str, more_than: float = -1.0) -> tuple[float, float, float]:
+    """(share of words in runs without a clause, share in short runs, share covered by repeats of two words or more); zeros if there
+    are no words, or where the first can be seen not to be above ``more_than`` from how often single words occur."""
     runs = word_runs(text)
     words = [w for run, _ in runs for w in run]
-    if not words:
+    if not words or most_loose(runs) <= more_than:
         return 0.0, 0.0, 0.0
     repeats = longest_repeats(words)
     hits = {least: covered(repeats, least) for least in SHARES}
     at = total = loose = short = again = 0
     for run, times in runs:
-        size = [1 if w.isalnum() else len(PART.findall(w)) for w in run]
+        size = [_size(w) for w in run]
         end, n = at + len(run), sum(size) * times
         total += n
         again += times * sum(s for s, h in zip(size, hits[2][at:end]) if h)
@@ -136,7 +155,7 @@ def stuffed_pages(df: DataFrame, doc_id: str, text: str, more_than: float = 0.63
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(doc, *score) for doc, t in zip(b["doc"], b["text"]) if (score := page_scores(t))[0] > more_than]
+            out = [(doc, *score) for doc, t in zip(b["doc"], b["text"]) if (score := page_scores(t, more_than))[0] > more_than]
             yield pd.DataFrame(out, columns=["doc", "loose", "short", "repeated"])
 
     return rows.mapInPandas(judge, f"doc {rows.schema['doc'].dataType.simpleString()}, loose double, short double, repeated double")

@@ -11,7 +11,7 @@ from lorekiln.llm import near_duplicates as nd
 from lorekiln.llm.leakage import find_leaks, plain_words
 from lorekiln.llm.packing import TOKEN, pack, plan_bins, token_count
 from lorekiln.llm.splitting import split_oversized, split_text
-from lorekiln.llm.stuffing import covered, longest_repeats, page_scores, stuffed_pages
+from lorekiln.llm.stuffing import covered, longest_repeats, most_loose, page_scores, stuffed_pages, word_runs
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -282,6 +282,13 @@ def test_automaton_coverage(words, least, times):
     assert covered(longest_repeats(words, times), least) == brute_cover(words, least, times)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "c", "d-e", ",", ".\n", "|"]), max_size=60))
+def test_bound_on_loose_words(parts):
+    text = " ".join(parts)
+    assert page_scores(text)[0] <= most_loose(word_runs(text)) + 1e-12
+
+
 POLISH = "Warszawa jest stolicą Polski i największym miastem kraju. Leży nad Wisłą, w środkowej części państwa, a jej historia sięga trzynastego wieku. Miasto zostało niemal całkowicie zniszczone podczas wojny, lecz mieszkańcy odbudowali je w ciągu kilkunastu lat."
 ITALIAN = "La città di Firenze fu il centro del Rinascimento e conserva ancora oggi molte opere di quel periodo. Ogni anno milioni di visitatori arrivano per vedere i musei, le chiese e i palazzi che la resero famosa."
 
