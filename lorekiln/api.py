@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekiln.functions.vectors import cosine
-from lorekiln.operators import bundle, catalog, convert, extract, merge, mutate, search, store
+from lorekiln.operators import bundle, catalog, convert, extract, merge, mutate, search, store, validate
 from lorekiln.sources import records
 
 CONCEPTS = "id string, namespace string, version int, created_at bigint, updated_at bigint, tag_list array<string>, markdown string, thoughtform string, embedding array<float>"
@@ -98,11 +98,16 @@ class Memory:
     def index(self) -> DataFrame:
         return self._read("index", INDEX)
 
-    def save(self, changes: DataFrame, now_ms: int, batch: bool = False, snapshot_every: int = 0, index: bool = True) -> DataFrame:
+    def save(self, changes: DataFrame, now_ms: int, batch: bool = False, snapshot_every: int = 0, index: bool = True, uuids: bool = False) -> DataFrame:
         """Applies changes (with ``seq`` if ``batch``) and brings the index up to date; the rejected ones are returned.
 
-        Every change goes to the log of events. ``snapshot_every``: a backup after that many changes, counted over all calls; 0 for none.
+        No change at all is an error. Every change goes to the log of events. ``snapshot_every``: a backup after that many changes, counted over all calls; 0 for none.
+        ``uuids``: ids must be UUIDs.
         """
+        if changes.isEmpty():
+            raise ValueError("at least one change is needed")
+        if uuids:
+            changes = validate.require(changes, [validate.matches("id", F.col("id"), validate.UUID, "must be a UUID")])
         old = self.concepts.select("id", F.col("version").alias("old"))
         if batch:
             new, rejected = mutate.save_batch(self.concepts, changes, now_ms), self.spark.createDataFrame([], "id string, current_version int")
@@ -151,7 +156,9 @@ class Memory:
     def convert(self, source: str, target: str, now_ms: int, ids: DataFrame | None = None, **options) -> None:
         """Converts every concept that has ``source``, or those of ``ids``, and saves the result."""
         rows = self.concepts if ids is None else self.concepts.join(ids.select("id").distinct(), "id", "left_semi")
-        self.save(convert.convert(rows, source, target, now_ms=now_ms, **options), now_ms)
+        made = convert.convert(rows, source, target, now_ms=now_ms, **options)
+        if not made.isEmpty():
+            self.save(made, now_ms)
 
     def extract(self, **options) -> DataFrame:
         return extract.extract(self.concepts, "id", "markdown", **options)
@@ -185,7 +192,8 @@ class Memory:
         self._write("restored", rows.join(old, "id", "left").withColumn("action", mutate.decide(F.col("ms"), F.col("ts"), policy)).drop("ms"))
         decided = self.spark.read.parquet(f"{self.root}/restored/v{self._versions('restored')[-1]}")
         take = decided.filter(F.col("action") != "skipped").select("id", "namespace", "tag_list", F.col("raw_text").alias("markdown"), F.col("form").alias("thoughtform"))
-        self.save(take, now_ms, index=False)
+        if not take.isEmpty():
+            self.save(take, now_ms, index=False)
         self.rebuild_index()
         return mutate.upsert_counts(decided), errors
 
@@ -221,7 +229,9 @@ class Memory:
     def embed_missing(self, now_ms: int, dim: int = 64, model=None) -> None:
         """Gives a vector to every concept that has markdown and none."""
         wanted = self.concepts.filter(F.col("embedding").isNull())
-        self.save(convert.convert(wanted, "markdown", "vector", dim=dim, model=model), now_ms)
+        made = convert.convert(wanted, "markdown", "vector", dim=dim, model=model)
+        if not made.isEmpty():
+            self.save(made, now_ms)
 
     def similarity(self, a: str, b: str, dim: int = 64, model=None) -> DataFrame:
         """The cosine of two texts' vectors."""
@@ -245,7 +255,8 @@ class Memory:
         report = good.select("id").distinct().join(before, "id", "left").agg(F.count_if(F.col("old").isNull()).alias("inserted"), F.count("old").alias("updated")).first()
         bad = [f"concept without id at {r.n}" for r in new.filter(F.col("id").isNull()).orderBy("n").limit(100).collect()]
         skipped = new.filter(F.col("id").isNull()).count()
-        self.save(good.withColumnRenamed("n", "seq"), now_ms, batch=True)
+        if not good.isEmpty():
+            self.save(good.withColumnRenamed("n", "seq"), now_ms, batch=True)
         return self.spark.createDataFrame([(report.inserted, report.updated, skipped, bad)], "inserted bigint, updated bigint, skipped bigint, errors array<string>")
 
     def push(self) -> DataFrame:
@@ -259,7 +270,8 @@ class Memory:
         new = new.join(times.groupBy("id").agg(F.max("ts").alias("ts")), "id", "left") if ts else new.withColumn("ts", F.lit(None).cast("long"))
         old = self.concepts.select("id", F.col("updated_at").alias("ms"))
         take = new.join(old, "id", "left").filter(mutate.decide(F.col("ms"), F.col("ts"), "pull") != "skipped")
-        self.save(take.select("id", "markdown"), now_ms)
+        if not take.isEmpty():
+            self.save(take.select("id", "markdown"), now_ms)
 
     def archive(self, required: tuple[str, ...] = ()) -> DataFrame:
         """Content and tags of what an archive takes."""

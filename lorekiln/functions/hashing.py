@@ -19,6 +19,7 @@ def sha256(v: Column) -> Column:
 
 
 def bundle_id(key: Column) -> Column:
+    """Fixed values, here and in the two functions below: prefixes, lengths and the order of the parts."""
     return F.concat(F.lit("bndl_"), F.substring(key, 1, 32))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Fixed value: what divides the parts of a prompt.
 SEPARATOR = "\n\n---\n\n"
 
 

@@ -61,12 +61,12 @@ def form_to_markdown(f: Column) -> Column:
     return F.concat(F.lit("# "), title_of(f["rawText"]), F.lit("\n\n"), f["rawText"], section("Entities", ents), section("Relationships", rels))
 
 
-def neighbour_texts(concepts: DataFrame, wanted: DataFrame, k: int = 5, namespace: str | None = "default") -> DataFrame:
+def neighbour_texts(concepts: DataFrame, wanted: DataFrame, k: int = 5, namespace: str | None = "default", coarse: bool = False) -> DataFrame:
     """id, texts: of each wanted concept (id, embedding) the texts of its nearest others, closest first.
 
     As in ``search``: the closest 3k of all are looked at, of which those in the namespace count, at most k, itself included.
     """
-    hits = search(concepts, wanted.select(F.col("id").alias("query"), "embedding"), k, namespace)
+    hits = search(concepts, wanted.select(F.col("id").alias("query"), "embedding"), k, namespace, coarse=coarse)
     raw = F.get_json_object("thoughtform", "$.rawText")
     text = concepts.select("id", F.coalesce("markdown", raw).alias("text")).filter(F.col("text") != "")
     near = hits.filter(F.col("query") != F.col("id")).join(text, "id")
@@ -103,10 +103,11 @@ def form_from_text(texts: DataFrame, text: str, now_ms: int, extractor=None, che
     return made.select("id", F.to_json("_form").alias("thoughtform"))
 
 
-def convert(concepts: DataFrame, source: str, target: str, dim: int = 64, model=None, extractor=None, now_ms: int = 0, check: bool = True) -> DataFrame:
+def convert(concepts: DataFrame, source: str, target: str, dim: int = 64, model=None, extractor=None, now_ms: int = 0, check: bool = True, coarse: bool = False) -> DataFrame:
     """id and the target representation of every concept that has the source one. Unknown or equal pairs are an error.
 
     Vectors that are not ``dim`` finite numbers count as none. ``check``: forms made from markdown must keep the rules of forms.
+    ``coarse``: the neighbours of vectors are looked for in coarse cells, which many concepts need; else exactly.
     """
     pair = (source, target)
     if source == target:
@@ -124,7 +125,7 @@ def convert(concepts: DataFrame, source: str, target: str, dim: int = 64, model=
         return form_from_text(concepts.filter(F.col("markdown") != ""), "markdown", now_ms, extractor, check)
     if source == "vector" and target in ("markdown", "thoughtform"):
         have = concepts.filter(is_usable(F.col("embedding"), dim))
-        texts = neighbour_texts(have, have.select("id", "embedding"))
+        texts = neighbour_texts(have, have.select("id", "embedding"), coarse=coarse)
         if target == "markdown":
             return texts.select("id", reconstruct(F.col("texts")).alias("markdown"))
         joined = texts.select("id", F.when(F.size("texts") > 0, F.array_join("texts", "\n\n")).otherwise("[No neighbor context available]").alias("text"))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekiln.functions.text import has_all
+from lorekiln.plans.stages import write_stage
 
 BLOCK, TILE, DIGITS, SAMPLE, BROADCAST_HITS = 4096, 1024, 6, 4096, 1_000_000
 
@@ -68,65 +69,89 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_c
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("distance", F.col("distance") * sign)
 
 
-def coarse_knn(vectors: DataFrame, queries: DataFrame, k: int, cells: int | None = None, probes: int | None = None, id_col: str = "id", query_col: str = "query") -> DataFrame:
-    """As ``knn`` by Euclidean distance, looking only at the ``probes`` coarse cells closest to a query.
+class CoarseIndex:
+    """Vectors written by coarse cell, so that a search reads only the folders of the cells it probes.
 
-    Cells are the surroundings of centres fitted on about ``SAMPLE`` vectors; every vector is in one cell. Defaults: twice
-    the root of the sample's size and six tenths of the cells, which finds over nine tenths of the true neighbours of
-    vectors without any structure and nearly all where there is some. The vectors are read once and not shuffled.
+    Cells are the surroundings of centres fitted on about ``SAMPLE`` vectors; every vector is in one cell, the sample's bound is the
+    number of cells' as well.
     """
-    spark, kind, qkind = vectors.sparkSession, vectors.schema[id_col].dataType.simpleString(), queries.schema[query_col].dataType.simpleString()
-    schema = f"{query_col} {qkind}, {id_col} {kind}, distance double"
-    # the rows of lowest hash by a filter: a sorted limit would send as many rows from every task
-    n = vectors.count()
-    cut = 2**63 - 1 if n <= SAMPLE else -(2**63) + 2**64 * SAMPLE // n
-    sample = [r[0] for r in vectors.filter(F.xxhash64(id_col) <= cut).select("embedding").collect()]
-    blocks = max(1, -(-queries.count() // BLOCK))
-    out = spark.createDataFrame([], schema)
-    if not sample:
-        return out.withColumn("rank", F.lit(0))
-    x = np.array(sample, dtype=np.float64)
-    cells = max(1, min(len(x), cells or round(2 * len(x) ** 0.5)))
-    centres = x[:cells].copy()
-    for _ in range(4):
-        near = _scores(x, centres, "l2").argmin(axis=1)
-        for c in range(cells):
-            if (near == c).any():
-                centres[c] = x[near == c].mean(axis=0)
-    probes = min(cells, probes or max(8, round(0.6 * cells)))
-    for n in range(blocks):
-        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query_col), F.lit(blocks)) == n)
-        rows = own.select(query_col, "embedding").collect()  # one block
-        if not rows:
-            continue
-        ids, q = np.array([r[0] for r in rows], dtype=object), np.array([r[1] for r in rows], dtype=np.float64)
-        asks = np.zeros((cells, len(q)), dtype=bool)
-        np.put_along_axis(asks, np.argsort(_scores(q, centres, "l2"), axis=1)[:, :probes].T, True, axis=0)
 
-        def best(batches: Iterator[pd.DataFrame], ids=ids, q=q, asks=asks) -> Iterator[pd.DataFrame]:
+    def __init__(self, vectors: DataFrame, cells: int | None = None, id_col: str = "id"):
+        self.id_col, self.schema = id_col, vectors.select(id_col).schema[id_col].dataType.simpleString()
+        # the rows of lowest hash by a filter: a sorted limit would send as many rows from every task
+        n = vectors.count()
+        cut = 2**63 - 1 if n <= SAMPLE else -(2**63) + 2**64 * SAMPLE // n
+        x = np.array([r[0] for r in vectors.filter(F.xxhash64(id_col) <= cut).select("embedding").collect()], dtype=np.float64)
+        cells = max(1, min(len(x), cells or round(2 * len(x) ** 0.5)))
+        centres = x[:cells].copy()
+        for _ in range(4 if len(x) else 0):
+            near = _scores(x, centres, "l2").argmin(axis=1)
+            for c in range(cells):
+                if (near == c).any():
+                    centres[c] = x[near == c].mean(axis=0)
+        self.centres = centres
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                if not len(b):
-                    continue
-                v = np.array(list(b["embedding"]), dtype=np.float64)
-                home, found = _scores(v, centres, "l2").argmin(axis=1), []
-                for c in np.unique(home):
-                    at, who = np.nonzero(home == c)[0], np.nonzero(asks[c])[0]
-                    if len(who):
-                        d = np.round(_scores(q[who], v[at], "l2"), DIGITS)
-                        found.append(pd.DataFrame({query_col: np.repeat(ids[who], len(at)), id_col: np.tile(b[id_col].to_numpy()[at], len(who)), "distance": d.ravel()}))
-                if found:
-                    yield pd.concat(found).sort_values(["distance", id_col]).groupby(query_col, sort=False).head(k)
-
-        out = out.unionByName(vectors.select(id_col, "embedding").mapInPandas(best, schema))
-    rank = F.row_number().over(Window.partitionBy(query_col).orderBy("distance", id_col))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+                if len(b):
+                    yield b.assign(cell=_scores(np.array(list(b["embedding"]), dtype=np.float64), centres, "l2").argmin(axis=1))
+
+        placed = vectors.select(id_col, "embedding")
+        self.stage = write_stage(placed.mapInPandas(place, f"{id_col} {self.schema}, embedding {placed.schema['embedding'].dataType.simpleString()}, cell bigint").repartition("cell"), partition_by="cell") if n else None
+
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, query_col: str = "query") -> DataFrame:
+        """query, id, distance, rank by Euclidean distance among the ``probes`` cells closest to each query.
+
+        By default six tenths of the cells, which finds over nine tenths of the true neighbours of vectors without any structure and
+        nearly all where there is some; with fewer, fewer folders are read.
+        """
+        spark, id_col, qkind = queries.sparkSession, self.id_col, queries.schema[query_col].dataType.simpleString()
+        schema, cells = f"{query_col} {qkind}, {id_col} {self.schema}, distance double", len(self.centres)
+        out = spark.createDataFrame([], schema)
+        if self.stage is None:
+            return out.withColumn("rank", F.lit(0))
+        probes = min(cells, probes or max(8, round(0.6 * cells)))
+        blocks = max(1, -(-queries.count() // BLOCK))
+        for n in range(blocks):
+            own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64(query_col), F.lit(blocks)) == n)
+            rows = own.select(query_col, "embedding").collect()  # one block
+            if not rows:
+                continue
+            ids, q = np.array([r[0] for r in rows], dtype=object), np.array([r[1] for r in rows], dtype=np.float64)
+            asks = np.zeros((cells, len(q)), dtype=bool)
+            np.put_along_axis(asks, np.argsort(_scores(q, self.centres, "l2"), axis=1)[:, :probes].T, True, axis=0)
+
+            def best(batches: Iterator[pd.DataFrame], ids=ids, q=q, asks=asks) -> Iterator[pd.DataFrame]:
+                kept = None
+                for b in batches:
+                    found = [] if kept is None else [kept]
+                    for c, own in b.groupby("cell"):
+                        who = np.nonzero(asks[c])[0]
+                        if len(who):
+                            d = np.round(_scores(q[who], np.array(list(own["embedding"]), dtype=np.float64), "l2"), DIGITS)
+                            found.append(pd.DataFrame({"n": np.repeat(who, len(own)), id_col: np.tile(own[id_col].to_numpy(), len(who)), "distance": d.ravel()}))
+                    if found:
+                        kept = pd.concat(found).sort_values(["n", "distance", id_col]).groupby("n", sort=False).head(k)
+                if kept is not None:
+                    yield pd.DataFrame({query_col: ids[kept["n"].to_numpy(dtype=int)], id_col: kept[id_col].to_numpy(), "distance": kept["distance"].to_numpy()})
+
+            probed = self.stage.df.filter(F.col("cell").isin([int(c) for c in np.nonzero(asks.any(axis=1))[0]]))
+            out = out.unionByName(probed.mapInPandas(best, schema))
+        rank = F.row_number().over(Window.partitionBy(query_col).orderBy("distance", id_col))
+        return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def coarse_knn(vectors: DataFrame, queries: DataFrame, k: int, cells: int | None = None, probes: int | None = None, id_col: str = "id", query_col: str = "query") -> DataFrame:
+    """As ``knn`` by Euclidean distance, through a coarse index made for the purpose."""
+    return CoarseIndex(vectors, cells, id_col).search(queries, k, probes, query_col)
 
 
-def search(concepts: DataFrame, queries: DataFrame, k: int = 10, namespace: str | None = "default", tags: tuple[str, ...] = (), prefilter: bool = False) -> DataFrame:
+def search(concepts: DataFrame, queries: DataFrame, k: int = 10, namespace: str | None = "default", tags: tuple[str, ...] = (), prefilter: bool = False, coarse: bool = False) -> DataFrame:
     """query, id, distance, namespace, tag_list, has_md, has_tf, rank.
 
     ``namespace`` None searches all. By default the filters apply to the closest 3k (all namespaces: k) rows, so fewer than
-    k may come out although more exist; ``prefilter`` filters first.
+    k may come out although more exist; ``prefilter`` filters first. ``coarse`` looks only into the cells close to a query, for
+    very many queries.
     """
     keep = F.lit(True)
     if namespace is not None:
@@ -136,7 +161,7 @@ def search(concepts: DataFrame, queries: DataFrame, k: int = 10, namespace: str
     meta = concepts.select("id", "namespace", "tag_list", F.col("markdown").isNotNull().cast("int").alias("has_md"), F.col("thoughtform").isNotNull().cast("int").alias("has_tf"))
     source = concepts.filter(keep) if prefilter else concepts
     most = k if prefilter or namespace is None else 3 * k
-    hits = knn(source, queries, most).drop("rank")
+    hits = (coarse_knn if coarse else knn)(source.select("id", "embedding"), queries, most).drop("rank")
     if queries.count() * most <= BROADCAST_HITS:  # the hits go to the concepts; more hits meet them by a shuffle
         hits = F.broadcast(hits)
     found = meta.join(hits, "id").filter(keep)

@@ -62,16 +62,16 @@ class Stage:
         _WRITTEN.pop(self.path, None)
 
 
-def write_stage(df: DataFrame, count_if: Column | None = None) -> Stage:
+def write_stage(df: DataFrame, count_if: Column | None = None, partition_by: str | None = None) -> Stage:
     """Computes ``df`` once, writes it to the shared folder and returns the written table.
 
-    ``count_if``: rows to count while they are written, as ``Stage.counted``.
+    ``count_if``: rows to count while they are written, as ``Stage.counted``. ``partition_by``: a column to make folders of.
     """
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{uuid.uuid4().hex}"
     _WRITTEN[path] = spark
     if count_if is None:
-        df.write.parquet(path)
+        (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
         return Stage(spark, path, df.schema)
     seen = Observation()
     df.observe(seen, F.count_if(count_if).alias("n")).write.parquet(path)

@@ -171,10 +171,14 @@ def bundle_commits(spark, sf_dir):
 
 
 def backup_again(spark, sf_dir):
-    """A second backup of the same records writes nothing."""
+    """What a backup writes, and what a second one of the same records and of some changed ones adds."""
+    r = records(spark, sf_dir)
     commits = _store(spark, sf_dir)[1]
-    parts, _ = B.backup(records(spark, sf_dir), commits, "namespace", 1_700_000_000_001, chunk_size=4096, key=KEY)
-    return parts.agg(F.count(F.lit(1)).alias("chunks"))
+    again = B.backup(r, commits, "namespace", 1_700_000_000_001, chunk_size=4096, key=KEY)[0]
+    changed = r.withColumn("hash", F.when(F.col("namespace") == "default", F.sha2(F.coalesce("hash", F.lit("")), 256)).otherwise(F.col("hash")))
+    more = B.backup(changed, commits, "namespace", 1_700_000_000_002, chunk_size=4096, key=KEY)[1]
+    first = commits.agg(F.count(F.lit(1)).alias("commits"), F.sum("records").alias("records"))
+    return first.join(F.broadcast(again.agg(F.count(F.lit(1)).alias("chunks_again")))).join(F.broadcast(more.agg(F.count(F.lit(1)).alias("commits_after_change"), F.max("records").alias("records_after_change"))))
 
 
 def _log(spark, sf_dir):
@@ -252,7 +256,7 @@ array_to_string(list_sort(list_concat(['Content-Type'], list_transform(list_dist
     "bundle_roundtrip": f"WITH {R}, o AS (SELECT DISTINCT ON (id, ts, hash) * FROM r WHERE ts > 0 ORDER BY id, ts, hash, namespace, source NULLS FIRST, raw_text NULLS FIRST, version NULLS FIRST, tag_list NULLS FIRST) SELECT DISTINCT ON (id) id, ts, hash, sha256(raw_text) AS text_hash, source, namespace, coalesce(version, -1) AS version, array_to_string(tag_list, '|') AS tags FROM o ORDER BY id, ts DESC, hash DESC",
     "bundle_commits": f"""WITH {R}, k AS (SELECT namespace, count(*) AS records, max(ts) AS until_ms, sha256(coalesce(string_agg(hash, ':' ORDER BY ts, id, hash), '') || ':gzip:false') AS dedupe_key FROM r WHERE ts > 1715000000000 GROUP BY namespace)
 SELECT namespace, 'bndl_' || substr(dedupe_key, 1, 32) AS bundle_id, dedupe_key, records, until_ms FROM k""",
-    "backup_again": "SELECT 0::BIGINT AS chunks",
+    "backup_again": f"WITH {R}, k AS (SELECT namespace, count(*) AS n FROM r WHERE ts > 0 GROUP BY namespace) SELECT count(*) AS commits, sum(n)::BIGINT AS records, 0::BIGINT AS chunks_again, count(*) FILTER (namespace = 'default') AS commits_after_change, max(n) FILTER (namespace = 'default') AS records_after_change FROM k",
     "change_events": f"WITH {_L} SELECT type, count(*) AS events, count(DISTINCT id) AS ids FROM l GROUP BY type",
     "save_counter_triggers": _COUNT.format(l=_L, g="'all'", k=THRESHOLD),
     "save_counter_per_id": _COUNT.format(l=_L, g="id", k=5),

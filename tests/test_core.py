@@ -198,7 +198,7 @@ def test_convert(spark):
     c = spark.createDataFrame([concept("live", thoughtform=json.dumps(tf)), concept("cut", thoughtform='{"id":'), concept("none"), concept("v", embedding=[1.0, 0.0]), concept("m", markdown="Hello", embedding=[0.9, 0.1])], CONCEPTS)
     assert {r.id: r.markdown for r in convert(c, "thoughtform", "markdown").collect()} == {"live": "# Text here\n\nText here\n\n## Entities\n\n- **Ada** (PERSON, confidence: 0.75)\n\n## Relationships\n\n- Ada **wrote** e9"}
     near = {r.id: r.markdown for r in convert(c, "vector", "markdown", dim=2).collect()}  # null and wrong vectors count as none
-    assert set(near) == {"v", "m"}
+    assert set(near) == {"v", "m"} and near == {r.id: r.markdown for r in convert(c, "vector", "markdown", dim=2, coarse=True).collect()}
     assert near["v"].endswith("\n\nHello") and "No neighboring" in near["m"]
     assert convert(c, "markdown", "vector", 8).count() == 1 and convert(c, "markdown", "thoughtform", check=False).count() == 1 and convert(c, "thoughtform", "vector", 8).count() == 1
     assert one(spark, reconstruct(F.array(F.lit("a"), F.lit("b"))))[0].endswith("## Related Context 1\n\na\n\n## Related Context 2\n\nb")
@@ -255,6 +255,10 @@ def test_memory(spark, tmp_path):
     ch = spark.createDataFrame([("x", ["t"], "Ada Lovelace wrote `notes`.", [1.0, 0.0]), ("y", None, "two", [0.0, 1.0])], "id string, tag_list array<string>, markdown string, embedding array<float>")
     assert m.save(ch, 1).count() == 0
     assert m.save(spark.createDataFrame([("x", 9)], "id string, expected_version int"), 2).first().current_version == 1
+    with pytest.raises(ValueError, match="at least one"):
+        m.save(ch.limit(0), 3)
+    with pytest.raises(Exception, match="UUID"):
+        m.save(ch, 3, uuids=True)
     q = spark.createDataFrame([(0, [1.0, 0.1])], "query int, embedding array<float>")
     assert m.search(q, 1).first().id == "x" and m.stats().first().vectors == 2 and m.list().first().total == 2
     m.backup(3)
