@@ -26,6 +26,7 @@ SYNC_FORM = (
 )
 #: The texts of the reconstruction template.
 NO_NEIGHBOURS = "# Reconstructed Concept\n\nNo neighboring concepts available for reconstruction."
+NO_CONTEXT = "[No neighbor context available]"
 HEAD = "# Reconstructed Concept\n\n*Reconstructed from nearest-neighbor context.*\n\n"
 
 
@@ -128,6 +129,6 @@ def convert(concepts: DataFrame, source: str, target: str, dim: int = 64, model=
         texts = neighbour_texts(have, have.select("id", "embedding"), coarse=coarse)
         if target == "markdown":
             return texts.select("id", reconstruct(F.col("texts")).alias("markdown"))
-        joined = texts.select("id", F.when(F.size("texts") > 0, F.array_join("texts", "\n\n")).otherwise("[No neighbor context available]").alias("text"))
+        joined = texts.select("id", F.when(F.size("texts") > 0, F.array_join("texts", "\n\n")).otherwise(NO_CONTEXT).alias("text"))
         return form_from_text(joined, "text", now_ms, extractor, check=False)
     raise ValueError(f"no conversion from {source} to {target}")

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekiln.plans.stages import Stage, write_stage
+from lorekiln.plans.stages import Scope, Stage, write_stage
 
 
 def _advance(old: Stage | None, df: DataFrame) -> Stage:
@@ -128,6 +128,11 @@ def build_hierarchy(links: DataFrame, node: str, parent: str) -> DataFrame:
     ``segments`` is the path from the root as chain pieces (head, first position, last position), at most log2(n) of them;
     ``expand_paths`` turns it into ids.
     """
+    with Scope() as scope:
+        return scope.keep(write_stage(_build(links, node, parent))).df
+
+
+def _build(links: DataFrame, node: str, parent: str) -> DataFrame:
     base = write_stage(_links(links, node, parent))
     sizes, loops = _double(base)
     nodes = _chains(base.df.join(sizes.df, "node"))

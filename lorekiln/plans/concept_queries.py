@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekiln.functions.text import tag_like, union_tags
-from lorekiln.functions.vectors import cosine, is_usable, l2, sine_embedder
+from lorekiln.functions.vectors import cosine, decode_f32, encode_f32, is_usable, l2, sine_embedder
 from lorekiln.operators import catalog
 from lorekiln.operators.search import coarse_knn, index_from, knn, rebuild_index, search
 from lorekiln.plans.session import table
@@ -151,6 +151,12 @@ def vector_zero_probe(spark, sf_dir):
     return knn(_vectors(spark, sf_dir), zero, 1)
 
 
+def f32_roundtrip(spark, sf_dir):
+    """Vectors as packed bytes and back."""
+    v = _vectors(spark, sf_dir).withColumn("b", encode_f32(F.col("embedding")))
+    return v.select("id", F.octet_length("b").alias("bytes"), decode_f32(F.col("b")).eqNullSafe(F.col("embedding").cast("array<float>")).alias("same"), F.round(F.aggregate(decode_f32(F.col("b")), F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
 def vector_drift(spark, sf_dir):
     """How far the index lags behind: distance and cosine of each indexed vector and the stored one."""
     own = searchable(spark, sf_dir).select(F.col("id").alias("concept_id"), "embedding")
@@ -186,7 +192,7 @@ def missing_embeddings(spark, sf_dir):
 
 
 _NAMES = """point_lookup multi_lookup read_representations list_page list_page_two list_tags_like list_tags_exact list_flags list_total stats_all stats_by_namespace vector_semi_count
-delta_since kv_latest search_cross_ns search_ns_postfilter search_ns_prefilter search_tags knn_l2 knn_inner_product knn_cosine knn_coarse knn_neighbours_top5 vector_zero_probe vector_drift
+delta_since kv_latest search_cross_ns search_ns_postfilter search_ns_prefilter search_tags knn_l2 knn_inner_product knn_cosine knn_coarse knn_neighbours_top5 vector_zero_probe f32_roundtrip vector_drift
 vector_index_replace tags_union mock_embed_search missing_embeddings""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -239,6 +245,7 @@ d AS (SELECT doc_id, vec_id, round(list_distance(e::DOUBLE[], embedding::DOUBLE[
 SELECT doc_id AS query, vec_id AS id, distance, 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, vec_id) AS r FROM d) WHERE r = 1""",
     "knn_neighbours_top5": f"SELECT query, string_agg(id::VARCHAR, ',' ORDER BY distance, id) AS neighbours FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS n FROM ({_knn('list_distance', 'ASC', 6)}) WHERE query <> id) WHERE n <= 5 GROUP BY query",
     "vector_zero_probe": "SELECT 0::BIGINT AS query, vec_id AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS distance, 1 AS rank FROM embeddings ORDER BY distance, id LIMIT 1",
+    "f32_roundtrip": "SELECT vec_id AS id, 4 * len(embedding) AS bytes, true AS same, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings",
     "vector_drift": f"""WITH {S}, i AS (SELECT concept_id, arg_max(embedding, indexed_at) AS indexed FROM concept_vectors GROUP BY 1)
 SELECT concept_id, round(list_distance(indexed::DOUBLE[], embedding::DOUBLE[]), 5) AS distance,
 CASE WHEN list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0 AND list_inner_product(indexed::DOUBLE[], indexed::DOUBLE[]) > 0 THEN round(list_cosine_similarity(indexed::DOUBLE[], embedding::DOUBLE[]), 5) END AS cosine

@@ -47,6 +47,31 @@ def _sweep() -> None:
     _WRITTEN.clear()
 
 
+class Scope:
+    """Stages written inside the block are removed at its end, but for those that ``keep`` names; what is returned must not read others."""
+
+    def __enter__(self) -> Scope:
+        self.stages: list[Stage] = []
+        self.kept: list[Stage] = []
+        _SCOPES.append(self)
+        return self
+
+    def keep(self, stage: Stage) -> Stage:
+        self.kept.append(stage)
+        return stage
+
+    def __exit__(self, *_) -> None:
+        _SCOPES.remove(self)
+        for s in self.stages:
+            if s not in self.kept:
+                s.release()
+            elif _SCOPES:  # an outer block decides in its turn
+                _SCOPES[-1].stages.append(s)
+
+
+_SCOPES: list[Scope] = []
+
+
 class Stage:
     """A written table: ``df`` reads it again, ``release`` removes it."""
 
@@ -70,9 +95,14 @@ def write_stage(df: DataFrame, count_if: Column | None = None, partition_by: str
     spark = df.sparkSession
     path = f"{stage_root(spark)}/{uuid.uuid4().hex}"
     _WRITTEN[path] = spark
+    n = None
     if count_if is None:
         (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
-        return Stage(spark, path, df.schema)
-    seen = Observation()
-    df.observe(seen, F.count_if(count_if).alias("n")).write.parquet(path)
-    return Stage(spark, path, df.schema, seen.get["n"])
+    else:
+        seen = Observation()
+        df.observe(seen, F.count_if(count_if).alias("n")).write.parquet(path)
+        n = seen.get["n"]
+    stage = Stage(spark, path, df.schema, n)
+    if _SCOPES:
+        _SCOPES[-1].stages.append(stage)
+    return stage

@@ -111,6 +111,14 @@ def snapshot_sizes(spark, sf_dir):
     return IO.snapshot(concepts(spark, sf_dir), None).withColumn("namespace", F.get_json_object("document", "$.namespace")).groupBy("namespace").agg(F.count(F.lit(1)).alias("documents"), F.sum("bytes").alias("bytes"))
 
 
+def snapshot_roundtrip(spark, sf_dir):
+    """Snapshot documents of a namespace's concepts each, read back."""
+    one = F.struct("id", "namespace", F.col("tag_list").alias("tags"), "markdown", F.try_parse_json("thoughtform").alias("thoughtform"))
+    docs = concepts(spark, sf_dir).groupBy("namespace").agg(F.concat(F.lit('{"version":"1.0.0","concepts":['), F.array_join(F.collect_list(F.to_json(one)), ","), F.lit("]}")).alias("document"))
+    got = IO.parse_snapshot(docs, "document")
+    return got.select("id", "namespace", F.array_join("tag_list", "|").alias("tags"), F.sha2("markdown", 256).alias("markdown_hash"), F.get_json_object("thoughtform", "$.rawText").alias("raw_text"))
+
+
 def snapshot_present(spark, sf_dir):
     """The snapshot that names only what a concept has, read back."""
     docs = IO.snapshot(concepts(spark, sf_dir), only_present=True)
@@ -165,6 +173,12 @@ def bundle_roundtrip(spark, sf_dir):
     return got.select("id", "ts", "hash", F.sha2("raw_text", 256).alias("text_hash"), "source", "namespace", F.coalesce("version", F.lit(-1)).alias("version"), F.array_join("tag_list", "|").alias("tags"))
 
 
+def bundle_restore_filtered(spark, sf_dir):
+    """Restored records whose id begins with 0 or 1 and that changed after a time."""
+    rows = [B.restore(*_store(spark, sf_dir), key=KEY, id_prefix=str(d), updated_since_ms=1_715_000_000_000)[0] for d in range(2)]
+    return rows[0].unionByName(rows[1]).select("id", "ts", "hash")
+
+
 def bundle_commits(spark, sf_dir):
     """The commits of a backup by namespace: ids come from the contents."""
     return B.pack(records(spark, sf_dir), "namespace", since_ms=1_715_000_000_000).select("namespace", "bundle_id", "dedupe_key", "records", "until_ms")
@@ -205,13 +219,23 @@ def index_sync_final_state(spark, sf_dir):
     return P.final_state(_log(spark, sf_dir))
 
 
-_NAMES = """validate_records validate_chunks validate_commits validate_forms validate_bundles json_array_records kv_tombstones base64_roundtrip redact_fields classify_failure memory_entries pull_ids archive_tags snapshot_sizes snapshot_present export_bundle
-parse_bundles canonical_json gzip_roundtrip aes_roundtrip bundle_roundtrip bundle_commits bundle_sizes backup_again change_events save_counter_triggers save_counter_per_id debounce_sessions index_sync_final_state""".split()
+_NAMES = """validate_records validate_chunks validate_commits validate_forms validate_bundles json_array_records kv_tombstones base64_roundtrip redact_fields classify_failure memory_entries pull_ids archive_tags snapshot_sizes snapshot_roundtrip snapshot_present export_bundle
+parse_bundles canonical_json gzip_roundtrip aes_roundtrip bundle_roundtrip bundle_restore_filtered bundle_commits bundle_sizes backup_again change_events save_counter_triggers save_counter_per_id debounce_sessions index_sync_final_state""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _L = "l AS (SELECT event_id, ts, user_id AS id, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' ELSE 'updated' END AS type, value FROM events WHERE event_type IN ('signup', 'purchase', 'click', 'view', 'error'))"
 _COUNT = "WITH {l}, n AS (SELECT {g} AS grp, ts, row_number() OVER (PARTITION BY {g} ORDER BY ts, event_id) AS n FROM l WHERE type <> 'deleted') SELECT grp, n // {k} AS snapshot_no, ts AS fired_at FROM n WHERE n % {k} = 0"
 _q = lambda s: s.replace("'", "''")
+def _canonical(j: str, depth: int) -> str:
+    """SQL for a JSON value with sorted keys at ``depth`` levels, without white space."""
+    if not depth:
+        return f"({j})::VARCHAR"
+    k, e = f"k{depth}", f"e{depth}"
+    pairs = f"list_transform(list_sort(json_keys({j})), lambda {k}: to_json({k})::VARCHAR || ':' || {_canonical(f'json_extract({j}, {k})', depth - 1)})"
+    items = f"list_transform(CAST({j} AS JSON[]), lambda {e}: {_canonical(e, depth - 1)})"
+    return f"(CASE json_type({j}) WHEN 'OBJECT' THEN '{{' || array_to_string({pairs}, ',') || '}}' WHEN 'ARRAY' THEN '[' || array_to_string({items}, ',') || ']' ELSE ({j})::VARCHAR END)"
+
+
 _JSON = "f AS (SELECT id, namespace, updated_at, TRY_CAST(thoughtform AS JSON) AS j FROM c WHERE thoughtform IS NOT NULL AND TRY_CAST(thoughtform AS JSON) IS NOT NULL)"
 _IS = lambda k: f"CASE WHEN '{k}' IN ({', '.join(repr(x) for x in SECRET_FIELDS)}) THEN '[REDACTED]' ELSE {{}} END"
 ORACLES = {
@@ -248,6 +272,9 @@ CASE exit_code {' '.join(f"WHEN {k} THEN '{_q(v[1])}'" for k, v in FAILURES.item
     "pull_ids": f"WITH {C} SELECT id, sha256(markdown) AS markdown_hash FROM c WHERE markdown IS NOT NULL",
     "archive_tags": f"""WITH {C} SELECT id, sha256(coalesce(markdown, thoughtform)) AS content_hash, CASE WHEN markdown IS NOT NULL THEN 'text/markdown' ELSE 'application/json' END AS content_type,
 array_to_string(list_sort(list_concat(['Content-Type'], list_transform(list_distinct(tag_list), lambda t: 'tag-' || t))), '|') AS keys FROM c WHERE list_contains(tag_list, 'adapter') AND coalesce(markdown, thoughtform) IS NOT NULL""",
+    "canonical_json": f"WITH {C}, f AS (SELECT id, thoughtform IS NULL AS none, TRY_CAST(thoughtform AS JSON) AS j FROM c) SELECT id, {_canonical('j', 4)} AS document FROM f WHERE NOT none",
+    "snapshot_roundtrip": f"WITH {C} SELECT id, coalesce(namespace, 'default') AS namespace, array_to_string(coalesce(tag_list, []), '|') AS tags, sha256(markdown) AS markdown_hash, TRY_CAST(thoughtform AS JSON)->>'$.rawText' AS raw_text FROM c",
+    "bundle_restore_filtered": f"WITH {R} SELECT DISTINCT ON (id) id, ts, hash FROM r WHERE ts > 1715000000000 AND substr(id, 1, 1) IN ('0', '1') ORDER BY id, ts DESC, hash DESC",
     "snapshot_present": f"WITH {C} SELECT id, markdown, version FROM c",
     "export_bundle": f"WITH {C}, {_JSON} SELECT namespace, count(*) AS count, max(updated_at) AS last_synced FROM f WHERE updated_at > 1710000000000 GROUP BY namespace",
     "parse_bundles": f"WITH {C}, {_JSON} SELECT namespace, j->>'$.id' AS id, j->>'$.rawText' AS raw_text FROM f",

@@ -112,13 +112,27 @@ def vector_to_markdown(spark, sf_dir):
     return V.neighbour_texts(c, wanted).select("id", F.size("texts").alias("neighbours"), F.sha2(V.reconstruct(F.col("texts")), 256).alias("markdown_hash"))
 
 
+def markdown_to_vector(spark, sf_dir):
+    got = V.convert(concepts(spark, sf_dir, F.col("markdown").isNotNull()), "markdown", "vector")
+    return got.select("id", F.size("embedding").alias("dimension"), F.round(F.element_at("embedding", 1).cast("double"), 4).alias("first"))
+
+
+def vector_to_form(spark, sf_dir):
+    """Concepts that have only a vector get a structured form out of their neighbours' texts."""
+    c = searchable(spark, sf_dir)
+    wanted = c.filter(F.col("markdown").isNull() & F.col("thoughtform").isNull()).select("id", "embedding")
+    texts = V.neighbour_texts(c, wanted).select("id", F.when(F.size("texts") > 0, F.array_join("texts", "\n\n")).otherwise(V.NO_CONTEXT).alias("text"))
+    f = V.form_from_text(texts, "text", 0, check=False).select("id", V.parse_form(F.col("thoughtform"))["live"].alias("f"))
+    return f.select("id", F.sha2("f.rawText", 256).alias("text_hash"), "f.metadata.source")
+
+
 def embedding_text(spark, sf_dir):
     c = concepts(spark, sf_dir, F.col("thoughtform").isNotNull()).select("id", V.parse_form(F.col("thoughtform")).alias("f"))
     values = F.coalesce(F.col("f.live.entities.text"), F.col("f.sync.entities.value"))
     return c.select("id", text_or_entities(F.coalesce("f.live.rawText", "f.sync.rawText"), values, F.col("id")).alias("text"))
 
 
-_NAMES = "entities_multicap entities_quoted entities_singlecap entity_types entity_ids entity_filter entity_offsets sentence_pairs relation_predicates context_graph extract_full markdown_to_form form_shapes forms_since tf_to_markdown tf_to_vector vector_to_markdown embedding_text".split()
+_NAMES = "entities_multicap entities_quoted entities_singlecap entity_types entity_ids entity_filter entity_offsets sentence_pairs relation_predicates context_graph extract_full markdown_to_form form_shapes forms_since tf_to_markdown tf_to_vector markdown_to_vector vector_to_markdown vector_to_form embedding_text".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _ORG, _LOC = (", ".join(f"'{w}'" for w in ws) for ws in (E.ORGANIZATION_WORDS, E.LOCATION_WORDS))
@@ -158,6 +172,8 @@ _FORM = C + """, f AS (SELECT id, thoughtform AS t, TRY_CAST(thoughtform AS JSON
 _MD = """p AS (SELECT id, shape, j->>'$.rawText' AS raw, coalesce(CAST(j->'$.entities' AS JSON[]), []) AS es, coalesce(CAST(j->'$.relationships' AS JSON[]), []) AS rs FROM g WHERE shape IN ('live', 'sync')),
 q2 AS (SELECT id, raw, list_transform(es, lambda e: {'i': e->>'$.id', 't': coalesce(e->>'$.text', e->>'$.value'), 'k': e->>'$.type', 'c': (e->>'$.confidence')::DOUBLE}) AS es,
   list_transform(rs, lambda r: {'s': coalesce(r->>'$.subjectId', r->>'$.from'), 'p': coalesce(r->>'$.predicate', r->>'$.type'), 'o': coalesce(r->>'$.objectId', r->>'$.to')}) AS rs FROM p)"""
+#: The UTF-16 units of a character, added up.
+U16 = "CASE WHEN unicode(substr(markdown, i, 1)) < 65536 THEN unicode(substr(markdown, i, 1)) ELSE 55296 + (unicode(substr(markdown, i, 1)) - 65536) // 1024 + 56320 + (unicode(substr(markdown, i, 1)) - 65536) % 1024 END"
 ORACLES = {
     "entities_multicap": _ent("1", "SELECT doc_id, entity FROM k"),
     "entities_quoted": _ent("2", "SELECT doc_id, entity FROM k"),
@@ -195,6 +211,14 @@ FROM g JOIN c USING (id) WHERE shape IN ('live', 'sync') AND list_contains(tag_l
 FROM q2 WHERE raw IS NOT NULL""",
     "tf_to_vector": f"""WITH {_FORM}, r AS (SELECT id, list_sum(list_transform(string_split(j->>'$.rawText', ''), lambda x: unicode(x)))::DOUBLE AS h FROM g WHERE shape IN ('live', 'sync') AND j->>'$.rawText' <> '')
 SELECT id, {DIM} AS dimension, round((sin(h) / sqrt(list_sum(list_transform(range({DIM}), lambda i: sin(h + i) * sin(h + i)))))::FLOAT::DOUBLE, 4) AS first FROM r""",
+    "markdown_to_vector": f"""WITH {C}, r AS (SELECT id, list_sum(list_transform(generate_series(1, length(markdown)), lambda i: {U16}))::DOUBLE AS h FROM c WHERE trim(markdown, ' ') <> '')
+SELECT id, {DIM} AS dimension, round((sin(h) / sqrt(list_sum(list_transform(range({DIM}), lambda i: sin(h + i) * sin(h + i)))))::FLOAT::DOUBLE, 4) AS first FROM r""",
+    "vector_to_form": f"""WITH {S}, w AS (SELECT id AS query, embedding AS qv FROM s WHERE markdown IS NULL AND thoughtform IS NULL),
+d AS (SELECT query, s.id, s.namespace, round(list_distance(s.embedding::DOUBLE[], qv::DOUBLE[]), 6) AS distance, coalesce(markdown, TRY_CAST(thoughtform AS JSON)->>'$.rawText') AS text FROM s, w),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS r FROM d) WHERE r <= 15),
+h AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS r2 FROM n WHERE namespace = 'default'),
+t AS (SELECT query, list(text ORDER BY distance, id) AS texts FROM h WHERE r2 <= 5 AND query <> id AND text <> '' GROUP BY query)
+SELECT w.query AS id, sha256(coalesce(array_to_string(texts, chr(10) || chr(10)), '{V.NO_CONTEXT}')) AS text_hash, 'converted' AS source FROM w LEFT JOIN t ON w.query = t.query""",
     "vector_to_markdown": f"""WITH {S}, w AS (SELECT id AS query, embedding AS qv FROM s WHERE markdown IS NULL AND thoughtform IS NULL),
 d AS (SELECT query, s.id, s.namespace, round(list_distance(s.embedding::DOUBLE[], qv::DOUBLE[]), 6) AS distance, coalesce(markdown, TRY_CAST(thoughtform AS JSON)->>'$.rawText') AS text FROM s, w),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS r FROM d) WHERE r <= 15),
