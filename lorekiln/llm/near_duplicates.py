@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekiln.plans.stages import Stage, write_stage
+from lorekiln.plans.stages import Scope, Stage, write_stage
 
 SEGMENTS, WIDTH, FOLLOW = 28, 3, 20
 BROADCAST_IDS, CLASS_BLOCK = 200_000, 2048
@@ -249,6 +249,12 @@ class NearDuplicates:
 
 def near_duplicates(df: DataFrame, id_col: str, text: str, tags: str | None = None, similarity: float = 0.8, tag_similarity: float = 0.0, shingle: int = 5, least_words: int = 5, broadcast_ids: int = BROADCAST_IDS) -> NearDuplicates:
     """Pairs whose word shingles have a Jaccard similarity of ``similarity`` or more and whose tags one of ``tag_similarity``."""
+    with Scope() as scope:
+        members, links = _find(df, id_col, text, tags, similarity, tag_similarity, shingle, least_words, broadcast_ids)
+        return NearDuplicates(scope.keep(members), scope.keep(links))
+
+
+def _find(df: DataFrame, id_col: str, text: str, tags: str | None, similarity: float, tag_similarity: float, shingle: int, least_words: int, broadcast_ids: int) -> tuple[Stage, Stage]:
     rows, with_tags = _records(df, id_col, text, tags), tags is not None
     positions = SEGMENTS * WIDTH
     budget = _budget(positions, similarity)
@@ -259,7 +265,6 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, tags: str | None = No
     members = write_stage(own.join(rep, "class"))
     heads = members.df.filter(F.col("id") == F.col("rep")).select("id", "class")
     sketches = write_stage(made.df.join(heads, ["id", "class"], "left_semi").dropDuplicates(["id", "class"]).withColumn("u", F.xxhash64("class")))
-    made.release()
     reps = sketches.df
     cand = _meet(_keys(reps), reps, _budget(positions, similarity, 0.75))
     left, right = reps.select("u", F.col("id").alias("id_a"), F.col("sketch").alias("s1")), reps.select(F.col("u").alias("u2"), F.col("id").alias("id_b"), F.col("sketch").alias("s2"))
@@ -289,10 +294,7 @@ def near_duplicates(df: DataFrame, id_col: str, text: str, tags: str | None = No
             yield pd.DataFrame({"rep_a": p["id_a"], "rep_b": p["id_b"], "jaccard": js})[ok]
 
     checked = close.df.join(a, "u").join(b, "u2").select("id_a", "id_b", "sh1", "sh2", "t1", "t2").mapInPandas(verify, "rep_a string, rep_b string, jaccard double")
-    links = write_stage(checked.groupBy("rep_a", "rep_b").agg(F.max("jaccard").alias("jaccard")))
-    for done in (sketches, close, sets):
-        done.release()
-    return NearDuplicates(members, links)
+    return members, write_stage(checked.groupBy("rep_a", "rep_b").agg(F.max("jaccard").alias("jaccard")))
 
 
 def link_groups(links: DataFrame, a: str, b: str) -> DataFrame:

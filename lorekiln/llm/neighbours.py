@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekiln.llm.vectors import place_in_cells, unpack
-from lorekiln.plans.stages import write_stage
+from lorekiln.plans.stages import Scope, write_stage
 
 #: HALF: how far a cosine of vectors in half precision may be off.
 HALF = 0.002
@@ -196,6 +196,11 @@ def neighbour_lists(usable: DataFrame, dim: int, k: int, least: float, probes: i
 
     ``usable`` as made by ``usable_vectors``. Ranks go by cosine descending, then id.
     """
+    with Scope() as scope:
+        return scope.keep(write_stage(_lists(usable, dim, k, least, probes))).df
+
+
+def _lists(usable: DataFrame, dim: int, k: int, least: float, probes: int) -> DataFrame:
     rows = write_stage(usable.select("id", "v", F.xxhash64("v").alias("u")))
     first = F.row_number().over(Window.partitionBy("u").orderBy("id"))
     reps = write_stage(rows.df.withColumn("r", first).filter(F.col("r") <= k + 1).groupBy("u").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.first("v").alias("v")))
