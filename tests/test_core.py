@@ -408,6 +408,6 @@ def test_scopes_remove_their_stages(spark):
         with stages.Scope() as inner:
             a, b = stages.write_stage(spark.range(3)), inner.keep(stages.write_stage(spark.range(4), F.col("id") > 1))
         assert a.path not in stages._WRITTEN and b.df.count() == 4 and b.counted == 2
-        c = outer.keep(stages.write_stage(spark.range(5), partition_by="id"))
+        c = outer.keep(stages.write_stage(spark.range(5).withColumn("x", F.lit(1)), partition_by="id"))
     assert b.path not in stages._WRITTEN and c.df.filter("id = 2").count() == 1 and not stages._SCOPES
     c.release()
