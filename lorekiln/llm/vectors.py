@@ -117,14 +117,14 @@ def _sampled(rows: DataFrame, hash_col: str, n: int, want: int) -> np.ndarray:
     return np.array([np.frombuffer(r.v, dtype="<f4") for r in got])
 
 
-def place_in_cells(vectors: DataFrame, hash_col: str, dim: int, cell: int, probes: int, most: int, sample: int) -> tuple[Stage | None, Cells | None]:
+def place_in_cells(vectors: DataFrame, hash_col: str, dim: int, cell: int, probes: int, most: int, sample: int, count: int | None = None) -> tuple[Stage | None, Cells | None]:
     """(``hash_col``, w, home, cell: every vector in half precision with its cell and the cells it visits; the cells).
 
     Cells are fitted on a sample of about ``sample`` vectors, the first by hash. Where a cell comes out with more than eight
     times ``cell`` vectors it is fitted again, on a sample of its own vectors within the same bound, until no such cell
     is left or division does not help (vectors that all but coincide).
     """
-    n = vectors.count()
+    n = vectors.count() if count is None else count
     x = _sampled(vectors, hash_col, n, sample)
     if not len(x):
         return None, None
@@ -140,7 +140,7 @@ def place_in_cells(vectors: DataFrame, hash_col: str, dim: int, cell: int, probe
 
         seen = write_stage(vectors.select(hash_col, "v").mapInPandas(visit, f"{hash_col} bigint, w binary, home bigint, cell array<bigint>"))
         dense = seen.df.groupBy("home").count().filter(F.col("count") > 8 * cell)
-        worst = dense.agg(F.sum("count"), F.max("count"), F.count("home")).first()
+        worst = dense.agg(F.sum("count"), F.max("count")).first()
         if not worst[0] or (before is not None and worst[1] > 0.5 * before) or len(cells.extra) > most:
             return seen, cells
         before = worst[1]
