@@ -265,6 +265,7 @@ def _find(df: DataFrame, id_col: str, text: str, tags: str | None, similarity: f
     members = write_stage(own.join(rep, "class"))
     heads = members.df.filter(F.col("id") == F.col("rep")).select("id", "class")
     sketches = write_stage(made.df.join(heads, ["id", "class"], "left_semi").dropDuplicates(["id", "class"]).withColumn("u", F.xxhash64("class")))
+    made.release()
     reps = sketches.df
     cand = _meet(_keys(reps), reps, _budget(positions, similarity, 0.75))
     left, right = reps.select("u", F.col("id").alias("id_a"), F.col("sketch").alias("s1")), reps.select(F.col("u").alias("u2"), F.col("id").alias("id_b"), F.col("sketch").alias("s2"))
