@@ -26,7 +26,7 @@ one cluster; an empty table gives no row; a null note counts as no namespace.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -128,47 +128,10 @@ def _without_copies(rows: DataFrame, seen: Stage, blocks: Stage, cells: Cells, d
     return write_stage(rows.join(drop.distinct(), "u", "left_anti"), _each())
 
 
-def _pivots(directions: Stage, cells: Cells, dim: int, same: float) -> Stage:
-    """The directions left when local minima of the hash order absorb their neighbours (cosine ``same`` or more) until none is left."""
-    packed = write_stage(_pack(_visits(directions.df, cells, dim, 2), "q", "cell", directions.counted))
-
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for u, w, u2, w2 in zip(b["u"], b["w"], b["u2"], b["w2"]):
-                a, c = np.frombuffer(u, dtype="<i8"), np.frombuffer(u2, dtype="<i8")
-                i, j = np.nonzero(_half(w, dim) @ _half(w2, dim).T >= same)
-                ok = a[i] != c[j]
-                yield pd.DataFrame({"a": a[i[ok]], "b": c[j[ok]]})
-
-    links = write_stage(packed.df.join(packed.df.select("cell", F.col("u").alias("u2"), F.col("w").alias("w2")), "cell").drop("cell").mapInPandas(meet, "a bigint, b bigint").distinct(), _each())
-    packed.release()
-    if not links.counted:
-        return directions
-    active, kept = directions.df.select("q"), []
-    while True:  # a round is over when no direction is left; the smallest hash is a local minimum in each
-        open_ = links.df
-        if kept:
-            open_ = open_.join(active.withColumnRenamed("q", "a"), "a", "left_semi").join(active.withColumnRenamed("q", "b"), "b", "left_semi")
-        low = open_.groupBy(F.col("a").alias("q")).agg(F.min("b").alias("low"))
-        new = write_stage(active.join(low, "q", "left").filter(F.col("low").isNull() | (F.col("q") < F.col("low"))).select("q"))
-        kept.append(new)
-        gone = links.df.join(new.df.withColumnRenamed("q", "a"), "a", "left_semi").select(F.col("b").alias("q")).unionByName(new.df).distinct()
-        rest = write_stage(active.join(gone, "q", "left_anti"), _each())
-        active = rest.df
-        if not rest.counted:
-            break
-    pivots = kept[0].df
-    for more in kept[1:]:
-        pivots = pivots.unionByName(more.df)
-    return write_stage(directions.df.join(pivots, "q", "left_semi"), _each())
-
-
-def _closest(rows: DataFrame, directions: Stage, dim: int) -> DataFrame:
-    """Adds ``c``, the closest direction, and ``cos`` to rows with a vector v; directions come in blocks of about half of ``BLOCK``."""
+def _in_blocks(rows: DataFrame, directions: Stage, fold: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame]) -> DataFrame:
+    """Rows after ``fold(rows, ids, directions)`` with every block of about half of ``BLOCK`` directions, sorted by id; fold keeps their columns."""
     blocks = max(1, -(-directions.counted // (BLOCK // 2)))
-    names = [c for c in rows.columns if c != "v"]
-    out = rows.select("*", F.lit(0).cast("long").alias("c"), F.lit(-2.0).alias("cos"))
-    schema = out.schema
+    schema = rows.schema
     for i in range(blocks):
         block = sorted(directions.df.filter(F.pmod(F.xxhash64("q", F.lit(5)), F.lit(blocks)) == i).select("q", "m").collect())  # about BLOCK / 2 rows
         if not block:
@@ -178,16 +141,51 @@ def _closest(rows: DataFrame, directions: Stage, dim: int) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame], ids=ids, m=m) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b):
-                    s = unpack(b["v"], dim) @ m.T
-                    best = s.argmax(axis=1)
-                    cos = s[np.arange(len(b)), best].astype("f8")
-                    better = cos > b["cos"].to_numpy()
-                    yield b.assign(c=np.where(better, ids[best], b["c"]), cos=np.where(better, cos, b["cos"]))
+                    yield fold(b, ids, m)
 
-        out = out.mapInPandas(run, schema)
+        rows = rows.mapInPandas(run, schema)
         if i % 4 == 3:
-            out = write_stage(out).df
-    return out.select(*names, "v", "c", "cos")
+            rows = write_stage(rows).df
+    return rows
+
+
+def _closest(rows: DataFrame, directions: Stage, dim: int) -> DataFrame:
+    """Adds ``c``, the closest direction, and ``cos`` to rows with a vector v."""
+
+    def fold(b: pd.DataFrame, ids: np.ndarray, m: np.ndarray) -> pd.DataFrame:
+        s = unpack(b["v"], dim) @ m.T
+        best = s.argmax(axis=1)
+        cos = s[np.arange(len(b)), best].astype("f8")
+        better = cos > b["cos"].to_numpy()
+        return b.assign(c=np.where(better, ids[best], b["c"]), cos=np.where(better, cos, b["cos"]))
+
+    return _in_blocks(rows.select("*", F.lit(0).cast("long").alias("c"), F.lit(-2.0).alias("cos")), directions, fold)
+
+
+def _pivots(directions: Stage, dim: int, same: float) -> Stage:
+    """The directions left when local minima of the hash order absorb their neighbours (cosine ``same`` or more) until none is left.
+
+    Every direction is compared with every other: two of one cluster need not share a cell, and if both stayed, they would divide it.
+    """
+
+    def fold(b: pd.DataFrame, ids: np.ndarray, m: np.ndarray) -> pd.DataFrame:
+        near = unpack(b["m"], dim) @ m.T >= same
+        return b.assign(low=np.minimum(b["low"], np.where(near.any(axis=1), ids[near.argmax(axis=1)], b["q"])))  # ids are sorted
+
+    active, kept = directions, []
+    while active.counted:  # the smallest hash is a local minimum in each round
+        low = _in_blocks(active.df.withColumn("low", F.col("q")), active, fold)
+        kept.append(new := write_stage(low.filter(F.col("low") == F.col("q")).drop("low"), _each()))
+        if new.counted == active.counted:
+            break
+        rest = active.df.join(new.df.select("q"), "q", "left_anti").select("q", "n", F.col("m").alias("v"))
+        active = write_stage(_closest(rest, new, dim).filter(F.col("cos") < same).select("q", "n", F.col("v").alias("m")), _each())
+    if len(kept) == 1:
+        return kept[0]
+    pivots = directions.df.limit(0)
+    for more in kept:
+        pivots = pivots.unionByName(more.df)
+    return write_stage(pivots, _each())
 
 
 def _moved(rows: DataFrame, directions: Stage, dim: int, radius: float, similar: float, least: int) -> DataFrame:
@@ -251,7 +249,7 @@ def _labelled(df: DataFrame, id_col: str, vector: str, dim: int, note: str | Non
                 break
         rest = todo.df.filter(F.col("u") > cut)
         if n:
-            new = _pivots(nxt, cells, dim, same)
+            new = _pivots(nxt, dim, same)
             found.append(new)
             rest = _closest(rest, new, dim).filter(F.col("cos") < member).select("u", "v")
         todo, ask = write_stage(rest, _each()), ask * MORE
@@ -262,9 +260,9 @@ def _labelled(df: DataFrame, id_col: str, vector: str, dim: int, note: str | Non
         all_ = found[0].df
         for more in found[1:]:
             all_ = all_.unionByName(more.df)
-        directions = _pivots(write_stage(all_, _each()), cells, dim, same)
+        directions = _pivots(write_stage(all_, _each()), dim, same)
     for _ in range(refine):
-        directions = _pivots(write_stage(_moved(whole.df, directions, dim, RADII[-1], similar, least), _each()), cells, dim, same)
+        directions = _pivots(write_stage(_moved(whole.df, directions, dim, RADII[-1], similar, least), _each()), dim, same)
     return write_stage(_closest(rows.df.select("id", "note", "v"), directions, dim).filter(F.col("cos") >= member).select("id", "note", "c", "cos"))
 
 

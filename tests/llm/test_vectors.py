@@ -1,9 +1,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lorekiln.llm.clustering import describe_clusters, similarity_clusters
+from lorekiln.llm.clustering import _pivots, describe_clusters, similarity_clusters
 from lorekiln.llm.neighbours import _Arrays, _best, _collided, _search, neighbour_lists, similar_pairs
 from lorekiln.llm.vectors import place_in_cells, usable_vectors
+from lorekiln.plans.stages import write_stage
 
 SCHEMA = "id string, embedding array<float>, namespace string, c int, v string, h string, u string"
 
@@ -195,3 +196,29 @@ def test_small_clusters_in_a_wide_background(spark):
         own = [by.get(f"k{i:03}") for i in range(40 * k, 40 * k + 40)]
         assert max(map(own.count, set(own) - {None})) >= 38
     assert len(set(by.values())) == 20
+
+
+def test_pivots_are_never_close(spark, monkeypatch):
+    monkeypatch.setattr("lorekiln.llm.clustering.BLOCK", 40)  # several blocks of directions
+    r = np.random.default_rng(8)
+    d = r.standard_normal((6, 64))
+    m = np.repeat(d / np.linalg.norm(d, axis=1, keepdims=True), 40, 0) + 0.08 * r.standard_normal((240, 64))
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype("<f4")
+    q = r.permutation(240)
+    rows = spark.createDataFrame([(int(i), 8, e.tobytes()) for i, e in zip(q, m)], "q bigint, n bigint, m binary")
+    got = {x.q for x in _pivots(write_stage(rows, F.lit(True)), 64, 0.75).df.collect()}
+    want, by = [], dict(zip(q.tolist(), m))
+    for i in range(240):  # one by one in hash order gives what rounds of local minima give
+        if all(by[i] @ by[j] < 0.75 for j in want):
+            want.append(i)
+    assert got == set(want) and len(got) >= 6
+
+
+def test_a_cluster_of_many_cells_is_not_divided(spark, monkeypatch):
+    monkeypatch.setattr("lorekiln.llm.clustering.CELL", 24)
+    r = np.random.default_rng(12)
+    unit = lambda e: e / np.linalg.norm(e, axis=1, keepdims=True)
+    d = unit(r.standard_normal((2, 64)))
+    x = np.sqrt(0.55) * np.repeat(d, (1200, 300), 0) + np.sqrt(0.45) * unit(r.standard_normal((1500, 64)))
+    by = {g.id: g.cluster for g in similarity_clusters(table(spark, [(f"k{i:04}", e, None) for i, e in enumerate(x)]), "id", "embedding", 64, copies=0.9).collect()}
+    assert len(set(by.values())) == 2 and len({by[f"k{i:04}"] for i in range(1200) if f"k{i:04}" in by}) == 1 and len(by) >= 1480
