@@ -6,8 +6,8 @@ within ``copies`` counts with it. So copies are no cluster and hide none; they a
 Rounds: of the rows that are in no cluster yet, the first ``FIRST`` in the order of a hash of their id, ``MORE`` times as many
 in each round, are candidates; in the last round all that are left, so every row has been a candidate or was absorbed. A
 single row is far from its group's direction and meets many rows by chance, so a candidate is smoothed: it moves to
-the mean of the rows within ``RADII`` of it, in steps. What it gathers in the end is a group if it has ``least`` rows or more and the
-mean cosine of its pairs is ``similar`` or more; rows that are near by chance have far less (the square of the radius), however
+the mean of the rows within ``RADII`` of it, in steps. What lies within ``INNER`` of it then is a group if it has ``least`` rows or more
+and the mean cosine of its pairs is ``similar`` or more; rows that are near by chance have far less (the square of the radius), however
 many they are, so the test holds at every density of the background. Candidates fail as soon as their pairs are too loose. Candidates
 whose directions have a cosine of ``same`` or more are neighbours; those that are the local minimum of the hash order among their
 neighbours become pivots, in parallel, absorb their neighbours, and so on with the rest. Rows within ``member`` of a pivot leave.
@@ -37,8 +37,9 @@ from lorekiln.llm.vectors import Cells, hash_cut, place_in_cells, unpack, usable
 from lorekiln.plans.stages import Scope, Stage, write_stage
 
 CELL, PROBES, MOST, SAMPLE, BLOCK, FIRST, MORE, SLICES = 2048, 8, 2048, 16_384, 4096, 2048, 8, 64
-#: Cosines within which a candidate gathers rows, step by step, and the least mean cosine of the pairs it may then have.
-RADII, LOOSE = (0.5, 0.57, 0.6), (0.0, 0.34)
+#: Cosines within which a candidate gathers rows, step by step, and the least mean cosine of the pairs it may then have. Wider ones
+#: would draw it over to a neighbouring cluster that is larger. ``INNER``: the inner part of a cluster, which must be dense.
+RADII, LOOSE, FEW, INNER = (0.5, 0.62, 0.66), (0.0, 0.34, 0.4), 3, 0.6
 _DIRECTION = "q bigint, n bigint, m binary"
 
 
@@ -235,18 +236,22 @@ def _labelled(df: DataFrame, id_col: str, vector: str, dim: int, note: str | Non
         blocks.release()
         blocks = write_stage(_pack(seen.df.join(todo.df.select("u"), "u", "left_semi").select("u", "w", "home"), "u", "home"))
     seen.release()
-    whole, found, ask, cut, radii = todo, [], FIRST, -(2**63), tuple(zip(RADII, (*LOOSE, similar)))
+    whole, found, ask, cut, steps = todo, [], FIRST, -(2**63), tuple(zip(RADII, LOOSE, (2, min(FEW, least), min(FEW, least))))
     while left := todo.counted:
         cut = hash_cut(left, ask, cut)  # all that are left lie above the last cut
         now = todo.df.filter(F.col("u") <= cut).select(F.col("u").alias("q"), F.col("v").alias("m"))
         n = now.count()
         if not n:
             continue
-        for step, (radius, below) in enumerate(radii):
-            nxt = write_stage(_gather(now, n, blocks, cells, dim, radius, below, least if step else 2), _each())
+        for radius, below, few in steps:
+            nxt = write_stage(_gather(now, n, blocks, cells, dim, radius, below, few), _each())
             now, n = nxt.df, nxt.counted
             if not n:
                 break
+        if n:  # the test of the inner part moves no direction
+            group = _gather(now, n, blocks, cells, dim, INNER, similar, least).select("q")
+            nxt = write_stage(now.join(group, "q", "left_semi"), _each())
+            n = nxt.counted
         rest = todo.df.filter(F.col("u") > cut)
         if n:
             new = _pivots(nxt, dim, same)
@@ -262,7 +267,7 @@ def _labelled(df: DataFrame, id_col: str, vector: str, dim: int, note: str | Non
             all_ = all_.unionByName(more.df)
         directions = _pivots(write_stage(all_, _each()), dim, same)
     for _ in range(refine):
-        directions = _pivots(write_stage(_moved(whole.df, directions, dim, RADII[-1], similar, least), _each()), dim, same)
+        directions = _pivots(write_stage(_moved(whole.df, directions, dim, INNER, similar, least), _each()), dim, same)
     return write_stage(_closest(rows.df.select("id", "note", "v"), directions, dim).filter(F.col("cos") >= member).select("id", "note", "c", "cos"))
 
 

@@ -222,3 +222,15 @@ def test_a_cluster_of_many_cells_is_not_divided(spark, monkeypatch):
     x = np.sqrt(0.55) * np.repeat(d, (1200, 300), 0) + np.sqrt(0.45) * unit(r.standard_normal((1500, 64)))
     by = {g.id: g.cluster for g in similarity_clusters(table(spark, [(f"k{i:04}", e, None) for i, e in enumerate(x)]), "id", "embedding", 64, copies=0.9).collect()}
     assert len(set(by.values())) == 2 and len({by[f"k{i:04}"] for i in range(1200) if f"k{i:04}" in by}) == 1 and len(by) >= 1480
+
+
+def test_a_small_cluster_beside_a_large_one(spark):
+    r = np.random.default_rng(1)
+    unit = lambda e: e / np.linalg.norm(e, axis=-1, keepdims=True)
+    a, b = unit(r.standard_normal((2, 64)))
+    b = 0.62 * a + np.sqrt(1 - 0.62**2) * unit(b - (a @ b) * a)  # members of the two have a mean cosine of 0.34
+    x = np.sqrt(0.55) * np.repeat([a, b], (250, 2500), 0) + np.sqrt(0.45) * unit(r.standard_normal((2750, 64)))
+    by = {g.id: g.cluster for g in similarity_clusters(table(spark, [(f"k{i:04}", e, None) for i, e in enumerate(x)]), "id", "embedding", 64).collect()}
+    small, large = ([by.get(f"k{i:04}") for i in part] for part in (range(250), range(250, 2750)))
+    best = lambda own: max(set(own), key=own.count)
+    assert best(small) != best(large) and small.count(best(small)) >= 235 and large.count(best(large)) >= 2450
