@@ -1,7 +1,7 @@
 """Similarity clusters by parallel pivot correlation clustering on smoothed rows, described by medoids.
 
-Copies: equal vectors count once, and so do near copies, by the same pivot rule: a row that has a row of smaller hash
-within ``copies`` counts with it. So copies are no cluster and hide none; they are labelled like any row.
+Copies: equal vectors count once, and near copies too: a row with n rows within ``copies``, itself included, has a weight of 1 / n.
+So copies are no cluster and hide none, and all rows take part: in a large cluster many members are that close by chance.
 
 Rounds: of the rows that are in no cluster yet, the first ``FIRST`` in the order of a hash of their id, ``MORE`` times as many
 in each round, are candidates; in the last round all that are left, so every row has been a candidate or was absorbed. A
@@ -40,7 +40,7 @@ CELL, PROBES, MOST, SAMPLE, BLOCK, FIRST, MORE, SLICES = 2048, 8, 2048, 16_384,
 #: Cosines within which a candidate gathers rows, step by step, and the least mean cosine of the pairs it may then have. Wider ones
 #: would draw it over to a neighbouring cluster that is larger. ``INNER``: the inner part of a cluster, which must be dense.
 RADII, LOOSE, FEW, INNER = (0.5, 0.62, 0.66), (0.0, 0.34, 0.4), 3, 0.6
-_DIRECTION = "q bigint, n bigint, m binary"
+_DIRECTION = "q bigint, n double, m binary"
 
 
 def _each() -> Column:
@@ -53,8 +53,8 @@ def _half(packed: bytes, dim: int) -> np.ndarray:
 
 
 def _pack(rows: DataFrame, hash_col: str, cell: str, count: int | None = None) -> DataFrame:
-    """cell, u, w: the vectors of a cell in rows of up to about ``BLOCK``, as two packed values; ``count``: how many there are, if known."""
-    rows = rows.select(F.col(cell).alias("cell"), F.col(hash_col).alias("u"), "w")
+    """cell, u, w, k: the vectors of a cell in rows of up to about ``BLOCK``, as packed values, with their weights or 1; ``count``: how many there are, if known."""
+    rows = rows.select(F.col(cell).alias("cell"), F.col(hash_col).alias("u"), "w", F.col("k") if "k" in rows.columns else F.lit(1.0).alias("k"))
     if count is None or count > BLOCK:
         size = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("slices"))
         rows = rows.join(size, "cell").withColumn("slice", F.pmod(F.xxhash64("u", F.lit(3)), "slices"))
@@ -63,9 +63,9 @@ def _pack(rows: DataFrame, hash_col: str, cell: str, count: int | None = None) -
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("u")
-        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "u": [pdf["u"].to_numpy(dtype="<i8").tobytes()], "w": [b"".join(pdf["w"])]})
+        return pd.DataFrame({"cell": pdf["cell"].iloc[:1], "u": [pdf["u"].to_numpy(dtype="<i8").tobytes()], "w": [b"".join(pdf["w"])], "k": [pdf["k"].to_numpy(dtype="<f8").tobytes()]})
 
-    return rows.groupBy("cell", "slice").applyInPandas(run, "cell bigint, u binary, w binary")
+    return rows.groupBy("cell", "slice").applyInPandas(run, "cell bigint, u binary, w binary, k binary")
 
 
 def _visits(directions: DataFrame, cells: Cells, dim: int, probes: int) -> DataFrame:
@@ -86,47 +86,47 @@ def _gather(directions: DataFrame, count: int, blocks: Stage, cells: Cells, dim:
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for qs, qw, bw in zip(b["q"], b["qw"], b["w"]):
+            for qs, qw, bw, bk in zip(b["q"], b["qw"], b["w"], b["k"]):
                 q, y, x = np.frombuffer(qs, dtype="<i8"), _half(qw, dim), _half(bw, dim)
-                near = (y @ x.T >= radius).astype("f4")
-                n = near.sum(axis=1).astype("int64")
-                hit = n > 0
+                k, near = np.frombuffer(bk, dtype="<f8"), y @ x.T >= radius
+                hit = near.any(axis=1)
                 if hit.any():
-                    yield pd.DataFrame({"q": q[hit], "n": n[hit], "s": list((near[hit] @ x).astype("f4"))})
+                    near = near[hit]
+                    yield pd.DataFrame({"q": q[hit], "n": near @ k, "n2": near @ k**2, "s": list(near.astype("f4") @ (x * k[:, None].astype("f4")))})
 
-    met = asked.select("cell", F.col("u").alias("q"), F.col("w").alias("qw")).join(blocks.df.select("cell", "w"), "cell").select("q", "qw", "w").mapInPandas(meet, "q bigint, n bigint, s array<float>")
+    met = asked.select("cell", F.col("u").alias("q"), F.col("w").alias("qw")).join(blocks.df.select("cell", "w", "k"), "cell").select("q", "qw", "w", "k").mapInPandas(meet, "q bigint, n double, n2 double, s array<float>")
     return _means(met, "q", dim, below, least)
 
 
 def _means(parts: DataFrame, key: str, dim: int, below: float, least: int) -> DataFrame:
-    """q, n, m of partial counts and sums (n, s), where n >= ``least`` and the mean cosine of the pairs, which size and sum give, is ``below`` or more."""
-    sums = parts.groupBy(F.col(key).alias("q")).agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("s")[i].cast("double")) for i in range(dim)]).alias("s"))
+    """q, n, m of partial weights, their squares and sums (n, n2, s), where n >= ``least`` and the mean cosine of the pairs, which these give, is ``below`` or more."""
+    sums = parts.groupBy(F.col(key).alias("q")).agg(F.sum("n").alias("n"), F.sum("n2").alias("n2"), F.array(*[F.sum(F.col("s")[i].cast("double")) for i in range(dim)]).alias("s"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                s, n = np.array(list(b["s"])), b["n"].to_numpy(dtype="f8")
+                s, n, n2 = np.array(list(b["s"])), b["n"].to_numpy(dtype="f8"), b["n2"].to_numpy(dtype="f8")
                 size = np.einsum("ij,ij->i", s, s)
-                ok = (n >= least) & (size - n >= (below - 1e-6) * n * (n - 1)) & (size > 0)
+                ok = (n >= least - 1e-6) & (size - n2 >= below * (n * n - n2) - 1e-6 * n * n) & (size > 0)
                 m = (s[ok] / np.sqrt(size[ok])[:, None]).astype("<f4")
                 yield pd.DataFrame({"q": b["q"][ok], "n": b["n"][ok], "m": [r.tobytes() for r in m]})
 
     return sums.mapInPandas(run, _DIRECTION)
 
 
-def _without_copies(rows: DataFrame, seen: Stage, blocks: Stage, cells: Cells, dim: int, copies: float) -> Stage:
-    """The rows (u, v) that have no row of smaller hash within ``copies``; close copies share one of their two nearest cells."""
+def _weights(rows: DataFrame, seen: Stage, blocks: Stage, dim: int, copies: float) -> DataFrame:
+    """u, v, k: each row (u, v) with its weight, 1 by the number of rows within ``copies``; close copies share one of their two nearest cells."""
     asked = _pack(seen.df.select("u", "w", F.explode(F.slice("cell", 1, 2)).alias("at")), "u", "at")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for qs, qw, bs, bw in zip(b["q"], b["qw"], b["u"], b["w"]):
                 q, u = np.frombuffer(qs, dtype="<i8"), np.frombuffer(bs, dtype="<i8")
-                i, j = np.nonzero(_half(qw, dim) @ _half(bw, dim).T >= copies)
-                yield pd.DataFrame({"u": np.unique(q[i[u[j] < q[i]]])})
+                n = ((_half(qw, dim) @ _half(bw, dim).T >= copies) & (q[:, None] != u)).sum(axis=1)
+                yield pd.DataFrame({"u": q[n > 0], "n": n[n > 0]})
 
-    drop = asked.select("cell", F.col("u").alias("q"), F.col("w").alias("qw")).join(blocks.df, "cell").select("q", "qw", "u", "w").mapInPandas(meet, "u bigint")
-    return write_stage(rows.join(drop.distinct(), "u", "left_anti"), _each())
+    near = asked.select("cell", F.col("u").alias("q"), F.col("w").alias("qw")).join(blocks.df.select("cell", "u", "w"), "cell").select("q", "qw", "u", "w").mapInPandas(meet, "u bigint, n bigint")
+    return rows.join(near.groupBy("u").agg(F.sum("n").alias("n")), "u", "left").select("u", "v", (1 / (1 + F.coalesce("n", F.lit(0)))).alias("k"))
 
 
 def _in_blocks(rows: DataFrame, directions: Stage, fold: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame]) -> DataFrame:
@@ -196,11 +196,11 @@ def _moved(rows: DataFrame, directions: Stage, dim: int, radius: float, similar:
         for b in batches:
             if len(b):
                 c, at = np.unique(b["c"].to_numpy(), return_inverse=True)
-                s = np.zeros((len(c), dim))
-                np.add.at(s, at, unpack(b["v"], dim))
-                yield pd.DataFrame({"q": c, "n": np.bincount(at).astype("int64"), "s": list(s.astype("f4"))})
+                s, k = np.zeros((len(c), dim)), b["k"].to_numpy()
+                np.add.at(s, at, unpack(b["v"], dim) * k[:, None])
+                yield pd.DataFrame({"q": c, "n": np.bincount(at, k), "n2": np.bincount(at, k**2), "s": list(s.astype("f4"))})
 
-    parts = _closest(rows, directions, dim).filter(F.col("cos") >= radius).select("c", "v").mapInPandas(run, "q bigint, n bigint, s array<float>")
+    parts = _closest(rows, directions, dim).filter(F.col("cos") >= radius).select("c", "v", "k").mapInPandas(run, "q bigint, n double, n2 double, s array<float>")
     return _means(parts, "q", dim, similar, least)
 
 
@@ -208,7 +208,7 @@ def similarity_clusters(df: DataFrame, id_col: str, vector: str, dim: int, note:
     """id, note, cluster, cos: each clustered row with its cluster's medoid id and its cosine to the cluster's direction.
 
     ``similar``: least mean cosine of the pairs of a cluster's inner part. ``same``: cosine of two directions that are one cluster.
-    ``member``: least cosine of a member and its direction. ``copies``: cosine of copies, which count as one row; by default there
+    ``member``: least cosine of a member and its direction. ``copies``: cosine of copies, which together count as one row; by default there
     is no such bound, and equal vectors count each.
     """
     with Scope() as scope:
@@ -226,15 +226,15 @@ def _labelled(df: DataFrame, id_col: str, vector: str, dim: int, note: str | Non
     once = rows.df.select(F.col("h").alias("u"), "v")
     if copies <= 1:
         once = rows.df.groupBy("v").agg(F.min("h").alias("u")).select("u", "v")
-    todo = write_stage(once, _each())
+    todo = write_stage(once.withColumn("k", F.lit(1.0)), _each())
     seen, cells = place_in_cells(todo.df, "u", dim, CELL, PROBES, MOST, SAMPLE, todo.counted)
     if seen is None:
         return None
     blocks = write_stage(_pack(seen.df.select("u", "w", "home"), "u", "home"))
     if copies <= 1:
-        todo = _without_copies(todo.df, seen, blocks, cells, dim, copies)
+        todo = write_stage(_weights(todo.df.select("u", "v"), seen, blocks, dim, copies), _each())
         blocks.release()
-        blocks = write_stage(_pack(seen.df.join(todo.df.select("u"), "u", "left_semi").select("u", "w", "home"), "u", "home"))
+        blocks = write_stage(_pack(seen.df.join(todo.df.select("u", "k"), "u").select("u", "w", "k", "home"), "u", "home"))
     seen.release()
     whole, found, ask, cut, steps = todo, [], FIRST, -(2**63), tuple(zip(RADII, LOOSE, (2, min(FEW, least), min(FEW, least))))
     while left := todo.counted:
@@ -256,7 +256,7 @@ def _labelled(df: DataFrame, id_col: str, vector: str, dim: int, note: str | Non
         if n:
             new = _pivots(nxt, dim, same)
             found.append(new)
-            rest = _closest(rest, new, dim).filter(F.col("cos") < member).select("u", "v")
+            rest = _closest(rest, new, dim).filter(F.col("cos") < member).select("u", "v", "k")
         todo, ask = write_stage(rest, _each()), ask * MORE
     if not found:
         return None

@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from lorekiln.llm.clustering import _pivots, describe_clusters, similarity_clusters
+from lorekiln.llm.clustering import _pack, _pivots, _weights, describe_clusters, similarity_clusters
 from lorekiln.llm.neighbours import _Arrays, _best, _collided, _search, neighbour_lists, similar_pairs
 from lorekiln.llm.vectors import place_in_cells, usable_vectors
 from lorekiln.plans.stages import write_stage
@@ -234,3 +234,15 @@ def test_a_small_cluster_beside_a_large_one(spark):
     small, large = ([by.get(f"k{i:04}") for i in part] for part in (range(250), range(250, 2750)))
     best = lambda own: max(set(own), key=own.count)
     assert best(small) != best(large) and small.count(best(small)) >= 235 and large.count(best(large)) >= 2450
+
+
+def test_members_close_by_chance_all_keep_a_weight(spark):
+    r = np.random.default_rng(14)
+    x = 1 + 0.35 * r.standard_normal((3000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("<f4")
+    df = spark.createDataFrame([(e.tobytes(),) for e in x], "v binary").selectExpr("xxhash64(v) AS u", "v")
+    seen, _ = place_in_cells(df, "u", 32, 4000, 4, 3, 256)  # one cell
+    k = {g.v: g.k for g in _weights(df, seen, write_stage(_pack(seen.df, "u", "home")), 32, 0.9).collect()}
+    h = x.astype("f2").astype("f4")
+    n = (h @ h.T >= 0.9).sum(axis=1)
+    assert len(k) == 3000 and n.mean() > 5 and np.allclose([k[e.tobytes()] for e in x], 1 / n, rtol=0.4, atol=0.002)
